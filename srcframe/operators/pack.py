@@ -66,13 +66,12 @@ def pack_candidates(
         parsed = sized.withColumn("_parsed", python_metrics("_python"))
         functions = F.col("_parsed.functions")
         count = F.when(functions.isNotNull(), F.size(functions))
-        valued = parsed.withColumn("value", _value(F.col("lines"), total_complexity(functions), count))
+        value = _value(F.col("lines"), total_complexity(functions), count)
     else:
         known = metrics.select("repo", "path", "total_complexity", "function_count")
-        valued = sized.drop("_python").join(known, ["repo", "path"], "left").withColumn(
-            "value", _value(F.col("lines"), F.col("total_complexity"), F.col("function_count"))
-        )
-    return valued.where(F.col("value") > 0).select(
+        parsed = sized.drop("_python").join(known, ["repo", "path"], "left")
+        value = _value(F.col("lines"), F.col("total_complexity"), F.col("function_count"))
+    return compute_once(parsed, value=value).where(F.col("value") > 0).select(
         "repo", "path", "walk_key", "cost", "value",
         (F.col("value") / F.col("cost")).alias("density"),
     )
