@@ -10,7 +10,7 @@ from srcframe.constants import (
     BLANKS, HASH_COMMENT_LANGUAGES, LANGUAGE_BY_KEY, LINE_BREAKS,
     SLASH_COMMENT_LANGUAGES, WHITE_SPACE,
 )
-from srcframe.functions.paths import suffix
+from srcframe.functions.paths import file_name, suffix
 
 _BREAK = rf"\r\n|[{LINE_BREAKS}]"
 _LINE_START = rf"(?<![^{LINE_BREAKS}])(?<!\r(?=\n))"
@@ -24,10 +24,13 @@ def unify_newlines(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Array of lines; the last line break adds no empty line."""
-    parts = F.split(text, _BREAK, -1)
-    return F.when(
-        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
-    ).otherwise(parts)
+    def without_tail(parts):
+        return F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts)
+
+    # Bound by a lambda, so that the text is split once and not at every mention.
+    return F.get(F.transform(F.array(F.split(text, _BREAK, -1)), without_tail), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -63,10 +66,10 @@ def comment_count(text: Column, language: Column) -> Column:
     ).cast("bigint")
 
 
-def language_of(name: Column) -> Column:
+def language_of(path: Column) -> Column:
     """Language by exact file name, then by suffix; null when neither is known."""
     table = F.create_map(*[F.lit(x) for pair in LANGUAGE_BY_KEY.items() for x in pair])
-    return F.coalesce(table[name], table[suffix(name)])
+    return F.coalesce(table[file_name(path)], table[suffix(path)])
 
 
 def content_hash(text: Column) -> Column:

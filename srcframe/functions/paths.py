@@ -9,8 +9,7 @@ def file_name(path: Column) -> Column:
 
 def parent_dir(path: Column) -> Column:
     """Directory part without a trailing slash; '' for files at the root."""
-    cut = F.length(path) - F.length(file_name(path)) - 1
-    return F.when(cut > 0, F.substring(path, F.lit(1), cut)).otherwise(F.lit(""))
+    return F.regexp_replace(path, r"/?[^/]*\z", "")
 
 
 def dir_parts(path: Column) -> Column:
@@ -18,11 +17,9 @@ def dir_parts(path: Column) -> Column:
     return F.filter(F.split(parent_dir(path), "/"), lambda d: d != "")
 
 
-def suffix(name: Column) -> Column:
-    """Lower-case suffix; '' when the last dot is the first or the last character."""
-    tail = F.substring_index(name, ".", -1)
-    has = (F.length(tail) > 0) & (F.length(name) > F.length(tail) + 1)
-    return F.when(has, F.lower(F.concat(F.lit("."), tail))).otherwise(F.lit(""))
+def suffix(path: Column) -> Column:
+    """Lower-case suffix of the name; '' when its last dot is its first or last character."""
+    return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)\z", 1))
 
 
 def depth(path: Column) -> Column:
@@ -35,11 +32,8 @@ def walk_key(path: Column) -> Column:
     Each directory becomes ``0name`` and the file ``1name``; parts are joined by NUL,
     which no path can contain and which sorts before every other character.
     """
-    folder = parent_dir(path)
-    head = F.concat(
-        F.lit("0"), F.replace(folder, F.lit("/"), F.lit("\u00000")), F.lit("\u0000")
-    )
-    return F.concat(F.when(folder != "", head).otherwise(F.lit("")), F.lit("1"), file_name(path))
+    named = F.regexp_replace(path, r"([^/]+)\z", "1$1")
+    return F.regexp_replace(named, "([^/]+)/", "0$1\u0000")
 
 
 def dir_walk_key(folder: Column) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql.types import ArrayType, StringType
 
 from srcframe.constants import WHITE_SPACE
 from srcframe.functions.lines import split_lines, strip
+from srcframe.session import compute_once
 
 
 def _rows(files: DataFrame, manifest: str, names: Column) -> DataFrame:
-    return files.where(F.col("path") == manifest).select(
-        "repo", F.lit(manifest).alias("manifest"), F.posexplode(names).alias("pos", "dep")
+    named = compute_once(files.where(F.col("path") == manifest), _names=names)
+    return named.select(
+        "repo", F.lit(manifest).alias("manifest"), F.posexplode("_names").alias("pos", "dep")
     )
 
 
@@ -24,8 +26,8 @@ def requirement_names(text: Column) -> Column:
     """Names in a requirements text: what stands before the first specifier or comment."""
     stripped = F.transform(split_lines(text), strip)
     stated = F.filter(stripped, lambda s: (s != "") & ~s.startswith("#"))
-    cut = rf"[=<>~!{WHITE_SPACE}]|(?<![\p{{L}}\p{{N}}_])#"
-    names = F.transform(stated, lambda s: strip(F.get(F.split(s, cut, 2), F.lit(0))))
+    rest = rf"(?s)(?:[=<>~!{WHITE_SPACE}]|(?<![\p{{L}}\p{{N}}_])#).*"
+    names = F.transform(stated, lambda s: F.regexp_replace(s, rest, ""))
     return F.filter(names, lambda s: s != "")
 
 
@@ -67,7 +69,10 @@ def _toml_names(texts):
 
 def parse_pyproject(files: DataFrame) -> DataFrame:
     """Standard list entries as written, then the keys of the Poetry table."""
-    return _rows(files, "pyproject.toml", _toml_names("content"))
+    listed = files.where(F.col("path") == "pyproject.toml").select(
+        "repo", "path", _toml_names("content").alias("_listed")
+    )
+    return _rows(listed, "pyproject.toml", F.col("_listed"))
 
 
 def dependencies(files: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from srcframe.functions import lines, paths
 from srcframe.functions.globs import ignore_regex_col, shell_regex_col
 from srcframe.functions.lfs import pointer_size
-from srcframe.session import broadcast_if_small, materialize
+from srcframe.session import broadcast_if_small, compute_once, materialize
 
 # Appended to every tested path. A drop rule consumes the first letter, a keep rule
 # both, so the end of the match tells which kind of rule it was.
@@ -22,8 +22,9 @@ _PROBE = "\u0000dk"
 
 def ignore_rules(files: DataFrame) -> DataFrame:
     """(repo, rule_no, regex, negated) from the ``.gitignore`` at each root."""
-    lines_ = files.where(F.col("path") == ".gitignore").select(
-        "repo", F.posexplode(lines.split_lines(F.col("content"))).alias("rule_no", "line")
+    found = files.where(F.col("path") == ".gitignore")
+    lines_ = compute_once(found, _lines=lines.split_lines(F.col("content"))).select(
+        "repo", F.posexplode("_lines").alias("rule_no", "line")
     )
     return (
         lines_.withColumn("rule", ignore_regex_col("line"))

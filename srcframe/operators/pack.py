@@ -144,7 +144,8 @@ def select_under_budget(candidates: DataFrame, budget: int = PACK_TOKEN_BUDGET)
         ).otherwise(state)
 
     picked = F.aggregate("queue", start, take, lambda state: state["taken"])
-    return queue.select("repo", F.posexplode(picked).alias("pos", "t")).select(
+    folded = compute_once(queue, _picked=picked)
+    return folded.select("repo", F.posexplode("_picked").alias("pos", "t")).select(
         "repo", "t.path", "t.cost", (-F.col("t.d")).alias("density"),
         (F.col("pos") + 1).cast("bigint").alias("pick_order"),
     )

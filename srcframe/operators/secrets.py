@@ -9,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from srcframe.functions.lines import split_lines, strip
+from srcframe.session import compute_once
 
 MASK = "****"
 
@@ -56,13 +57,14 @@ def find_secrets(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES)
         lambda text, i: F.struct((i + 1).alias("line_number"), text.alias("line")),
     )
     hits = (
-        files.where(_any(F.col("content"), rules))
-        .select("repo", F.col("path").alias("file_path"),
-                F.explode(F.filter(numbered, lambda s: _any(s["line"], rules))).alias("hit"))
-        .select("repo", "file_path", "hit.line_number", "hit.line")
+        compute_once(
+            files.where(_any(F.col("content"), rules)),
+            _hits=F.filter(numbered, lambda s: _any(s["line"], rules)),
+        )
+        .select("repo", F.col("path").alias("file_path"), F.inline("_hits"))
     )
     types = F.array(*[F.when(F.col("line").rlike(r.regex), F.lit(r.secret_type)) for r in rules])
     return hits.select(
-        "repo", "file_path", F.explode(F.array_compact(types)).alias("secret_type"),
+        "repo", "file_path", F.explode(types).alias("secret_type"),
         "line_number", strip(masked(F.col("line"), rules)).alias("line_content"),
-    )
+    ).where(F.col("secret_type").isNotNull())

@@ -9,7 +9,7 @@ from srcframe.functions import lines
 
 def file_languages(files: DataFrame) -> DataFrame:
     """Files of a known language, with that language."""
-    return files.withColumn("language", lines.language_of(F.col("name"))).where(
+    return files.withColumn("language", lines.language_of(F.col("path"))).where(
         F.col("language").isNotNull()
     )
 

@@ -65,7 +65,8 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns that a later filter tests.
 
     A filter on a plain projection is pushed below it, and the column is then computed
-    for the filter and again for the result. Filters stay above a generator.
+    for the filter and again for the result. Filters stay above a generator. The same
+    holds for arrays to explode, as Spark adds a filter on their size.
     """
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 

@@ -12,6 +12,16 @@ FILE_COLUMNS = (
 )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a table out over all cores when it comes in fewer files than there are cores.
+
+    A large table arrives in many splits and is returned as it is: its texts are never
+    shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
@@ -42,7 +52,7 @@ def files_from_table(
     return base.select(
         "repo", "path",
         paths.file_name(path_).alias("name"),
-        paths.suffix(paths.file_name(path_)).alias("suffix"),
+        paths.suffix(path_).alias("suffix"),
         "disk_size", "content", "is_symlink",
         F.lit(False).alias("is_lfs_pointer"),
         F.lit(None).cast("bigint").alias("real_size"),

@@ -12,8 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcframe.constants import GENERATED_MARKER, LFS_SPEC_LINE
-from srcframe.sources.tables import files_from_table
-from srcframe.functions.lines import unify_newlines
+from srcframe.session import compute_once
+from srcframe.sources.tables import files_from_table, spread
 
 NL = "\n"
 
@@ -120,12 +120,16 @@ class Corpus:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, table.columns[0])
 
     @cached_property
     def raw_files(self) -> DataFrame:
+        # Paths are made once per row; in a real table they are a plain column.
         parts = [
-            self.table(table).selectExpr(f"{repo} as repo", f"{path} as path", f"{content} as content")
+            compute_once(self.table(table), path=F.expr(path)).selectExpr(
+                f"{repo} as repo", "path", f"{content} as content"
+            )
             for table, repo, path, content in FILE_PARTS
         ]
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
