@@ -46,25 +46,34 @@ def masked(line: Column, rules: Sequence[SecretRule]) -> Column:
     return reduce(lambda text, r: F.regexp_replace(text, r.regex, f"$1{MASK}"), rules, line)
 
 
-def find_secrets(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) -> DataFrame:
-    """(repo, file_path, secret_type, line_number, line_content).
+def secret_hits(text: Column, rules: Sequence[SecretRule] = DEFAULT_RULES) -> Column:
+    """Array of (secret_type, line_number, line_content), one entry per line and rule.
 
-    Texts without any match are dropped before they are split, and lines without a
-    match before they become rows.
+    A text without any match is never split, and only matching lines are looked at
+    rule by rule.
     """
     numbered = F.transform(
-        split_lines(F.col("content")),
-        lambda text, i: F.struct((i + 1).alias("line_number"), text.alias("line")),
-    )
-    hits = (
-        compute_once(
-            files.where(_any(F.col("content"), rules)),
-            _hits=F.filter(numbered, lambda s: _any(s["line"], rules)),
-        )
-        .select("repo", F.col("path").alias("file_path"), F.inline("_hits"))
+        split_lines(text), lambda line, i: F.struct((i + 1).alias("n"), line.alias("line"))
     )
-    types = F.array(*[F.when(F.col("line").rlike(r.regex), F.lit(r.secret_type)) for r in rules])
-    return hits.select(
-        "repo", "file_path", F.explode(types).alias("secret_type"),
-        "line_number", strip(masked(F.col("line"), rules)).alias("line_content"),
-    ).where(F.col("secret_type").isNotNull())
+
+    def entries(hit):
+        line = hit["line"]
+        types = F.array(*[F.when(line.rlike(r.regex), F.lit(r.secret_type)) for r in rules])
+        content = strip(masked(line, rules))
+        return F.transform(F.array_compact(types), lambda kind: F.struct(
+            kind.alias("secret_type"), hit["n"].alias("line_number"), content.alias("line_content")
+        ))
+
+    hits = F.filter(numbered, lambda s: _any(s["line"], rules))
+    return F.when(_any(text, rules), F.flatten(F.transform(hits, entries)))
+
+
+def listed_secrets(hits: DataFrame) -> DataFrame:
+    """Rows (repo, file_path, secret_type, line_number, line_content) of a ``secrets`` array."""
+    return hits.select("repo", F.col("path").alias("file_path"), F.inline("secrets"))
+
+
+def find_secrets(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) -> DataFrame:
+    """One row per line and rule that match, with the secret values masked."""
+    suspects = files.where(_any(F.col("content"), rules))
+    return listed_secrets(compute_once(suspects, secrets=secret_hits(F.col("content"), rules)))

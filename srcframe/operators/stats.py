@@ -70,8 +70,9 @@ def marker_counts(files: DataFrame) -> DataFrame:
     )
 
 
-def marker_totals(files: DataFrame) -> DataFrame:
-    return marker_counts(files).groupBy("repo").agg(
+def marker_totals(counts: DataFrame) -> DataFrame:
+    """Marks per repository, from the counts per file."""
+    return counts.groupBy("repo").agg(
         F.coalesce(F.sum("todo_count"), F.lit(0)).alias("todo_count"),
         F.coalesce(F.sum("fixme_count"), F.lit(0)).alias("fixme_count"),
     )

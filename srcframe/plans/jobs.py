@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from srcframe.constants import MAX_FILES_PER_REPO, PACK_MAX_FILE_KB, PACK_TOKEN_BUDGET
 from srcframe.operators import (
-    deps, distill as distilling, filters, findings, ignore, keyfiles, pack as packing, pymetrics,
+    deps, distill as distilling, facts, filters, findings, ignore, keyfiles, pack as packing, pymetrics,
     report, secrets as secret_rules, stats, tree,
 )
 from srcframe.session import materialize
@@ -42,26 +42,37 @@ def scan(
     empty_dirs: DataFrame | None = None,
     now: Column | None = None,
 ) -> DataFrame:
-    """(repo, report). Per-file results are stored once and feed all sums."""
+    """(repo, report). Texts are read once; stored facts of each file feed all sections."""
     seen = filters.guard_max_files(
         visible_files(files, include_hidden, exclude_dirs, exclude_patterns), max_files, guard
     )
     sized = ignore.with_lfs(seen, ignore.lfs_patterns(files))
-    per_file = materialize(stats.file_stats(seen))
-    parsed = materialize(pymetrics.parsed_files(seen))
-    meta = materialize(sized.drop("content"))
+    per_file = materialize(facts.file_facts(sized))
+    return report_of(
+        per_file, deps.dependencies(files), tree.nest_tree(per_file, empty_dirs, max_files, "drop"),
+        custom_rules, now,
+    )
+
+
+def report_of(
+    per_file: DataFrame, dependencies: DataFrame, trees: DataFrame,
+    custom_rules: dict | None = None, now: Column | None = None,
+) -> DataFrame:
+    """(repo, report) from stored file facts; no text is read again."""
+    known = per_file.where(F.col("language").isNotNull())
+    parsed = per_file.where(F.col("parsed").isNotNull())
     return report.assemble_report(
-        totals=stats.repo_totals(meta, per_file),
-        primary=stats.primary_language(per_file),
-        languages=stats.language_lines(per_file),
+        totals=stats.repo_totals(per_file, known),
+        primary=stats.primary_language(known),
+        languages=stats.language_lines(known),
         complexity=pymetrics.repo_complexity(pymetrics.file_metrics(parsed)),
-        markers=stats.marker_totals(seen),
+        markers=stats.marker_totals(per_file),
         top_functions=pymetrics.top_complex_functions(pymetrics.function_metrics(parsed)),
-        largest=keyfiles.largest_files(meta, 10),
-        important=keyfiles.important_files(meta, custom_rules),
-        dependency_map=deps.dependency_map(deps.dependencies(files)),
-        secrets=secret_rules.find_secrets(seen),
-        tree=tree.nest_tree(meta, empty_dirs, max_files, "drop"),
+        largest=keyfiles.largest_files(per_file, 10),
+        important=keyfiles.important_files(per_file, custom_rules),
+        dependency_map=deps.dependency_map(dependencies),
+        secrets=secret_rules.listed_secrets(per_file),
+        tree=trees,
         now=now,
     )
 

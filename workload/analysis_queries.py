@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from srcframe.functions import tokens as token_functions
 from srcframe.operators import (
-    deps, distill, findings, keyfiles, ordering, pack, pymetrics, report, secrets, stats, tree,
+    deps, distill, facts, findings, keyfiles, ordering, pack, pymetrics, secrets, stats, tree,
 )
+from srcframe.plans import jobs
+from srcframe.session import materialize
 from srcframe.sources.sinks import distill_map
 from srcframe.sources.tables import files_from_table
 from srcframe.streaming import incremental
@@ -63,7 +65,7 @@ def _(c):
   select repo, cast(sum(todo_count) as bigint) as todo_count, cast(sum(fixme_count) as bigint) as fixme_count
   from marks group by repo""")
 def _(c):
-    return stats.marker_totals(c.files)
+    return stats.marker_totals(stats.marker_counts(c.files))
 
 
 DIR_SIZES = """dir_sizes as (
@@ -400,19 +402,10 @@ REPORT_SECRETS = SECRETS.replace("secret_files", "files")
     (select count(*) from found s where s.repo = f.repo) as secrets
   from files f where repo in (select repo from guarded) group by f.repo""")
 def _(c):
-    files = c.files
-    per_file = stats.file_stats(files)
-    parsed = pymetrics.parsed_files(files)
-    guarded = tree.nest_tree(files, guard="drop")
-    reports = report.assemble_report(
-        totals=stats.repo_totals(files, per_file), primary=stats.primary_language(per_file),
-        languages=stats.language_lines(per_file),
-        complexity=pymetrics.repo_complexity(pymetrics.file_metrics(parsed)),
-        markers=stats.marker_totals(files),
-        top_functions=pymetrics.top_complex_functions(pymetrics.function_metrics(parsed)),
-        largest=keyfiles.largest_files(files, 10), important=keyfiles.important_files(files),
-        dependency_map=deps.dependency_map(deps.dependencies(files)), secrets=secrets.find_secrets(files),
-        tree=guarded, now=F.lit("2024-01-01 00:00:00").cast("timestamp"),
+    per_file = materialize(facts.file_facts(c.files))
+    guarded = tree.nest_tree(per_file, guard="drop")
+    reports = jobs.report_of(
+        per_file, deps.dependencies(c.files), guarded, now=F.lit("2024-01-01 00:00:00").cast("timestamp")
     ).join(guarded.select("repo"), "repo", "left_semi")
     r = "report."
     pairs = lambda name, a, b: F.array_join(
