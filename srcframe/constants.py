@@ -97,5 +97,9 @@ GENERATED_MARKER = "# -- generated by srcframe --"
 # Line breaks as str.splitlines() sees them, and white space as str.strip() sees it.
 LINE_BREAKS = r"\n-\r\x1c-\x1e\x85\u2028\u2029"
 WHITE_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_SPACE_CHARS = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # White space that does not end a line.
 BLANKS = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"

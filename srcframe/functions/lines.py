@@ -4,17 +4,19 @@ Line counts come from counting matches over the whole text. That neither builds
 array of lines nor strips each one, so a long file costs one pass per class.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from srcframe.constants import (
     BLANKS, HASH_COMMENT_LANGUAGES, LANGUAGE_BY_KEY, LINE_BREAKS,
-    SLASH_COMMENT_LANGUAGES, WHITE_SPACE,
+    SLASH_COMMENT_LANGUAGES, WHITE_SPACE, WHITE_SPACE_CHARS,
 )
 from srcframe.functions.paths import file_name, suffix
 
 _BREAK = rf"\r\n|[{LINE_BREAKS}]"
-_LINE_START = rf"(?<![^{LINE_BREAKS}])(?<!\r(?=\n))"
-_LINE_END = rf"(?![^{LINE_BREAKS}])"
+# Line breaks other than LF, which most texts do not hold.
+_RARE_BREAKS = "\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def unify_newlines(text: Column) -> Column:
@@ -34,27 +36,47 @@ def split_lines(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WHITE_SPACE}]+|[{WHITE_SPACE}]+\z", "")
+    """Both ends without white space; only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_SPACE_CHARS))
 
 
 def _open_tail(text: Column) -> Column:
     """1 when the text ends without a line break, else 0 (also for an empty text)."""
-    return F.when(text.rlike(rf"[^{LINE_BREAKS}]\z"), F.lit(1)).otherwise(F.lit(0))
+    return F.when(F.right(text, F.lit(1)).rlike(rf"[^{LINE_BREAKS}]"), F.lit(1)).otherwise(F.lit(0))
+
+
+def _per_break(text: Column, rest: str) -> Column:
+    """Matches of a line break followed by ``rest``.
+
+    A search for one literal character is several times faster than one for a class, so
+    the class is used only on texts that hold a rare line break.
+    """
+    rare = reduce(lambda a, b: a | b, [text.contains(c) for c in _RARE_BREAKS])
+    # CRLF is one break: its CR does not count.
+    any_break = rf"[{LINE_BREAKS}](?<!\r(?=\n))"
+    return F.when(rare, F.regexp_count(text, F.lit(any_break + rest))).otherwise(
+        F.regexp_count(text, F.lit("\n" + rest))
+    )
 
 
 def line_count(text: Column) -> Column:
-    return (F.regexp_count(text, F.lit(_BREAK)) + _open_tail(text)).cast("bigint")
+    return (_per_break(text, "") + _open_tail(text)).cast("bigint")
+
+
+def _line_starts(text: Column) -> Column:
+    """The text with a break before its first line, so that every line follows a break."""
+    return F.concat(F.lit("\n"), text)
 
 
 def blank_count(text: Column) -> Column:
     """Lines that hold nothing but white space."""
-    hits = F.regexp_count(text, F.lit(rf"{_LINE_START}[{BLANKS}]*+{_LINE_END}"))
+    hits = _per_break(_line_starts(text), rf"[{BLANKS}]*+(?=[{LINE_BREAKS}]|\z)")
     # The empty stretch after a final line break (or in an empty text) is no line.
     return (hits - (F.lit(1) - _open_tail(text))).cast("bigint")
 
 
 def _marked(text: Column, marker: str) -> Column:
-    return F.regexp_count(text, F.lit(rf"{_LINE_START}[{BLANKS}]*+{marker}"))
+    return _per_break(_line_starts(text), rf"[{BLANKS}]*+{marker}")
 
 
 def comment_count(text: Column, language: Column) -> Column:

@@ -15,30 +15,41 @@ MASK = "****"
 
 
 class SecretRule(NamedTuple):
-    """``regex`` has two groups: what stays readable, and the value to mask."""
+    """``regex`` has two groups: what stays readable, and the value to mask.
+
+    Every match holds one of ``hints``; texts without any are never searched.
+    """
 
     secret_type: str
     regex: str
+    hints: tuple[str, ...]
 
 
 # Formats their issuers publish; the syntax is shared by the common regex engines.
 DEFAULT_RULES = (
-    SecretRule("aws_access_key_id", r"(\b)((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
-    SecretRule("github_token", r"(\b)(gh[pousr]_[0-9A-Za-z]{36})\b"),
-    SecretRule("slack_token", r"(\b)(xox[abprs]-[0-9A-Za-z-]{10,})"),
-    SecretRule("google_api_key", r"(\b)(AIza[0-9A-Za-z_-]{35})"),
-    SecretRule("private_key", r"(-----BEGIN )((?:[A-Z]+ )?PRIVATE KEY-----)"),
-    SecretRule("jwt", r"(\b)(eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})"),
+    SecretRule("aws_access_key_id", r"(\b)((?:AKIA|ASIA)[0-9A-Z]{16})\b", ("AKIA", "ASIA")),
+    SecretRule("github_token", r"(\b)(gh[pousr]_[0-9A-Za-z]{36})\b",
+               ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    SecretRule("slack_token", r"(\b)(xox[abprs]-[0-9A-Za-z-]{10,})", ("xox",)),
+    SecretRule("google_api_key", r"(\b)(AIza[0-9A-Za-z_-]{35})", ("AIza",)),
+    SecretRule("private_key", r"(-----BEGIN )((?:[A-Z]+ )?PRIVATE KEY-----)", ("PRIVATE KEY-----",)),
+    SecretRule("jwt", r"(\b)(eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})", ("eyJ",)),
     SecretRule(
         "assigned_secret",
         r"((?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[ \t]*[:=][ \t]*[\"'])"
         r"([^\"'\n]{8,})",
+        ("ey", "KEY", "oken", "TOKEN", "ecret", "SECRET", "assword", "PASSWORD"),
     ),
 )
 
 
+def _holds(text: Column, rule: SecretRule) -> Column:
+    hinted = reduce(lambda a, b: a | b, [text.contains(h) for h in rule.hints])
+    return hinted & text.rlike(rule.regex)
+
+
 def _any(text: Column, rules: Sequence[SecretRule]) -> Column:
-    return text.rlike("|".join(f"(?:{r.regex})" for r in rules))
+    return reduce(lambda a, b: a | b, [_holds(text, r) for r in rules])
 
 
 def masked(line: Column, rules: Sequence[SecretRule]) -> Column:
@@ -58,7 +69,7 @@ def secret_hits(text: Column, rules: Sequence[SecretRule] = DEFAULT_RULES) -> Co
 
     def entries(hit):
         line = hit["line"]
-        types = F.array(*[F.when(line.rlike(r.regex), F.lit(r.secret_type)) for r in rules])
+        types = F.array(*[F.when(_holds(line, r), F.lit(r.secret_type)) for r in rules])
         content = strip(masked(line, rules))
         return F.transform(F.array_compact(types), lambda kind: F.struct(
             kind.alias("secret_type"), hit["n"].alias("line_number"), content.alias("line_content")
