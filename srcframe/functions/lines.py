@@ -24,6 +24,10 @@ def unify_newlines(text: Column) -> Column:
     return F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
+def _has_rare_break(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in _RARE_BREAKS])
+
+
 def split_lines(text: Column) -> Column:
     """Array of lines; the last line break adds no empty line."""
     def without_tail(parts):
@@ -31,8 +35,9 @@ def split_lines(text: Column) -> Column:
             F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
         ).otherwise(parts)
 
+    parts = F.when(_has_rare_break(text), F.split(text, _BREAK, -1)).otherwise(F.split(text, "\n", -1))
     # Bound by a lambda, so that the text is split once and not at every mention.
-    return F.get(F.transform(F.array(F.split(text, _BREAK, -1)), without_tail), F.lit(0))
+    return F.get(F.transform(F.array(parts), without_tail), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -51,10 +56,9 @@ def _per_break(text: Column, rest: str) -> Column:
     A search for one literal character is several times faster than one for a class, so
     the class is used only on texts that hold a rare line break.
     """
-    rare = reduce(lambda a, b: a | b, [text.contains(c) for c in _RARE_BREAKS])
     # CRLF is one break: its CR does not count.
     any_break = rf"[{LINE_BREAKS}](?<!\r(?=\n))"
-    return F.when(rare, F.regexp_count(text, F.lit(any_break + rest))).otherwise(
+    return F.when(_has_rare_break(text), F.regexp_count(text, F.lit(any_break + rest))).otherwise(
         F.regexp_count(text, F.lit("\n" + rest))
     )
 

@@ -1,7 +1,7 @@
 """Dependencies declared in the manifests at a repository's root.
 
-Every parser returns (repo, manifest, pos, dep). A manifest is one file, so its array
-of names is bounded by that file.
+Every parser returns (repo, manifest, deps). A manifest is one file, so its array of
+names is bounded by that file.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from srcframe.functions.lines import split_lines, strip
 from srcframe.session import compute_once
 
 
-def _rows(files: DataFrame, manifest: str, names: Column) -> DataFrame:
-    named = compute_once(files.where(F.col("path") == manifest), _names=names)
-    return named.select(
-        "repo", F.lit(manifest).alias("manifest"), F.posexplode("_names").alias("pos", "dep")
-    )
+def _lists(files: DataFrame, manifest: str, names: Column) -> DataFrame:
+    """(repo, manifest, deps) of the root manifests that name any."""
+    named = compute_once(files.where(F.col("path") == manifest), deps=names)
+    return named.where(F.size("deps") > 0).select("repo", F.lit(manifest).alias("manifest"), "deps")
 
 
 def requirement_names(text: Column) -> Column:
@@ -32,7 +31,7 @@ def requirement_names(text: Column) -> Column:
 
 
 def parse_requirements(files: DataFrame) -> DataFrame:
-    return _rows(files, "requirements.txt", requirement_names(F.col("content")))
+    return _lists(files, "requirements.txt", requirement_names(F.col("content")))
 
 
 def package_names(text: Column) -> Column:
@@ -46,7 +45,7 @@ def package_names(text: Column) -> Column:
 
 
 def parse_package_json(files: DataFrame) -> DataFrame:
-    return _rows(files, "package.json", package_names(F.col("content")))
+    return _lists(files, "package.json", package_names(F.col("content")))
 
 
 @arrow_udf(ArrayType(StringType()))
@@ -72,26 +71,22 @@ def parse_pyproject(files: DataFrame) -> DataFrame:
     listed = files.where(F.col("path") == "pyproject.toml").select(
         "repo", "path", _toml_names("content").alias("_listed")
     )
-    return _rows(listed, "pyproject.toml", F.col("_listed"))
+    return _lists(listed, "pyproject.toml", F.col("_listed"))
 
 
-def dependencies(files: DataFrame) -> DataFrame:
+def dependency_lists(files: DataFrame) -> DataFrame:
+    """(repo, manifest, deps): the names of each manifest in order. Nothing is shuffled."""
     return parse_requirements(files).unionByName(parse_pyproject(files)).unionByName(
         parse_package_json(files)
     )
 
 
-def dependency_lists(deps: DataFrame) -> DataFrame:
-    """(repo, manifest, deps): the names of each manifest in order."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "dep")))
-    return deps.groupBy("repo", "manifest").agg(
-        F.transform(listed, lambda s: s["dep"]).alias("deps")
-    )
+def dependencies(lists: DataFrame) -> DataFrame:
+    """(repo, manifest, pos, dep): one row per name."""
+    return lists.select("repo", "manifest", F.posexplode("deps").alias("pos", "dep"))
 
 
-def dependency_map(deps: DataFrame) -> DataFrame:
+def dependency_map(lists: DataFrame) -> DataFrame:
     """(repo, dependency_files_found): manifest to names. At most three manifests each."""
     entries = F.array_sort(F.collect_list(F.struct("manifest", "deps")))
-    return dependency_lists(deps).groupBy("repo").agg(
-        F.map_from_entries(entries).alias("dependency_files_found")
-    )
+    return lists.groupBy("repo").agg(F.map_from_entries(entries).alias("dependency_files_found"))

@@ -26,7 +26,7 @@ def distill_inputs(
     kept = filters.keep_source_suffixes(filters.drop_symlinks(files))
     if outputs is not None:
         kept = filters.drop_paths(kept, outputs)
-    return filters.drop_nul_texts(filters.drop_generated(kept, "first_line", marker))
+    return filters.keep_plain_texts(kept, "first_line", marker)
 
 
 def distilled(inputs: DataFrame, level: int = 2, anchors: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from srcframe.constants import (
 )
 from srcframe.functions.globs import any_shell_match, quote
 from srcframe.functions.lines import first_line
-from srcframe.session import broadcast_if_small
+from srcframe.session import broadcast_if_small, compute_once
 
 
 def _below_any(names: Sequence[str]) -> Column:
@@ -79,6 +79,14 @@ def drop_generated(
     raise ValueError(f"unknown place: {where}")
 
 
+def keep_plain_texts(files: DataFrame, where: str, marker: str = GENERATED_MARKER) -> DataFrame:
+    """Drop texts with NUL and texts this package wrote, in one look at each text."""
+    text = F.col("content")
+    written = text.startswith(marker) if where == "start" else first_line(text).contains(marker)
+    flagged = compute_once(files, _plain=~text.contains("\u0000") & ~written)
+    return flagged.where("_plain").drop("_plain")
+
+
 def drop_paths(files: DataFrame, outputs: DataFrame) -> DataFrame:
     """Drop the (repo, path) rows of ``outputs``: a job's own results are not its input."""
     return files.join(

@@ -33,7 +33,7 @@ def pack_inputs(
     kept = filters.keep_size_band(kept, max_kb)
     if outputs is not None:
         kept = filters.drop_paths(kept, outputs)
-    return filters.drop_nul_texts(filters.drop_generated(kept, "start", marker))
+    return filters.keep_plain_texts(kept, "start", marker)
 
 
 def _value(lines: Column, complexity: Column, functions: Column) -> Column:

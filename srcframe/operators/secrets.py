@@ -86,5 +86,4 @@ def listed_secrets(hits: DataFrame) -> DataFrame:
 
 def find_secrets(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) -> DataFrame:
     """One row per line and rule that match, with the secret values masked."""
-    suspects = files.where(_any(F.col("content"), rules))
-    return listed_secrets(compute_once(suspects, secrets=secret_hits(F.col("content"), rules)))
+    return listed_secrets(compute_once(files, secrets=secret_hits(F.col("content"), rules)))

@@ -49,13 +49,13 @@ def scan(
     sized = ignore.with_lfs(seen, ignore.lfs_patterns(files))
     per_file = materialize(facts.file_facts(sized))
     return report_of(
-        per_file, deps.dependencies(files), tree.nest_tree(per_file, empty_dirs, max_files, "drop"),
+        per_file, deps.dependency_lists(files), tree.nest_tree(per_file, empty_dirs, max_files, "drop"),
         custom_rules, now,
     )
 
 
 def report_of(
-    per_file: DataFrame, dependencies: DataFrame, trees: DataFrame,
+    per_file: DataFrame, dependency_lists: DataFrame, trees: DataFrame,
     custom_rules: dict | None = None, now: Column | None = None,
 ) -> DataFrame:
     """(repo, report) from stored file facts; no text is read again."""
@@ -70,7 +70,7 @@ def report_of(
         top_functions=pymetrics.top_complex_functions(pymetrics.function_metrics(parsed)),
         largest=keyfiles.largest_files(per_file, 10),
         important=keyfiles.important_files(per_file, custom_rules),
-        dependency_map=deps.dependency_map(dependencies),
+        dependency_map=deps.dependency_map(dependency_lists),
         secrets=secret_rules.listed_secrets(per_file),
         tree=trees,
         now=now,

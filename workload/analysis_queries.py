@@ -86,7 +86,7 @@ def _(c):
         .unionByName(c.manifests("package.json", PACKAGE_JSON))
         .unionByName(c.manifests("pyproject.toml", PYPROJECT))
     )
-    listed = deps.dependency_lists(deps.dependencies(files))
+    listed = deps.dependency_lists(files)
     return listed.select(
         "repo", "manifest", F.md5(F.encode(F.array_join("deps", "|"), "UTF-8")).alias("names"),
         F.size("deps").cast("bigint").alias("n"),
@@ -405,7 +405,7 @@ def _(c):
     per_file = materialize(facts.file_facts(c.files))
     guarded = tree.nest_tree(per_file, guard="drop")
     reports = jobs.report_of(
-        per_file, deps.dependencies(c.files), guarded, now=F.lit("2024-01-01 00:00:00").cast("timestamp")
+        per_file, deps.dependency_lists(c.files), guarded, now=F.lit("2024-01-01 00:00:00").cast("timestamp")
     ).join(guarded.select("repo"), "repo", "left_semi")
     r = "report."
     pairs = lambda name, a, b: F.array_join(
