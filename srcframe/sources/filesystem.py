@@ -35,7 +35,7 @@ class _ListingReader(DataSourceReader):
     def __init__(self, options):
         self.roots = [tuple(x.split("\t", 1)) for x in options["roots"].split("\n") if x]
         self.skip_dirs = set(filter(None, options.get("skip_dirs", "").split("\n")))
-        self.hidden = options.get("include_hidden", "false") == "true"
+        self.hidden = options.get("enter_hidden", "false") == "true"
         self.wanted = int(options.get("partitions", "64"))
 
     def _enter(self, name):
@@ -114,13 +114,14 @@ class FileListing(DataSource):
 def list_repos(
     spark: SparkSession,
     roots: Sequence[str] | Mapping[str, str],
-    include_hidden: bool = True,
+    enter_hidden: bool = True,
     skip_dirs: Sequence[str] = DEFAULT_IGNORED_DIRS,
     partitions: int | None = None,
 ) -> DataFrame:
     """Listing of ``roots`` (paths, or repository name to path); no file is opened.
 
-    A missing root is an error when the plan starts, as is a root that is no directory.
+    ``enter_hidden`` is about directories; hidden files are always listed, as rule files
+    are among them. A missing root is an error, as is a root that is no directory.
     Roots must be visible to all executors (a shared mount).
     """
     pairs = roots.items() if isinstance(roots, Mapping) else (
@@ -132,7 +133,7 @@ def list_repos(
         spark.read.format(FORMAT)
         .option("roots", "\n".join(named))
         .option("skip_dirs", "\n".join(skip_dirs))
-        .option("include_hidden", str(include_hidden).lower())
+        .option("enter_hidden", str(enter_hidden).lower())
         .option("partitions", str(partitions or spark.sparkContext.defaultParallelism * 4))
         .load()
     )
