@@ -10,6 +10,7 @@ from srcframe.functions import lines
 from srcframe.functions.python_code import python_metrics
 from srcframe.operators.pymetrics import python_only
 from srcframe.operators.secrets import DEFAULT_RULES, SecretRule, secret_hits
+from srcframe.session import compute_once
 
 
 def file_facts(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) -> DataFrame:
@@ -21,17 +22,22 @@ def file_facts(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) ->
     """
     text, language = F.col("content"), F.col("language")
     known = language.isNotNull()
-    counted = files.withColumn("language", lines.language_of(F.col("path"))).select(
-        "repo", "path", "name", "suffix", "size_bytes", "is_lfs_pointer", "real_size", "walk_key",
-        "language",
-        F.when(known, lines.line_count(text)).alias("_lines"),
-        F.when(known, lines.blank_count(text)).alias("blank"),
-        F.when(known, lines.comment_count(text, language)).alias("comment"),
-        lines.content_hash(text).alias("content_hash"),
-        lines.marker_count(text, "TODO").alias("todo_count"),
-        lines.marker_count(text, "FIXME").alias("fixme_count"),
-        secret_hits(text, rules).alias("secrets"),
-        python_metrics(python_only(text, F.col("suffix"))).alias("parsed"),
+    # All columns of the JVM come first, so that rows wait for the Python worker without
+    # their texts.
+    counted = compute_once(
+        files.withColumn("language", lines.language_of(F.col("path"))),
+        _lines=F.when(known, lines.line_count(text)),
+        blank=F.when(known, lines.blank_count(text)),
+        comment=F.when(known, lines.comment_count(text, language)),
+        content_hash=lines.content_hash(text),
+        todo_count=lines.marker_count(text, "TODO"),
+        fixme_count=lines.marker_count(text, "FIXME"),
+        secrets=secret_hits(text, rules),
+        _python=python_only(text, F.col("suffix")),
     )
     code = F.col("_lines") - F.col("blank") - F.col("comment")
-    return counted.withColumn("code", code).drop("_lines")
+    return counted.select(
+        "repo", "path", "name", "suffix", "size_bytes", "is_lfs_pointer", "real_size", "walk_key",
+        "language", code.alias("code"), "blank", "comment", "content_hash", "todo_count",
+        "fixme_count", "secrets", python_metrics("_python").alias("parsed"),
+    )

@@ -65,7 +65,11 @@ def important_files_by_repo(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def important_lists(important: DataFrame) -> DataFrame:
-    """(repo, paths): sorted list per repository, for repositories under the file guard."""
+    """(repo, paths): sorted list per repository.
+
+    One row holds a whole list, so pass files that went through the file guard;
+    :func:`important_files` has no bound.
+    """
     return important.groupBy("repo").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 

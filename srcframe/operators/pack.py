@@ -57,11 +57,11 @@ def pack_candidates(
     """
     text = F.col("content")
     fits = (F.col("cost") > 0) & (F.col("cost") + TOKENS_PER_FILE_OVERHEAD <= budget)
-    sized = compute_once(inputs, cost=token_count(text, method)).where(fits).select(
-        "repo", "path", "walk_key", "cost",
-        line_count(text).alias("lines"),
-        python_only(text, F.col("suffix")).alias("_python"),
-    )
+    # Only Python texts go on from here, and only to the worker that measures them.
+    sized = compute_once(
+        inputs, cost=token_count(text, method), lines=line_count(text),
+        _python=python_only(text, F.col("suffix")),
+    ).where(fits).select("repo", "path", "walk_key", "cost", "lines", "_python")
     if metrics is None:
         parsed = sized.withColumn("_parsed", python_metrics("_python"))
         functions = F.col("_parsed.functions")

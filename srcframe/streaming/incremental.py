@@ -61,8 +61,9 @@ def analyse_changes(
     """Results of ``job`` for the unseen versions only, ready to append to the store."""
     fresh = broadcast_if_small(materialize(unseen_versions(files, known)))
     hashed = files.withColumn("content_hash", content_hash(F.col("content")))
-    todo = hashed.join(fresh, KEY, "left_semi").dropDuplicates(KEY).drop("content_hash")
-    return job(todo).withColumn("version", F.lit(version).cast("bigint"))
+    todo = hashed.join(fresh, KEY, "left_semi").drop("content_hash")
+    # Repeats are dropped from the narrow results, not from the texts.
+    return job(todo).dropDuplicates(KEY).withColumn("version", F.lit(version).cast("bigint"))
 
 
 def current_results(store: DataFrame) -> DataFrame:

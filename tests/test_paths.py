@@ -104,3 +104,12 @@ def test_tree_round_trip(spark, make_files):
     assert sorted((r.path, r.type, r.size_bytes) for r in rows) == sorted(want)
     sizes = {r.dir: r.size_bytes for r in tree.directory_sizes(files).collect()}
     assert sizes == {"a": 3, "a/b": 2, "é": 3}
+
+
+def test_top_files_are_cut_before_the_shuffle(make_files):
+    from srcframe.operators import keyfiles
+
+    plan = keyfiles.largest_files(make_files({"a.py": "x"}), 10)._jdf.queryExecution().executedPlan().toString()
+    final, partial = plan.find("WindowGroupLimit"), plan.rfind("WindowGroupLimit")
+    assert 0 < final < plan.find("Exchange hashpartitioning") < partial
+    assert "content" not in plan[:plan.find("Exchange hashpartitioning")]

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from srcframe.functions import tokens as token_functions
 from srcframe.operators import (
-    deps, distill, facts, findings, keyfiles, ordering, pack, pymetrics, secrets, stats, tree,
+    deps, distill, facts, filters, findings, keyfiles, ordering, pack, pymetrics, secrets, stats, tree,
 )
 from srcframe.plans import jobs
 from srcframe.session import materialize
@@ -203,10 +203,15 @@ def _(c):
     return keyfiles.important_files_by_repo(c.files, rules.distinct())
 
 
-@query("important_lists", FILES + f""", hits as (select repo, path from files where {IMPORTANT})
+GUARDED = "guarded as (select repo from files group by repo having count(*) <= 5000)"
+
+
+@query("important_lists", FILES + f""", {GUARDED},
+  hits as (select repo, path from files where repo in (select repo from guarded) and ({IMPORTANT}))
   select repo, count(*) as n, md5(string_agg(path, '|' order by path)) as paths from hits group by repo""")
 def _(c):
-    listed = keyfiles.important_lists(keyfiles.important_files(c.files))
+    guarded = filters.guard_max_files(c.files, mode="drop")
+    listed = keyfiles.important_lists(keyfiles.important_files(guarded))
     return listed.select(
         "repo", F.size("paths").cast("bigint").alias("n"),
         F.md5(F.encode(F.array_join("paths", "|"), "UTF-8")).alias("paths"),
@@ -368,9 +373,6 @@ def _(c):
     return nodes.select("repo", "path", "name", "type", F.col("depth").cast("bigint").alias("depth"), "size_bytes", "walk_key")
 
 
-GUARDED = "guarded as (select repo from files group by repo having count(*) <= 5000)"
-
-
 @query("nested_tree")
 def _(c):
     return tree.nest_tree(c.files, guard="drop")
@@ -402,11 +404,12 @@ REPORT_SECRETS = SECRETS.replace("secret_files", "files")
     (select count(*) from found s where s.repo = f.repo) as secrets
   from files f where repo in (select repo from guarded) group by f.repo""")
 def _(c):
-    per_file = materialize(facts.file_facts(c.files))
-    guarded = tree.nest_tree(per_file, guard="drop")
+    files = filters.guard_max_files(c.files, mode="drop")
+    per_file = materialize(facts.file_facts(files))
     reports = jobs.report_of(
-        per_file, deps.dependency_lists(c.files), guarded, now=F.lit("2024-01-01 00:00:00").cast("timestamp")
-    ).join(guarded.select("repo"), "repo", "left_semi")
+        per_file, deps.dependency_lists(files), tree.nest_tree(per_file),
+        now=F.lit("2024-01-01 00:00:00").cast("timestamp"),
+    )
     r = "report."
     pairs = lambda name, a, b: F.array_join(
         F.transform(name, lambda x: F.concat(x[a], F.lit("="), x[b].cast("string"))), ",")
