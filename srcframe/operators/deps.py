@@ -1,7 +1,6 @@
 """Dependencies declared in the manifests at a repository's root.
 
-Every parser returns (repo, manifest, deps). A manifest is one file, so its array of
-names is bounded by that file.
+A manifest is one file, so its array of names is bounded by that file.
 """
 
 from __future__ import annotations
@@ -15,10 +14,7 @@ from srcframe.functions.lines import split_lines, strip
 from srcframe.session import compute_once
 
 
-def _lists(files: DataFrame, manifest: str, names: Column) -> DataFrame:
-    """(repo, manifest, deps) of the root manifests that name any."""
-    named = compute_once(files.where(F.col("path") == manifest), deps=names)
-    return named.where(F.size("deps") > 0).select("repo", F.lit(manifest).alias("manifest"), "deps")
+MANIFESTS = ("requirements.txt", "pyproject.toml", "package.json")
 
 
 def requirement_names(text: Column) -> Column:
@@ -30,10 +26,6 @@ def requirement_names(text: Column) -> Column:
     return F.filter(names, lambda s: s != "")
 
 
-def parse_requirements(files: DataFrame) -> DataFrame:
-    return _lists(files, "requirements.txt", requirement_names(F.col("content")))
-
-
 def package_names(text: Column) -> Column:
     """Keys of both dependency sections; a malformed document has none."""
     def keys(section):
@@ -44,10 +36,6 @@ def package_names(text: Column) -> Column:
     return F.when(F.json_object_keys(text).isNotNull(), both)
 
 
-def parse_package_json(files: DataFrame) -> DataFrame:
-    return _lists(files, "package.json", package_names(F.col("content")))
-
-
 @arrow_udf(ArrayType(StringType()))
 def _toml_names(texts):
     import tomllib
@@ -55,6 +43,8 @@ def _toml_names(texts):
     import pyarrow as pa
 
     def names(text):
+        if text is None:
+            return []
         try:
             data = tomllib.loads(text)
             listed = list(data.get("project", {}).get("dependencies") or [])
@@ -66,19 +56,24 @@ def _toml_names(texts):
     return pa.array([names(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def parse_pyproject(files: DataFrame) -> DataFrame:
-    """Standard list entries as written, then the keys of the Poetry table."""
-    listed = files.where(F.col("path") == "pyproject.toml").select(
-        "repo", "path", _toml_names("content").alias("_listed")
-    )
-    return _lists(listed, "pyproject.toml", F.col("_listed"))
-
+def dependency_lists(files: DataFrame, manifests: tuple[str, ...] = MANIFESTS) -> DataFrame:
+    """(repo, manifest, deps): the names in each root manifest, in order.
 
-def dependency_lists(files: DataFrame) -> DataFrame:
-    """(repo, manifest, deps): the names of each manifest in order. Nothing is shuffled."""
-    return parse_requirements(files).unionByName(parse_pyproject(files)).unionByName(
-        parse_package_json(files)
+    One scan finds all kinds of manifests, and nothing is shuffled. From the project
+    file come the listed requirements as written, then the keys of the Poetry table.
+    """
+    path, text = F.col("path"), F.col("content")
+    found = files.where(path.isin(*manifests)).select(
+        "repo", "path", "content",
+        _toml_names(F.when(path == "pyproject.toml", text)).alias("_toml"),
+    )
+    names = (
+        F.when(path == "requirements.txt", requirement_names(text))
+        .when(path == "package.json", package_names(text))
+        .otherwise(F.col("_toml"))
     )
+    named = compute_once(found, deps=names).where(F.size("deps") > 0)
+    return named.select("repo", path.alias("manifest"), "deps")
 
 
 def dependencies(lists: DataFrame) -> DataFrame:

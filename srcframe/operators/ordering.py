@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcframe.session import broadcast_if_small, materialize
 
+RANK_LOTS = 256
+
 
 def running_total(
     df: DataFrame,
@@ -68,8 +70,12 @@ def top_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group.
 
-    Spark cuts each task's rows to ``n`` per group before the shuffle, so the final
-    window never sees more than ``n`` rows per map task.
+    Spark cuts each task's rows to ``n`` per group before a shuffle. A group with rows in
+    very many tasks still brings ``n`` from each, so tasks are first ranked in lots and
+    the final window gets no more than ``n`` rows per lot.
     """
-    window = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= max(0, n))
+    lots = df.withColumn("_lot", F.pmod(F.spark_partition_id(), F.lit(RANK_LOTS)))
+    for keys in ([*group, "_lot"], group):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        lots = lots.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= max(0, n))
+    return lots.drop("_lot")

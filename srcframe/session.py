@@ -31,17 +31,13 @@ def build_session(app: str = "srcframe", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    return spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``.
 
     Only a session that runs inside one machine may fall back to a folder of its own:
     a machine-local folder would be lost with its executor.
     """
-    if _has_checkpoint_dir(spark):
+    if spark.sparkContext.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:

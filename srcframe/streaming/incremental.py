@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcframe.functions.lines import content_hash
@@ -77,11 +78,12 @@ def current_results(store: DataFrame) -> DataFrame:
 
 def read_store(spark: SparkSession, folder: str, schema) -> DataFrame:
     """The stored results, empty before the first run."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path):
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
 
 
 def update_store(files: DataFrame, folder: str, version: int, job=analyse) -> None:

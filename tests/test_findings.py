@@ -18,7 +18,7 @@ REQUIREMENTS = [
 def test_requirements(make_files):
     files = make_files([(str(i), "requirements.txt", text) for i, (text, _) in enumerate(REQUIREMENTS)]
                        + [("nested", "sub/requirements.txt", "x")])
-    got = {r.repo: r.deps for r in deps.parse_requirements(files).collect()}
+    got = {r.repo: r.deps for r in deps.dependency_lists(files).collect()}
     assert got == {str(i): want for i, (_, want) in enumerate(REQUIREMENTS) if want}
 
 

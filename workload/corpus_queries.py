@@ -256,7 +256,7 @@ REQUIREMENT_ROWS = f"""
 
 @query("requirement_names", REQUIREMENT_ROWS)
 def _(c):
-    found = deps.dependencies(deps.parse_requirements(c.manifests("requirements.txt", REQUIREMENTS)))
+    found = deps.dependencies(deps.dependency_lists(c.manifests("requirements.txt", REQUIREMENTS)))
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -269,7 +269,7 @@ PACKAGE_ROWS = f"""
 
 @query("package_names", PACKAGE_ROWS)
 def _(c):
-    found = deps.dependencies(deps.parse_package_json(c.manifests("package.json", PACKAGE_JSON)))
+    found = deps.dependencies(deps.dependency_lists(c.manifests("package.json", PACKAGE_JSON)))
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -282,7 +282,7 @@ PYPROJECT_ROWS = f"""
 
 @query("pyproject_names", PYPROJECT_ROWS)
 def _(c):
-    found = deps.dependencies(deps.parse_pyproject(c.manifests("pyproject.toml", PYPROJECT)))
+    found = deps.dependencies(deps.dependency_lists(c.manifests("pyproject.toml", PYPROJECT)))
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
