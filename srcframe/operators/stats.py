@@ -28,11 +28,8 @@ def file_stats(files: DataFrame, *extra: Column) -> DataFrame:
         lines.content_hash(text).alias("content_hash"),
         *extra,
     )
-    return known.select(
-        "repo", "path", "walk_key", "language",
-        (F.col("_lines") - F.col("blank") - F.col("comment")).alias("code"),
-        "blank", "comment", "content_hash", *known.columns[8:],
-    )
+    code = F.col("_lines") - F.col("blank") - F.col("comment")
+    return known.withColumn("code", code).drop("_lines")
 
 
 def language_lines(stats: DataFrame) -> DataFrame:

@@ -109,3 +109,25 @@ def test_stream(spark, make_files, tmp_path):
     assert query.awaitTermination(120)
     rows = spark.read.parquet(store).collect()
     assert sorted((r.path, r.code) for r in rows) == [("a.py", 1), ("b.sh", 1), ("b.sh", 1)]
+
+
+def test_a_large_text_is_written_by_many_tasks_in_order(spark, make_files, tmp_path):
+    from srcframe.operators import distill
+
+    rows = [("big", f"d{i % 7}/f{i:04d}.md", f"text {i}") for i in range(400)] + [("small", "a.md", "x")]
+    texts = distill.distilled(distill.distill_inputs(make_files(rows)), 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_distilled(distill.distilled_blocks(texts), str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted((tmp_path / "out" / "repo=big").glob("part-*.txt"))
+    assert len(parts) > 1
+    written = "".join(p.read_text() for p in parts)
+    rule = "=" * 50
+    blocks = [f"{rule}\n--- FILE: {p} ---\n{rule}\n{t}\n\n" for _, p, t in sorted(rows) if p != "a.md"]
+    assert written == "# -- generated by srcframe --\n\n" + "\n".join(blocks) + "\n"
+    ranges = {r.path: r for r in distill.line_ranges(texts).collect() if r.repo == "big"}
+    lines = written.split("\n")
+    for _, path, text in rows[:400]:
+        assert lines[ranges[path].output_first_line - 1] == text
