@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 
 from srcframe.llm.common import map_texts, per_worker
+from srcframe.llm.words import WordTable
 
 # Words, and states of the transducer, that a task remembers; a full table starts anew.
 REMEMBERED = 800_000
@@ -195,22 +196,6 @@ def chunks(text: str, cut) -> Iterator[str]:
     yield text[start:]
 
 
-class Known(dict):
-    """Values by word, made when first asked for; a full table starts anew."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word):
-        value = self.make(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) < 64:
-            self[word] = value
-        return value
-
-
 class Words:
     """The matches of a word pattern, for long texts in parts.
 
@@ -253,7 +238,7 @@ class Encoder:
 
         self.transducer = Transducer(ranks)
         self.words = Words(pattern)
-        self.known = Known(self._ids)
+        self.known = WordTable(self._ids, REMEMBERED)
 
     def _ids(self, word: str) -> bytes:
         import struct

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcframe.llm import bpe_transducer, token_counts
+from srcframe.llm import bpe_transducer, quality, token_counts
 from srcframe.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,9 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(load(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.classify(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")

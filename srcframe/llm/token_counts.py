@@ -15,8 +15,9 @@ import heapq
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcframe.llm.bpe_transducer import Known, Words
+from srcframe.llm.bpe_transducer import REMEMBERED, Words
 from srcframe.llm.common import map_texts, per_worker
+from srcframe.llm.words import WordTable
 
 # Fixed value: the word pattern of byte-level vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -83,7 +84,7 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.words = Words(PATTERN)
         self.symbols = [number[s] for s in byte_symbols()]
-        self.known = Known(self._tokens)
+        self.known = WordTable(self._tokens, REMEMBERED)
 
     def _tokens(self, word: str) -> int:
         symbols = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
