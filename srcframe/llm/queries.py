@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcframe.llm import bpe_transducer, quality, token_counts, toxicity
+from srcframe.llm import bpe_transducer, html_text, quality, token_counts, toxicity
 from srcframe.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.classify(load(spark, folder, "documents"), load(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "weight", "words")
+
+
+@query
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(load(spark, folder, "pages"))
