@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcframe.llm import bpe_transducer, html_text, quality, token_counts, toxicity
+from srcframe.llm import bpe_transducer, html_text, maxscore, quality, token_counts, toxicity
 from srcframe.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,22 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(load(spark, folder, "pages"))
+
+
+@query
+def op4_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    return maxscore.search(load(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+CHECKS["op4_maxscore"] = """
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))) as bigint) as score
+  from whole q join whole c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 10"""
