@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcframe.llm import bpe_transducer, html_text, maxscore, quality, token_counts, toxicity
+from srcframe.llm import bpe_transducer, decontaminate, html_text, maxscore, quality, token_counts, toxicity
 from srcframe.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ scored as (
   from whole q join whole c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
 select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 10"""
+
+
+@query
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
