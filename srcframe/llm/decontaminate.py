@@ -20,6 +20,7 @@ import dataclasses
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from srcframe.llm.common import stored
 from srcframe.session import broadcast_if_small, compute_once
 
 
@@ -125,5 +126,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that leak an item; rows without a key stay."""
-    found = leaks(docs, benchmark, settings, key, text).select(key).distinct()
-    return docs.join(found, key, "left_anti")
+    found = stored(leaks(docs, benchmark, settings, key, text).select(key).distinct())
+    return docs.join(broadcast_if_small(found), key, "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcframe.llm import bpe_transducer, decontaminate, html_text, maxscore, quality, token_counts, toxicity
+from srcframe.llm import bpe_transducer, decontaminate, html_text, line_dedup, maxscore, quality, token_counts, toxicity
 from srcframe.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,11 @@ select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank
 @query
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+
+
+@query
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.dedup(load(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", "n_removed", F.char_length("text").cast("bigint").alias("n_kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"))
