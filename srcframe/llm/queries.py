@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from srcframe.llm import bpe_transducer, decontaminate, html_text, line_dedup, maxscore, quality, token_counts, toxicity
+from srcframe.llm import bpe_transducer, decontaminate, html_text, jaccard_join, line_dedup, maxscore, quality, token_counts, toxicity
 from srcframe.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select(
         "doc_id", "n_lines", "n_removed", F.char_length("text").cast("bigint").alias("n_kept_chars"),
         F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.classes(load(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
