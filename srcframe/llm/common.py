@@ -82,3 +82,16 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable], schema:
                 yield pa.RecordBatch.from_arrays(columns, schema=shape)
 
     return narrow.mapInArrow(run, out)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read again."""
+    import uuid
+
+    from srcframe.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
