@@ -41,6 +41,8 @@ class Settings:
 
 
 GRAM = 32
+# Bytes of text worked on at a time; numpy needs some eighty times as much.
+PIECE_BYTES = 2 << 20
 # Every residue is the difference of two of the cover modulo the period.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
@@ -161,7 +163,7 @@ def _pieces(batches, extra: tuple[str, ...] = ()):
     import numpy as np
 
     for whole in batches:
-        for batch in pieces(whole, "_text"):
+        for batch in pieces(whole, "_text", PIECE_BYTES):
             texts = batch.column("_text").to_pylist()
             blob = np.frombuffer(b"".join(texts), np.uint8)
             sums = np.array([zlib.crc32(t) for t in texts], np.uint32)
