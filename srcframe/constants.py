@@ -82,7 +82,6 @@ PACK_TOKEN_BUDGET = 250_000
 PACK_MAX_FILE_KB = 100
 TOKENS_PER_FILE_OVERHEAD = 50
 LFS_SPEC_LINE = "https://git-lfs.github.com/spec/v1"
-LFS_SNIPPET_CHARS = 500
 PACK_RULE = "=" * 42
 DISTILL_RULE = "=" * 50
 DISTILL_HEADER_LINES = 3

@@ -8,7 +8,6 @@ from __future__ import annotations
 import ast
 import hashlib
 import math
-import re
 import warnings
 
 import pyarrow as pa
@@ -136,33 +135,47 @@ def measure(text: str) -> dict | None:
     return {"functions": rows, "halstead_volume": volume, "halstead_effort": effort}
 
 
-class _Hollow(ast.NodeTransformer):
-    """Empties function bodies; a hash of the removed lines may stand before each."""
-
-    def __init__(self, lines: list[str], anchors: bool):
-        self.lines = lines
-        self.anchors = anchors
+def _outer_functions(node: ast.AST):
+    """Functions in the order of the text, without those inside another function."""
+    for child in ast.iter_child_nodes(node):
+        if isinstance(child, _DEFS):
+            yield child
+        else:
+            yield from _outer_functions(child)
 
-    def _hollow(self, node):
-        removed = self.lines[node.body[0].lineno - 1:node.body[-1].end_lineno]
-        digest = hashlib.sha256("\n".join(removed).encode()).hexdigest()
-        node.body = [ast.Pass()]
-        if not self.anchors:
-            return node
-        return [ast.Expr(ast.Constant(f"body-sha256: {digest}")), node]
 
-    visit_FunctionDef = visit_AsyncFunctionDef = _hollow
+def _first_line(function) -> int:
+    return min([function.lineno, *(d.lineno for d in function.decorator_list)])
 
 
 def skeleton(text: str, anchors: bool = True) -> str | None:
-    """The text with function bodies replaced by ``pass``; None when it does not parse."""
+    """The text with function bodies replaced by ``pass``; None when it does not parse.
+
+    With ``anchors`` a comment before each function holds the hash of the removed lines.
+    The emptied tree is printed first; where its functions stand is read from the print.
+    """
+    lines, digests = text.splitlines(), []
     try:
-        tree = _Hollow(text.splitlines(), anchors).visit(_parse(text))
-        code = ast.unparse(ast.fix_missing_locations(tree))
+        tree = _parse(text)
+        for function in _outer_functions(tree):
+            removed = lines[function.body[0].lineno - 1:function.body[-1].end_lineno]
+            digests.append(hashlib.sha256("\n".join(removed).encode()).hexdigest())
+            function.body = [ast.Pass()]
+        printed = ast.unparse(tree)
+        if not anchors or not digests:
+            return printed
+        starts = [_first_line(f) - 1 for f in _outer_functions(_parse(printed))]
     except _BAD_SOURCE:
         return None
-    anchor = r"^(\s*)[\"']{1,3}(body-sha256: [0-9a-f]{64})[\"']{1,3}$"
-    return re.sub(anchor, r"\1# \2", code, flags=re.MULTILINE)
+    out, done = printed.split("\n"), 0
+    pieces = []
+    for start, digest in zip(starts, digests, strict=True):
+        indent = out[start][:len(out[start]) - len(out[start].lstrip())]
+        # the empty line before a function stays next to it
+        before = start - 1 if start > done and out[start - 1] == "" else start
+        pieces += [*out[done:before], f"{indent}# body-sha256: {digest}", ""]
+        done = start
+    return "\n".join([*pieces, *out[done:]])
 
 
 def _worker(result_type, job):

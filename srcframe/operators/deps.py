@@ -10,6 +10,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from srcframe.constants import WHITE_SPACE
+from srcframe.functions.json_text import is_one_object
 from srcframe.functions.lines import split_lines, strip
 from srcframe.session import compute_once
 
@@ -33,7 +34,7 @@ def package_names(text: Column) -> Column:
         return F.coalesce(found, F.array().cast("array<string>"))
 
     both = F.concat(keys("dependencies"), keys("devDependencies"))
-    return F.when(F.json_object_keys(text).isNotNull(), both)
+    return F.when(is_one_object(text), both)
 
 
 @arrow_udf(ArrayType(StringType()))

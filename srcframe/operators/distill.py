@@ -8,7 +8,7 @@ from srcframe.constants import (
     DISTILL_FOOTER_LINES, DISTILL_HEADER_LINES, DISTILL_RULE, GENERATED_MARKER,
 )
 from srcframe.functions.lines import distill_text, line_count
-from srcframe.functions.tokens import token_count
+from srcframe.functions.tokens import joined_token_count
 from srcframe.functions.python_code import python_skeleton, python_skeleton_plain
 from srcframe.operators import filters
 from srcframe.operators.ordering import running_total
@@ -71,13 +71,11 @@ def line_ranges(texts: DataFrame) -> DataFrame:
 def distill_stats(blocks: DataFrame, method="pieces", marker: str = GENERATED_MARKER) -> DataFrame:
     """(repo, files_processed, total_tokens) of the written texts.
 
-    Blocks are counted where they are, so no text of a whole repository is built. A
-    method that does not add up over line breaks gives an estimate here.
+    Blocks are counted where they are, so no text of a whole repository is built.
     """
-    counted = blocks.select("repo", token_count(F.col("block"), method).alias("n"))
-    return counted.groupBy("repo").agg(
+    return blocks.groupBy("repo").agg(
         F.count("*").alias("files_processed"),
-        (F.sum("n") + F.first(token_count(F.lit(marker), method))).alias("total_tokens"),
+        joined_token_count(F.col("block"), method, marker, 1).alias("total_tokens"),
     )
 
 

@@ -58,9 +58,10 @@ def keep_source_suffixes(files: DataFrame) -> DataFrame:
     return files.where(F.col("suffix").isin(*SOURCE_SUFFIXES))
 
 
-def keep_size_band(files: DataFrame, max_kb: int = PACK_MAX_FILE_KB) -> DataFrame:
-    """Files with bytes on disk, and no more than ``max_kb`` of them."""
-    return files.where(F.col("disk_size").between(1, max_kb * 1024))
+def keep_size_band(files: DataFrame, max_kb: int | None = PACK_MAX_FILE_KB) -> DataFrame:
+    """Files with bytes on disk, and no more than ``max_kb`` of them; None sets no limit."""
+    kept = files.where(F.col("disk_size") > 0)
+    return kept if max_kb is None else kept.where(F.col("disk_size") <= max_kb * 1024)
 
 
 def drop_nul_texts(files: DataFrame) -> DataFrame:
@@ -101,18 +102,14 @@ def oversized_repos(files: DataFrame, max_files: int = MAX_FILES_PER_REPO) -> Da
     )
 
 
-def guard_max_files(
-    files: DataFrame, max_files: int = MAX_FILES_PER_REPO, mode: str = "error"
-) -> DataFrame:
-    """Stop on (``error``) or leave out (``drop``) repositories above the file limit."""
-    over = oversized_repos(files, max_files)
-    if mode == "error":
-        worst = over.orderBy(F.desc("file_count"), "repo").first()
-        if worst:
-            raise ValueError(
-                f"repository {worst.repo} has {worst.file_count} files, more than {max_files}"
-            )
-        return files
-    if mode == "drop":
-        return files.join(broadcast_if_small(over.select("repo")), "repo", "left_anti")
-    raise ValueError(f"unknown mode: {mode}")
+def guard_max_files(files: DataFrame, max_files: int = MAX_FILES_PER_REPO) -> DataFrame:
+    """Stop when a repository is above the file limit."""
+    worst = oversized_repos(files, max_files).orderBy(F.desc("file_count"), "repo").first()
+    if worst:
+        raise ValueError(f"repository {worst.repo} has {worst.file_count} files, more than {max_files}")
+    return files
+
+
+def repos_within(files: DataFrame, max_files: int) -> DataFrame:
+    """Files of the repositories that :func:`guard_max_files` lets pass."""
+    return files.join(oversized_repos(files, max_files).select("repo"), "repo", "left_anti")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from srcframe.functions.json_text import STRICT, is_one_object
 from srcframe.schemas import CODE_SCAN, DEPENDENCY_SCAN
 
 
 def parse_dependency_scan(scans: DataFrame) -> DataFrame:
     """Vulnerability rows of dependency-scanner documents ``(repo, json)``."""
     found = (
-        scans.select("repo", F.explode(F.from_json("json", DEPENDENCY_SCAN)["results"]).alias("r"))
+        scans.where(is_one_object(F.col("json")))
+        .select("repo", F.explode(F.from_json("json", DEPENDENCY_SCAN, STRICT)["results"]).alias("r"))
         .select("repo", F.explode("r.packages").alias("p"))
         .select("repo", "p.package", F.explode("p.vulnerabilities").alias("v"))
     )
@@ -26,7 +28,8 @@ def parse_dependency_scan(scans: DataFrame) -> DataFrame:
 
 def parse_code_scan(scans: DataFrame) -> DataFrame:
     """Finding rows of code-scanner documents ``(repo, json)``."""
-    found = scans.select("repo", F.explode(F.from_json("json", CODE_SCAN)["results"]).alias("f"))
+    valid = scans.where(is_one_object(F.col("json")))
+    found = valid.select("repo", F.explode(F.from_json("json", CODE_SCAN, STRICT)["results"]).alias("f"))
     return found.select(
         "repo",
         F.coalesce("f.check_id", F.lit("")).alias("check_id"),
@@ -52,11 +55,16 @@ def threat_assessment(
     return joined
 
 
-def finding_summary(findings: DataFrame) -> DataFrame:
-    """Counts per class and the gate: a repository passes when all counts are zero."""
+def finding_summary(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Counts per class and the gate: a repository passes when all counts are zero.
+
+    ``repos`` lists the audited repositories; without it only those with findings are known.
+    """
     counts = findings.groupBy("repo").agg(*[
         F.count_if(F.col("kind") == kind).alias(f"{kind}_count")
         for kind in ("dependency", "code", "secret")
     ])
+    if repos is not None:
+        counts = repos.select("repo").distinct().join(counts, "repo", "left").na.fill(0)
     total = F.col("dependency_count") + F.col("code_count") + F.col("secret_count")
     return counts.withColumn("has_findings", total > 0)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from srcframe.constants import WHITE_SPACE
 from srcframe.functions import lines, paths
 from srcframe.functions.globs import ignore_regex_col, shell_regex_col
 from srcframe.functions.lfs import pointer_size
@@ -73,7 +74,7 @@ def lfs_patterns(files: DataFrame) -> DataFrame:
     ).select("repo", "pos", lines.strip(F.col("raw")).alias("line"))
     is_rule = ~F.col("line").startswith("#") & F.col("line").contains("filter=lfs")
     return parsed.where(is_rule).select(
-        "repo", "pos", F.regexp_extract("line", r"^\S+", 0).alias("pattern")
+        "repo", "pos", F.regexp_extract("line", f"^[^{WHITE_SPACE}]+", 0).alias("pattern")
     )
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from srcframe.constants import IMPORTANT_RULES, NON_SOURCE_SUFFIXES
-from srcframe.operators.ordering import top_per_group
+from srcframe.operators.ordering import running_total, top_per_group
 from srcframe.session import broadcast_if_small
 
 
@@ -43,9 +43,9 @@ def important_flag(
 def important_files(
     files: DataFrame, custom: Mapping[str, Iterable[str]] | None = None
 ) -> DataFrame:
-    """(repo, path) of important files, each once."""
+    """(repo, path) of important files; paths are unique in ``files``."""
     hit = important_flag(F.col("name"), F.col("suffix"), custom)
-    return files.where(hit).select("repo", "path").distinct()
+    return files.where(hit).select("repo", "path")
 
 
 def important_files_by_repo(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -61,16 +61,13 @@ def important_files_by_repo(files: DataFrame, rules: DataFrame) -> DataFrame:
         | F.exists("_substring", lambda part: F.contains(lowered, part))
     )
     joined = files.select("repo", "path", "name", "suffix").join(broadcast_if_small(packed), "repo")
-    return joined.where(hit).select("repo", "path").distinct()
+    return joined.where(hit).select("repo", "path")
 
 
 def important_lists(important: DataFrame) -> DataFrame:
-    """(repo, paths): sorted list per repository.
-
-    One row holds a whole list, so pass files that went through the file guard;
-    :func:`important_files` has no bound.
-    """
-    return important.groupBy("repo").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    """(repo, path, ordinal): the sorted list of each repository as numbered rows."""
+    ranked = running_total(important, ["repo"], ["path"], F.lit(1), "_before")
+    return ranked.select("repo", "path", (F.col("_before") + 1).alias("ordinal"))
 
 
 def largest_files(files: DataFrame, n: int = 5) -> DataFrame:

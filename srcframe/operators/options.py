@@ -8,12 +8,13 @@ from pyspark.sql.types import StringType
 
 from srcframe.functions import paths
 from srcframe.functions.globs import shell_regex
+from srcframe.functions.lines import strip
 from srcframe.session import broadcast_if_small
 
 
 def split_comma_list(raw: Column) -> Column:
     """``'a, b,,c'`` -> ``[a, b, c]``; null stays null and '' gives an empty list."""
-    items = F.transform(F.split(raw, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    items = F.transform(F.split(raw, ","), strip)
     return F.filter(items, lambda x: x != "")
 
 
@@ -29,8 +30,8 @@ def merge_exclusions(
 
 
 def merge_options(config: DataFrame, overrides: dict) -> DataFrame:
-    """Set option columns of ``config`` to every override that is neither None, '' nor False."""
-    given = {k: F.lit(v) for k, v in overrides.items() if v is not None and v != "" and v is not False}
+    """Set option columns of ``config`` to every override that was given: None, '', 0 and False were not."""
+    given = {k: F.lit(v) for k, v in overrides.items() if v}
     return config.withColumns(given) if given else config
 
 

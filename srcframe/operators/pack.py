@@ -10,7 +10,7 @@ from srcframe.constants import (
 )
 from srcframe.functions.lines import line_count
 from srcframe.functions.python_code import python_metrics
-from srcframe.functions.tokens import ADDITIVE_METHODS, token_count
+from srcframe.functions.tokens import joined_token_count, token_count
 from srcframe.operators import filters
 from srcframe.operators.pymetrics import python_only, total_complexity
 from srcframe.session import broadcast_if_small, compute_once, materialize
@@ -23,12 +23,15 @@ COST_SALTS = 64
 
 def pack_inputs(
     files: DataFrame,
-    max_kb: int = PACK_MAX_FILE_KB,
+    max_kb: int | None = PACK_MAX_FILE_KB,
     exclude_suffixes: tuple[str, ...] = (),
     outputs: DataFrame | None = None,
     marker: str = GENERATED_MARKER,
 ) -> DataFrame:
-    """Texts that may be packed. Suffix and size are tested before the text is read."""
+    """Texts that may be packed. Suffix and size are tested before the text is read.
+
+    ``max_kb`` None sets no upper limit.
+    """
     kept = filters.drop_binary_suffixes(filters.drop_symlinks(files), exclude_suffixes)
     kept = filters.keep_size_band(kept, max_kb)
     if outputs is not None:
@@ -191,17 +194,9 @@ def format_pack(
 def pack_stats(texts: DataFrame, method="pieces", marker: str = GENERATED_MARKER) -> DataFrame:
     """(repo, files_selected, final_token_count) of the raw documents.
 
-    Where the method adds up over lines, blocks are counted where they are; only other
-    methods build the documents.
+    Blocks are counted where they are, so no document is built.
     """
-    if method in ADDITIVE_METHODS:
-        counted = pack_blocks(texts).select("repo", token_count(F.col("block"), method).alias("n"))
-        return counted.groupBy("repo").agg(
-            F.count("*").alias("files_selected"),
-            (F.sum("n") + F.first(token_count(F.lit(marker), method))).alias("final_token_count"),
-        )
-    documents = format_pack(texts, "raw", marker=marker).select(
-        "repo", token_count(F.col("document"), method).alias("final_token_count")
+    return pack_blocks(texts).groupBy("repo").agg(
+        F.count("*").alias("files_selected"),
+        joined_token_count(F.col("block"), method, marker, 1).alias("final_token_count"),
     )
-    counts = texts.groupBy("repo").agg(F.count("*").alias("files_selected"))
-    return counts.join(documents, "repo")

@@ -38,7 +38,7 @@ DEFAULT_RULES = (
         "assigned_secret",
         r"((?:[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[ \t]*[:=][ \t]*[\"'])"
         r"([^\"'\n]{8,})",
-        ("ey", "KEY", "oken", "TOKEN", "ecret", "SECRET", "assword", "PASSWORD"),
+        ("key", "Key", "KEY", "oken", "TOKEN", "ecret", "SECRET", "assword", "PASSWORD"),
     ),
 )
 

@@ -14,17 +14,21 @@ def file_languages(files: DataFrame) -> DataFrame:
     )
 
 
-def file_stats(files: DataFrame, *extra: Column) -> DataFrame:
+def file_stats(files: DataFrame, *extra: Column, unknown: bool = False) -> DataFrame:
     """One row per file of a known language: line classes and the hash of its text.
 
+    With ``unknown`` the other files have a row too, without classes.
+
     ``extra`` columns are computed from ``files`` in the same pass.
     """
     text = F.col("content")
-    known = file_languages(files).select(
+    spoken = files.withColumn("language", lines.language_of(F.col("path"))) if unknown else file_languages(files)
+    has = F.col("language").isNotNull()
+    known = spoken.select(
         "repo", "path", "walk_key", "language",
-        lines.line_count(text).alias("_lines"),
-        lines.blank_count(text).alias("blank"),
-        lines.comment_count(text, F.col("language")).alias("comment"),
+        F.when(has, lines.line_count(text)).alias("_lines"),
+        F.when(has, lines.blank_count(text)).alias("blank"),
+        F.when(has, lines.comment_count(text, F.col("language"))).alias("comment"),
         lines.content_hash(text).alias("content_hash"),
         *extra,
     )

@@ -1,23 +1,18 @@
-"""Directory sizes, the node table, and nested tree documents."""
+"""Directory sizes, the node table, and nested tree documents as ordered pieces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from srcframe.constants import MAX_FILES_PER_REPO
 from srcframe.functions import paths
-from srcframe.operators.filters import guard_max_files
-from srcframe.session import materialize
+from srcframe.operators.pieces import one_each, separated
 
-_NODE = T.ArrayType(T.StructType([
-    T.StructField("name", T.StringType()),
+_LEAF = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("size_bytes", T.LongType()),
     T.StructField("is_lfs_pointer", T.BooleanType()),
     T.StructField("real_size", T.LongType()),
-    # Kept as JSON text: the next level parses it in turn.
-    T.StructField("children", T.StringType()),
-]))
+])
 
 
 def directory_sizes(files: DataFrame) -> DataFrame:
@@ -62,66 +57,48 @@ def tree_nodes(files: DataFrame, dirs: DataFrame | None = None) -> DataFrame:
 
 
 def nest_tree(
-    files: DataFrame, dirs: DataFrame | None = None, max_files: int = MAX_FILES_PER_REPO,
-    guard: str = "error",
+    files: DataFrame, dirs: DataFrame | None = None, repos: DataFrame | None = None
 ) -> DataFrame:
-    """(repo, tree): one nested JSON document per repository.
+    """(repo, key, text): the nested JSON document of each repository, as ordered pieces.
 
-    In walk order the document is a plain sequence: every directory opens, its
-    contents follow, and it closes. So one sort per repository builds any depth. The
-    file guard bounds what one document holds; :func:`tree_nodes` has no bound.
+    In walk order the document is a plain sequence: every directory opens, its contents
+    follow, and it closes. So each node gives its own pieces, and no row or task holds a
+    whole document. ``repos`` adds repositories without any node.
     """
-    nodes = tree_nodes(guard_max_files(files, max_files, guard), dirs)
+    nodes = tree_nodes(files, dirs)
     keep_nulls = {"ignoreNullFields": "false"}
     head = F.to_json(F.struct("name", "type", "size_bytes"), keep_nulls)
     tail = F.to_json(F.struct("is_lfs_pointer", "real_size"), keep_nulls)
     head_open = F.substring(head, F.lit(1), F.length(head) - 1)
     tail_rest = F.substring(tail, F.lit(2), F.length(tail))
     is_dir = F.col("type") == "directory"
-    pieces = nodes.select("repo", F.explode(
-        F.when(is_dir, F.array(
-            F.struct(F.col("walk_key").alias("key"), F.lit("open").alias("kind"),
-                     F.concat(head_open, F.lit(',"children":[')).alias("text")),
-            # '2' sorts after every child, which start with '0' or '1'.
-            F.struct(F.concat("walk_key", F.lit("2")).alias("key"), F.lit("close").alias("kind"),
-                     F.concat(F.lit("],"), tail_rest).alias("text")),
-        )).otherwise(F.array(
-            F.struct(F.col("walk_key").alias("key"), F.lit("leaf").alias("kind"),
-                     F.concat(head_open, F.lit(',"children":null,'), tail_rest).alias("text")),
-        ))
-    ).alias("p"))
-    ordered = pieces.groupBy("repo").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    needs_comma = lambda p, i: (
-        (i > 0) & (p["kind"] != "close") & (F.get(F.col("ps"), i - 1)["kind"] != "open")
+    opened = F.when(is_dir, F.concat(head_open, F.lit(',"children":['))).otherwise(
+        F.concat(head_open, F.lit(',"children":null,'), tail_rest))
+    entries = separated(
+        nodes.select("repo", "parent_path", F.col("walk_key").alias("key"), opened.alias("text")), ("parent_path",)
     )
-    text = F.transform(
-        "ps", lambda p, i: F.when(needs_comma(p, i), F.concat(F.lit(","), p["text"])).otherwise(p["text"])
+    # '2' sorts after every child, which start with '0' or '1'.
+    closed = nodes.where(is_dir).select(
+        "repo", F.concat("walk_key", F.lit("2")).alias("key"), F.concat(F.lit("],"), tail_rest).alias("text")
     )
-    return ordered.select(
-        "repo", F.concat(F.lit("["), F.array_join(text, ""), F.lit("]")).alias("tree")
+    known = files.select("repo") if repos is None else repos.select("repo")
+    if dirs is not None:
+        known = known.union(dirs.select("repo"))
+    known = known.distinct()
+    return (
+        one_each(known, "", F.lit("[")).unionByName(entries).unionByName(closed)
+        .unionByName(one_each(known, "3", F.lit("]")))
     )
 
 
-def flatten_tree(trees: DataFrame) -> DataFrame:
-    """Rows of nested tree documents ``(repo, tree)``: every file and directory.
+def flatten_tree(pieces: DataFrame) -> DataFrame:
+    """The files in a document made by :func:`nest_tree`, in one pass over its pieces.
 
-    One pass per level; each level is stored, so no level is parsed twice.
+    A file's piece holds its facts, and its key the directories it is in.
     """
-    def expand(level):
-        parsed = level.select("repo", "prefix", F.explode(F.from_json("tree", _NODE)).alias("n"))
-        return materialize(parsed.select(
-            "repo", F.concat("prefix", "n.name").alias("path"), "n.type", "n.size_bytes",
-            "n.is_lfs_pointer", "n.real_size", "n.children",
-        ))
-
-    level = expand(trees.select("repo", F.lit("").alias("prefix"), "tree"))
-    found = level
-    while True:
-        below = level.where((F.col("type") == "directory") & (F.col("children") != "[]"))
-        if below.isEmpty():
-            break
-        level = expand(below.select(
-            "repo", F.concat("path", F.lit("/")).alias("prefix"), F.col("children").alias("tree")
-        ))
-        found = found.unionByName(level)
-    return found.drop("children")
+    leaves = pieces.where(F.col("key").rlike("(?:^|\u0000)1[^\u0000]*$"))
+    path = F.regexp_replace(F.replace("key", F.lit("\u0000"), F.lit("/")), "(^|/)[01]", "$1")
+    fact = F.from_json(F.regexp_replace("text", "^,", ""), _LEAF)
+    return leaves.select("repo", path.alias("path"), fact.alias("f")).select(
+        "repo", "path", "f.type", "f.size_bytes", "f.is_lfs_pointer", "f.real_size"
+    )

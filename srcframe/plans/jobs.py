@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from srcframe.constants import MAX_FILES_PER_REPO, PACK_MAX_FILE_KB, PACK_TOKEN_BUDGET
+from srcframe.constants import PACK_MAX_FILE_KB, PACK_TOKEN_BUDGET
+from srcframe.functions import paths
 from srcframe.operators import (
-    deps, distill as distilling, facts, filters, findings, ignore, keyfiles, pack as packing, pymetrics,
+    deps, distill as distilling, facts, filters, findings, ignore, keyfiles, options, pack as packing, pymetrics,
     report, secrets as secret_rules, stats, tree,
 )
 from srcframe.session import materialize
+from srcframe.sources.tables import files_from_table
 
 
 def visible_files(
@@ -31,37 +34,55 @@ def visible_files(
     return kept
 
 
+# Stands for an empty directory where paths of files are filtered.
+_PROBE = "\u0001"
+
+
 def scan(
     files: DataFrame,
     include_hidden: bool = False,
     exclude_dirs: Sequence[str] = (),
     exclude_patterns: Sequence[str] = (),
-    max_files: int = MAX_FILES_PER_REPO,
-    guard: str = "error",
+    max_files: int | None = None,
     custom_rules: dict | None = None,
     empty_dirs: DataFrame | None = None,
     now: Column | None = None,
-) -> DataFrame:
-    """(repo, report). Texts are read once; stored facts of each file feed all sections."""
-    seen = filters.guard_max_files(
-        visible_files(files, include_hidden, exclude_dirs, exclude_patterns), max_files, guard
-    )
-    sized = ignore.with_lfs(seen, ignore.lfs_patterns(files))
-    per_file = materialize(facts.file_facts(sized))
+    own_options: DataFrame | None = None,
+) -> report.Sections:
+    """The report of every repository of ``files``, also of those where nothing is visible.
+
+    Texts are read once; stored facts of each file feed all sections. ``own_options`` are
+    exclusions by repository (repo, exclude_dirs, exclude_patterns). ``max_files`` makes the
+    job fail on a larger repository; without it there is no limit.
+    """
+    began = time.perf_counter()
+    everything = files
+    if empty_dirs is not None:
+        everything = files.unionByName(files_from_table(
+            empty_dirs.select("repo", F.concat("path", F.lit(f"/{_PROBE}")).alias("path"), F.lit("").alias("content"))))
+    kept = visible_files(everything, include_hidden, exclude_dirs, exclude_patterns)
+    if own_options is not None:
+        kept = options.apply_exclusions(kept, own_options)
+    seen = kept.where(F.col("name") != _PROBE)
+    dirs = None
+    if empty_dirs is not None:
+        dirs = kept.where(F.col("name") == _PROBE).select("repo", paths.parent_dir(F.col("path")).alias("path"))
+    if max_files is not None:
+        seen = filters.guard_max_files(seen, max_files)
+    per_file = materialize(facts.file_facts(ignore.with_lfs(seen, ignore.lfs_patterns(files))))
+    repos = materialize(everything.select("repo").distinct())
     return report_of(
-        per_file, deps.dependency_lists(files), tree.nest_tree(per_file, empty_dirs, max_files, "drop"),
-        custom_rules, now,
-    )
+        per_file, deps.dependency_lists(files), custom_rules, now, dirs, repos, time.perf_counter() - began)
 
 
 def report_of(
-    per_file: DataFrame, dependency_lists: DataFrame, trees: DataFrame,
-    custom_rules: dict | None = None, now: Column | None = None,
-) -> DataFrame:
-    """(repo, report) from stored file facts; no text is read again."""
+    per_file: DataFrame, dependency_lists: DataFrame, custom_rules: dict | None = None, now: Column | None = None,
+    dirs: DataFrame | None = None, repos: DataFrame | None = None, seconds: float = 0.0,
+) -> report.Sections:
+    """The report from stored file facts; no text is read again."""
     known = per_file.where(F.col("language").isNotNull())
     parsed = per_file.where(F.col("parsed").isNotNull())
-    return report.assemble_report(
+    records = report.assemble_report(
         totals=stats.repo_totals(per_file, known),
         primary=stats.primary_language(known),
         languages=stats.language_lines(known),
@@ -69,12 +90,14 @@ def report_of(
         markers=stats.marker_totals(per_file),
         top_functions=pymetrics.top_complex_functions(pymetrics.function_metrics(parsed)),
         largest=keyfiles.largest_files(per_file, 10),
-        important=keyfiles.important_files(per_file, custom_rules),
         dependency_map=deps.dependency_map(dependency_lists),
-        secrets=secret_rules.listed_secrets(per_file),
-        tree=trees,
+        repos=repos,
+        duration_seconds=round(seconds, 2),
         now=now,
     )
+    return report.Sections(
+        records, tree.nest_tree(per_file, dirs, repos), keyfiles.important_files(per_file, custom_rules),
+        secret_rules.listed_secrets(per_file))
 
 
 class Packed(NamedTuple):
@@ -85,7 +108,7 @@ class Packed(NamedTuple):
 def pack(
     files: DataFrame,
     budget: int = PACK_TOKEN_BUDGET,
-    max_kb: int = PACK_MAX_FILE_KB,
+    max_kb: int | None = PACK_MAX_FILE_KB,
     exclude_suffixes: tuple[str, ...] = (),
     method="pieces",
     outputs: DataFrame | None = None,
@@ -124,4 +147,5 @@ def audit(files: DataFrame, dependency_scans: DataFrame, code_scans: DataFrame)
         findings.parse_code_scan(code_scans),
         secret_rules.find_secrets(visible_files(files, include_hidden=True)),
     )
-    return Audited(found, findings.finding_summary(found))
+    repos = files.select("repo").union(dependency_scans.select("repo")).union(code_scans.select("repo"))
+    return Audited(found, findings.finding_summary(found, repos))

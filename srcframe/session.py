@@ -67,16 +67,21 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     total = F.lit(16)
     for field in df.schema.fields:
         col = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             total = total + F.coalesce(F.octet_length(col), F.lit(0)) + 8
         elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             total = total + F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0))
-        else:
+        elif isinstance(field.dataType, _FIXED):
             total = total + 8
+        else:
+            raise TypeError(f"no size known for {field.dataType}")
     return total
 
 

@@ -28,11 +28,12 @@ def _with_marker(blocks: DataFrame, key: str, marker: str) -> DataFrame:
     return blocks.select("repo", key, F.col("block").alias("value")).unionByName(first)
 
 
-def write_report(reports: DataFrame, folder: str) -> None:
-    """One JSON line per repository, below ``repo=<name>``. Takes (repo, json)."""
-    reports.select("repo", F.col("json").alias("value")).write.partitionBy("repo").mode(
-        "overwrite"
-    ).text(folder)
+def write_report(pieces: DataFrame, folder: str) -> None:
+    """The JSON document of each repository below ``repo=<name>``, from (repo, key, text).
+
+    Pieces are whole tokens, so the line breaks between them do not change the document.
+    """
+    _write_ordered(pieces.withColumnRenamed("text", "value"), "key", folder)
 
 
 def write_pack(texts: DataFrame, folder: str, fmt: str = "raw", marker: str = GENERATED_MARKER) -> None:

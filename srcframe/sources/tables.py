@@ -12,16 +12,6 @@ FILE_COLUMNS = (
 )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share a table out over all cores when it has fewer splits than there are cores.
-
-    A large table arrives in many splits and is returned as it is: its texts are never
-    shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

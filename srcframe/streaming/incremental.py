@@ -40,13 +40,13 @@ def stored_results(files: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def analyse(files: DataFrame) -> DataFrame:
-    """Line statistics and Python metrics per file of a known language, in one pass.
+    """Line statistics and Python metrics per file, in one pass.
 
-    A Python file without metrics (no valid syntax) is stored as such and is not tried
-    again.
+    A file of an unknown language, and a Python file without metrics (no valid syntax), is
+    stored as such and is not tried again.
     """
-    stats = file_stats(files, python_only(F.col("content"), F.col("suffix")).alias("_python"))
-    parsed = stats.withColumn("_parsed", python_metrics("_python"))
+    python = python_only(F.col("content"), F.col("suffix")).alias("_python")
+    parsed = file_stats(files, python, unknown=True).withColumn("_parsed", python_metrics("_python"))
     functions = F.col("_parsed.functions")
     return parsed.select(
         *KEY, "language", "code", "blank", "comment",
@@ -67,13 +67,24 @@ def analyse_changes(
     return job(todo).dropDuplicates(KEY).withColumn("version", F.lit(version).cast("bigint"))
 
 
-def current_results(store: DataFrame) -> DataFrame:
-    """The latest stored version of every file."""
-    rest = [c for c in store.columns if c not in ("repo", "path")]
-    latest = store.groupBy("repo", "path").agg(
-        F.max_by(F.struct(*rest), F.struct("version", "content_hash")).alias("r")
-    )
-    return latest.select("repo", "path", "r.*")
+def current_results(versions: DataFrame, store: DataFrame) -> DataFrame:
+    """Stored results of the current ``versions`` (repo, path, content_hash).
+
+    What is current is told by the files and not by the order of the store: a text that
+    came back has its old results, and removed files have none.
+    """
+    rest = [c for c in store.columns if c not in KEY]
+    known = store.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "version").alias("r"))
+    return versions.select(*KEY).join(known, KEY).select(*KEY, "r.*")
+
+
+def latest_versions(states: DataFrame) -> DataFrame:
+    """The last version of every file from (run, repo, path, content_hash) rows.
+
+    For runs that each see some of the files; a run over all files has no need of it.
+    """
+    last = states.groupBy("repo", "path").agg(F.max_by("content_hash", F.struct("run", "content_hash")).alias("content_hash"))
+    return last.select(*KEY)
 
 
 def read_store(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -86,8 +97,12 @@ def read_store(spark: SparkSession, folder: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def update_store(files: DataFrame, folder: str, version: int, job=analyse) -> None:
-    """Analyse what changed and append it.
+def update_store(
+    files: DataFrame, folder: str, version: int, job=analyse, states: str | None = None
+) -> None:
+    """Analyse what changed and append it; ``version`` is the number of the run.
+
+    With ``states`` the run's (run, repo, path, content_hash) rows are appended there.
 
     A repeated run finds its versions stored and appends nothing, which is what makes
     the streaming form below safe to retry.
@@ -95,12 +110,21 @@ def update_store(files: DataFrame, folder: str, version: int, job=analyse) -> No
     spark = files.sparkSession
     known = read_store(spark, folder, "repo string, path string, content_hash string")
     analyse_changes(files, known, job, version).write.mode("append").parquet(folder)
+    if states:
+        seen = file_versions(files).withColumn("run", F.lit(version).cast("bigint"))
+        seen.write.mode("append").parquet(states)
 
 
-def start_stream(files: DataFrame, folder: str, checkpoint: str, job=analyse, **trigger):
-    """Run :func:`update_store` on every micro-batch of a streaming files table."""
+def start_stream(
+    files: DataFrame, folder: str, checkpoint: str, job=analyse, states: str | None = None,
+    first_run: int = 0, **trigger,
+):
+    """Run :func:`update_store` on every micro-batch of a streaming files table.
+
+    Batches count from 0 in a new checkpoint; give it a ``first_run`` above all runs so far.
+    """
     def batch(rows: DataFrame, batch_id: int) -> None:
-        update_store(rows, folder, batch_id, job)
+        update_store(rows, folder, first_run + batch_id, job, states)
 
     return (
         files.writeStream.foreachBatch(batch)

@@ -91,6 +91,12 @@ def test_skeleton():
     assert skeleton("def (") is None and skeleton("") == ""
 
 
+def test_skeleton_keeps_strings_that_look_like_its_comments():
+    own = f'"body-sha256: {"0" * 64}"'
+    out = skeleton(f"class A:\n    {own}\n\ndef f():\n    {own}\n    return 1\n")
+    assert f"{'0' * 64}" in ast.parse(out).body[0].body[0].value.value and out.count("# body-sha256: ") == 1
+
+
 def test_python_rows(make_files):
     files = make_files({"m.py": MODULE, "bad.py": "def (", "e.py": "", "w.py": " \n", "n.txt": MODULE, "C.PY": "class A:\n    def m(self):\n        pass\n"})
     parsed = pymetrics.parsed_files(files)

@@ -92,9 +92,20 @@ def test_store_is_updated_only_with_changes(spark, make_files, tmp_path):
     incremental.update_store(make_files(day2), store, 3)
     rows = spark.read.parquet(store).collect()
     assert sorted((r.path, r.version) for r in rows) == [
-        ("added.sh", 2), ("bad.py", 1), ("changed.py", 1), ("changed.py", 2), ("removed.py", 1), ("same.py", 1)]
-    current = {r.path: r.code for r in incremental.current_results(spark.read.parquet(store)).collect()}
-    assert current == {"added.sh": 0, "bad.py": 1, "changed.py": 2, "removed.py": 1, "same.py": 1}
+        ("added.sh", 2), ("bad.py", 1), ("changed.py", 1), ("changed.py", 2), ("other.bin", 1), ("removed.py", 1), ("same.py", 1)]
+
+    def current(files):
+        found = incremental.current_results(incremental.file_versions(files), spark.read.parquet(store))
+        return {r.path: r.code for r in found.collect()}
+
+    assert current(make_files(day2)) == {"added.sh": 0, "bad.py": 1, "changed.py": 2, "other.bin": None, "same.py": 1}
+    # Back to the first texts: nothing is analysed anew, and the old results hold.
+    incremental.update_store(make_files(day1), store, 4, states=str(tmp_path / "states"))
+    assert spark.read.parquet(store).count() == len(rows)
+    assert current(make_files(day1))["changed.py"] == 1
+    incremental.update_store(make_files({"changed.py": "y = 1\ny = 2\n"}), store, 5, states=str(tmp_path / "states"))
+    latest = incremental.latest_versions(spark.read.parquet(str(tmp_path / "states")))
+    assert {r.path: r.code for r in incremental.current_results(latest, spark.read.parquet(store)).collect()}["changed.py"] == 2
 
 
 def test_stream(spark, make_files, tmp_path):

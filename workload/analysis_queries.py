@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from srcframe.functions import tokens as token_functions
 from srcframe.operators import (
-    deps, distill, facts, filters, findings, keyfiles, ordering, pack, pymetrics, secrets, stats, tree,
+    deps, distill, facts, findings, keyfiles, ordering, pack, pymetrics, report, secrets, stats, tree,
 )
 from srcframe.plans import jobs
 from srcframe.session import materialize
@@ -100,13 +100,13 @@ DEP_FINDINGS = f"""dep_findings as (
     case when l_linenumber % 3 = 0 then 'unknown' else '1.' || l_linenumber end as vulnerable_version,
     case when n = 1 then l_returnflag || ' risk' else 'second' end as summary,
     case when n = 1 and l_linenumber % 2 <> 0 then l_linestatus end as severity
-  from lineitem cross join (values (1), (2)) t(n) where l_orderkey % 11 <> 0)"""
+  from lineitem cross join (values (1), (2)) t(n) where l_orderkey % 11 <> 0 and l_orderkey % 17 <> 0)"""
 CODE_FINDINGS = f"""code_findings as (
   select {CODE_REPO} as repo, 'rule.' || event_type as check_id, 'src/' || user_id || '.py' as path,
     case when event_id % 3 = 0 then 0 else event_id % 500 + 1 end as line,
     case when event_id % 4 = 0 then '' else 'found ' || event_type end as message,
     case when event_id % 4 = 0 or event_id % 5 = 0 then 'INFO' else 'ERROR' end as severity
-  from events where event_id % 13 <> 0)"""
+  from events where event_id % 13 <> 0 and event_id % 19 <> 0)"""
 
 
 @query("dependency_findings", f"with {DEP_FINDINGS} select * from dep_findings")
@@ -145,11 +145,16 @@ def _(c):
     return _threats(c).withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
-@query("finding_summary", f"""{THREATS}
+_AUDITED = "select distinct 'order' || (o_orderkey % 120) as repo from orders"
+
+
+@query("finding_summary", f"""{THREATS}, audited as ({_AUDITED})
   select repo, count(*) filter (kind = 'dependency') as dependency_count, count(*) filter (kind = 'code') as code_count,
-    count(*) filter (kind = 'secret') as secret_count, count(*) > 0 as has_findings from threats group by repo""")
+    count(*) filter (kind = 'secret') as secret_count, count(kind) > 0 as has_findings
+  from audited left join threats using (repo) group by repo""")
 def _(c):
-    return findings.finding_summary(_threats(c))
+    audited = c.table("orders").selectExpr("'order' || (o_orderkey % 120) as repo").distinct()
+    return findings.finding_summary(_threats(c), audited)
 
 
 # --- rankings ---------------------------------------------------------------------------
@@ -203,19 +208,10 @@ def _(c):
     return keyfiles.important_files_by_repo(c.files, rules.distinct())
 
 
-GUARDED = "guarded as (select repo from files group by repo having count(*) <= 5000)"
-
-
-@query("important_lists", FILES + f""", {GUARDED},
-  hits as (select repo, path from files where repo in (select repo from guarded) and ({IMPORTANT}))
-  select repo, count(*) as n, md5(string_agg(path, '|' order by path)) as paths from hits group by repo""")
+@query("important_lists", FILES + f"""
+  select repo, path, row_number() over (partition by repo order by path) as ordinal from files where {IMPORTANT}""")
 def _(c):
-    guarded = filters.guard_max_files(c.files, mode="drop")
-    listed = keyfiles.important_lists(keyfiles.important_files(guarded))
-    return listed.select(
-        "repo", F.size("paths").cast("bigint").alias("n"),
-        F.md5(F.encode(F.array_join("paths", "|"), "UTF-8")).alias("paths"),
-    )
+    return keyfiles.important_lists(keyfiles.important_files(c.files))
 
 
 # --- pack -------------------------------------------------------------------------------
@@ -227,7 +223,7 @@ CANDIDATES = PACKABLE + f""", candidates as (
 
 
 def _candidates(c):
-    return pack.pack_candidates(pack.pack_inputs(c.files), BUDGET)
+    return pack.pack_candidates(pack.pack_inputs(c.files, max_kb=None), BUDGET)
 
 
 @query("pack_candidates", FILES + ", " + CANDIDATES + " select repo, path, cost, value, density from candidates")
@@ -240,19 +236,19 @@ MODULE_CANDIDATES = MODULES + f""", {MODULE_FACTS},
     select *, value / cast(cost as double) as density from (
       select m.repo, m.path, m.walk_key, {tokens('content')} as cost,
         len({sql_lines('content')}) + 10 * coalesce(total_complexity, 0) + 5 * coalesce(function_count, 0) as value
-      from modules m left join metrics f on f.repo = m.repo and f.path = m.path where m.disk_size <= 102400)
+      from modules m left join metrics f on f.repo = m.repo and f.path = m.path where m.disk_size > 0)
     where cost + 50 <= {BUDGET})"""
 
 
 @query("module_candidates", MODULE_CANDIDATES + " select repo, path, cost, value, density from candidates")
 def _(c):
-    return pack.pack_candidates(pack.pack_inputs(c.modules), BUDGET).drop("walk_key")
+    return pack.pack_candidates(pack.pack_inputs(c.modules, max_kb=None), BUDGET).drop("walk_key")
 
 
 @query("module_candidates_from_stored_metrics", MODULE_CANDIDATES + " select repo, path, cost, value, density from candidates")
 def _(c):
     stored = pymetrics.file_metrics(pymetrics.parsed_files(c.modules))
-    return pack.pack_candidates(pack.pack_inputs(c.modules), BUDGET, metrics=stored).drop("walk_key")
+    return pack.pack_candidates(pack.pack_inputs(c.modules, max_kb=None), BUDGET, metrics=stored).drop("walk_key")
 
 
 SELECTED = FILES.replace("with ", "with recursive ", 1) + ", " + CANDIDATES + ", " + greedy(BUDGET)
@@ -373,25 +369,46 @@ def _(c):
     return nodes.select("repo", "path", "name", "type", F.col("depth").cast("bigint").alias("depth"), "size_bytes", "walk_key")
 
 
-@query("nested_tree")
+def _json_text(x: str) -> str:
+    return f"""'"' || replace(replace({x}, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"'"""
+
+
+# The pieces of the documents, written from the definition of the nested form.
+TREE = f"""nodes as (
+    select repo, walk_key as key, dir as parent, name, 'file' as type, size_bytes from files
+    union all
+    select repo, '0' || replace(dir, '/', chr(0) || '0') || chr(0), regexp_extract(dir, '^(.*)/[^/]*$', 1),
+      regexp_extract(dir, '[^/]*$'), 'directory', size_bytes from dir_sizes),
+  tree_pieces as (
+    select repo, key, case when row_number() over (partition by repo, parent order by key) = 1 then '' else ',' end
+      || '{{"name":' || {_json_text('name')} || ',"type":"' || type || '","size_bytes":' || size_bytes || ',"children":'
+      || case when type = 'file' then 'null,"is_lfs_pointer":false,"real_size":null}}' else '[' end as text from nodes
+    union all select repo, key || '2', '],"is_lfs_pointer":false,"real_size":null}}' from nodes where type = 'directory'
+    union all select distinct repo, '', '[' from files
+    union all select distinct repo, '3', ']' from files)"""
+
+
+@query("nested_tree", FILES + ", " + DIR_SIZES + ", " + TREE + " select * from tree_pieces")
 def _(c):
-    return tree.nest_tree(c.files, guard="drop")
+    return tree.nest_tree(c.files)
 
 
-@query("flattened_tree", FILES + ", " + DIR_SIZES + ", " + GUARDED + """
-  select * from (
-    select repo, path, 'file' as type, size_bytes from files
-    union all select repo, dir, 'directory', size_bytes from dir_sizes)
-  where repo in (select repo from guarded)""")
+@query("flattened_tree", FILES + """
+  select repo, path, 'file' as type, size_bytes, false as is_lfs_pointer, cast(null as bigint) as real_size from files""")
 def _(c):
-    flat = tree.flatten_tree(tree.nest_tree(c.files, guard="drop"))
-    return flat.select("repo", "path", "type", "size_bytes")
+    return tree.flatten_tree(tree.nest_tree(c.files))
 
 
 REPORT_SECRETS = SECRETS.replace("secret_files", "files")
 
 
-@query("reports", FILES + ", " + STATS + ", " + MARKS + ", " + PRIMARY + ", " + LARGEST + ", " + GUARDED + ", " + REPORT_SECRETS + f"""
+def _sections(c):
+    per_file = materialize(facts.file_facts(c.files))
+    return jobs.report_of(
+        per_file, deps.dependency_lists(c.files), now=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+@query("reports", FILES + ", " + STATS + ", " + MARKS + ", " + PRIMARY + ", " + LARGEST + """
   select f.repo, '2024-01-01T00:00:00Z' as timestamp, count(*) as total_files,
     (select cast(coalesce(sum(code), 0) as bigint) from stats s where s.repo = f.repo) as total_lines_of_code,
     (select primary_language from primary_languages p where p.repo = f.repo) as primary_language,
@@ -399,37 +416,42 @@ REPORT_SECRETS = SECRETS.replace("secret_files", "files")
       select language, cast(sum(code) as bigint) as n from stats s where s.repo = f.repo group by language)) as languages,
     (select cast(sum(todo_count) as bigint) from marks m where m.repo = f.repo) as todo_count,
     (select cast(sum(fixme_count) as bigint) from marks m where m.repo = f.repo) as fixme_count,
-    (select coalesce(string_agg(path || '=' || size_bytes, ',' order by rank), '') from largest l where l.repo = f.repo) as largest,
-    count(*) filter ({IMPORTANT}) as important,
-    (select count(*) from found s where s.repo = f.repo) as secrets
-  from files f where repo in (select repo from guarded) group by f.repo""")
-def _(c):
-    files = filters.guard_max_files(c.files, mode="drop")
-    per_file = materialize(facts.file_facts(files))
-    reports = jobs.report_of(
-        per_file, deps.dependency_lists(files), tree.nest_tree(per_file),
-        now=F.lit("2024-01-01 00:00:00").cast("timestamp"),
-    )
+    (select coalesce(string_agg(path || '=' || size_bytes, ',' order by rank), '') from largest l where l.repo = f.repo) as largest
+  from files f group by f.repo""")
+def _(c):
     r = "report."
     pairs = lambda name, a, b: F.array_join(
         F.transform(name, lambda x: F.concat(x[a], F.lit("="), x[b].cast("string"))), ",")
-    return reports.select(
+    return _sections(c).records.select(
         "repo", r + "analysis_metadata.timestamp",
         r + "repository_summary.total_files", r + "repository_summary.total_lines_of_code",
         r + "repository_summary.primary_language",
         pairs(F.map_entries(r + "repository_summary.language_stats"), "key", "value").alias("languages"),
         r + "code_insights.todo_count", r + "code_insights.fixme_count",
         pairs(F.col(r + "key_files.largest_files"), "path", "size_bytes").alias("largest"),
-        F.size(r + "key_files.important_files_detected").cast("bigint").alias("important"),
-        F.size(r + "threat_assessment.secrets_found").cast("bigint").alias("secrets"),
     )
 
 
+@query("report_lists", FILES + ", " + DIR_SIZES + ", " + TREE + ", " + REPORT_SECRETS + f"""
+  select repo, 'b' || key as key, text from tree_pieces
+  union all
+  select repo, 'd' || path, case when row_number() over (partition by repo order by path) = 1 then '' else ',' end || {_json_text('path')}
+  from files where {IMPORTANT}
+  union all
+  select repo, 'f' || file_path || chr(0) || lpad(cast(line_number as varchar), 12, '0') || chr(0) || secret_type,
+    case when row_number() over (partition by repo order by file_path, line_number, secret_type) = 1 then '' else ',' end
+      || '{{"file_path":' || {_json_text('file_path')} || ',"secret_type":"' || secret_type || '","line_number":' || line_number
+      || ',"line_content":' || {_json_text('line_content')} || '}}'
+  from found""")
+def _(c):
+    return report.report_json(_sections(c)).where("substr(key, 1, 1) in ('b', 'd', 'f')")
+
+
 # --- reuse of stored results ------------------------------------------------------------
 
 # The store knows an earlier state of the documents: some were not there, some differed.
 _EARLIER = "case when doc_id % 5 = 0 then text || '!' else text end"
-_PLACE = "doc_id || case when doc_id % 2 = 0 then '.md' else '.sh' end"
+_PLACE = "doc_id || case when doc_id % 7 = 6 then '.txt' when doc_id % 2 = 0 then '.md' else '.sh' end"
 
 
 def _now_and_before(c):
@@ -450,7 +472,7 @@ def _(c):
 
 @query("stored_results", f"""
   select source as repo, {_PLACE} as path, sha256(text) as content_hash,
-    case when doc_id % 3 <> 0 and doc_id % 5 <> 0 then n end as code
+    case when doc_id % 3 <> 0 and doc_id % 5 <> 0 and doc_id % 7 <> 6 then n end as code
   from (select *, len(list_filter({sql_lines('text')}, lambda l: regexp_matches(l, '[^ \t]') and not (doc_id % 2 = 1 and starts_with(ltrim(l), '#')))) as n from documents)""")
 def _(c):
     now, before = _now_and_before(c)
@@ -458,21 +480,31 @@ def _(c):
     return incremental.stored_results(now, known)
 
 
-@query("changed_files_analysed", "with " + sql_files((("documents", "source", _PLACE, "text"),)) + ", " + STATS + """
-  select s.repo, s.path, s.content_hash, language, code, blank, comment, cast(7 as bigint) as version from stats s
-  where cast(regexp_extract(path, '^[0-9]+') as bigint) % 3 = 0 or cast(regexp_extract(path, '^[0-9]+') as bigint) % 5 = 0""")
+_ALL_STATS = "with " + sql_files((("documents", "source", _PLACE, "text"),)) + ", " + STATS + """,
+  versions as (select repo, path, sha256(content) as content_hash, cast(regexp_extract(path, '^[0-9]+') as bigint) as doc_id from files)"""
+
+
+@query("changed_files_analysed", _ALL_STATS + """
+  select v.repo, v.path, v.content_hash, language, code, blank, comment, cast(7 as bigint) as version
+  from versions v left join stats s on s.repo = v.repo and s.path = v.path where doc_id % 3 = 0 or doc_id % 5 = 0""")
 def _(c):
     now, before = _now_and_before(c)
     out = incremental.analyse_changes(now, incremental.file_versions(before), version=7)
     return out.drop("function_count", "total_complexity")
 
 
-@query("current_results", "with " + sql_files((("documents", "source", _PLACE, "text"),)) + ", " + STATS + """
-  select repo, path, content_hash, code, cast(1 as bigint) as version from stats""")
+@query("current_results", _ALL_STATS + """
+  select v.repo, v.path, v.content_hash, code, cast(case when doc_id % 4 = 0 then 0 else 1 end as bigint) as version
+  from versions v left join stats s on s.repo = v.repo and s.path = v.path where doc_id % 10 <> 9""")
 def _(c):
+    # Run 0 saw a part of the texts, run 1 all, and files with another text; some files have gone since.
     now, before = _now_and_before(c)
-    store = (
-        stats.file_stats(before).withColumn("version", F.lit(0).cast("bigint"))
-        .unionByName(stats.file_stats(now).withColumn("version", F.lit(1).cast("bigint")))
-    ).select("repo", "path", "content_hash", "code", "version")
-    return incremental.current_results(store)
+    docs = c.table("documents")
+    part = files_from_table(docs.where("doc_id % 4 = 0").selectExpr("source as repo", f"{_PLACE} as path", "text as content"))
+    runs = [incremental.analyse(part), incremental.analyse_changes(now, incremental.file_versions(part)), incremental.analyse(before)]
+    numbered = [r.drop("version").withColumn("version", F.lit(n).cast("bigint")) for r, n in zip(runs, (0, 1, 2))]
+    store = numbered[0].unionByName(numbered[1]).unionByName(
+        numbered[2].where("cast(regexp_extract(path, '^([0-9]+)', 1) as bigint) % 5 = 0"))
+    left = now.where("cast(regexp_extract(path, '^([0-9]+)', 1) as bigint) % 10 <> 9")
+    current = incremental.current_results(incremental.file_versions(left), store)
+    return current.select("repo", "path", "content_hash", "code", "version")

@@ -7,13 +7,14 @@ use only what Spark SQL and DuckDB share, so both sides read the same inputs.
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcframe.constants import GENERATED_MARKER, LFS_SPEC_LINE
 from srcframe.session import compute_once
-from srcframe.sources.tables import files_from_table, spread
+from srcframe.sources.tables import files_from_table
 
 NL = "\n"
 
@@ -35,8 +36,6 @@ _NAME = f"""case doc_id % 17
 PATH = f"{_TOP} || lang || '/' || (doc_id % 7) || '/' || {_NAME}"
 
 CONTENT = f"""case
-  when doc_id % 17 = 4 and doc_id % 2 = 0 then
-    '{LFS_SPEC_LINE}' || '{NL}oid sha256:' || doc_id || '{NL}size ' || (n_chars * 1000) || '{NL}'
   when doc_id % 8 = 1 then replace(text, '. ', '.{NL}# TODO: ')
   when doc_id % 8 = 2 then replace(text, ', ', ',\r{NL}\t')
   when doc_id % 8 = 3 then '\"\"\"' || text || '\"\"\"{NL}{NL}{NL}{NL}x = "a#b"  # fixme{NL}'
@@ -45,13 +44,19 @@ CONTENT = f"""case
   when doc_id % 8 = 6 and doc_id % 48 = 6 then text || chr(0) || '{NL}'
   when doc_id % 8 = 6 then text || '{NL}{NL}   {NL}'
   when doc_id % 24 = 7 then '{GENERATED_MARKER}{NL}' || text
-  when doc_id % 24 = 15 then ''
   when doc_id % 8 = 7 then '   ' || text || '{NL}\u0085'
   else text end"""
 
-# (table, repo, path, content) of the bound files.
+_POINTER = f"""'{LFS_SPEC_LINE}' || '{NL}oid sha256:' || doc_id
+  || case when doc_id % 4 = 0 then repeat('{NL}x-note some longer line of the pointer', 20) else '' end
+  || '{NL}size ' || (n_chars * 1000) || '{NL}'"""
+
+# (table, repo, path, content) of the bound files. All texts are in; pointer and empty
+# files are rows of their own.
 FILE_PARTS = (
     ("documents", "source", PATH, CONTENT),
+    ("(select * from documents where doc_id % 34 = 4)", "source", "lang || '/' || (doc_id % 7) || '/p' || doc_id || '.png'", _POINTER),
+    ("(select * from documents where doc_id % 24 = 15)", "source", f"'none/' || doc_id || {_EXT}", "''"),
     ("pages", "'web'", "'site/' || (page_id % 9) || '/' || page_id || '.html'", "html"),
     ("conversations", "'conv'", "'c' || (conv_id % 5) || '/' || conv_id || '/' || turn || '-' || role || '.txt'", "text"),
 )
@@ -71,7 +76,7 @@ REQUIREMENTS = f"replace(replace(text, ' ', case when doc_id % 2 = 0 then '>=1.0
 _CLEAN = "translate(text, '\"\\\\' || chr(10) || chr(9) || chr(13), '')"
 PACKAGE_JSON = """'{"name": "x", "dependencies": {"' || {clean} || '": "^1", "npm' || doc_id || '": "1"}'
   || case when doc_id % 3 = 0 then ', "devDependencies": {"dev' || doc_id || '": "2", "npm' || doc_id || '": "1"}' else '' end
-  || case when doc_id % 5 = 4 then '' else '}' end""".replace("{clean}", _CLEAN)
+  || case when doc_id % 5 = 4 then '' when doc_id % 11 = 5 then '} more' else '}' end""".replace("{clean}", _CLEAN)
 PYPROJECT = """'[project]' || chr(10) || 'dependencies = ["lib' || doc_id || '>=1", "' || {clean} || '"]' || chr(10)
   || case when doc_id % 4 = 1 then '[tool.poetry.dependencies]' || chr(10) || 'python = "^3.11"' || chr(10)
      || 'poet' || doc_id || ' = "*"' || chr(10) else '' end
@@ -102,16 +107,26 @@ DEP_SCAN = """'{"results": [{"packages": [{"package": {"name": "part' || l_partk
   || case when l_linenumber % 3 = 0 then '' else ', "version": "1.' || l_linenumber || '"' end
   || '}, "vulnerabilities": [{"id": "V-' || l_suppkey || '", "summary": "' || l_returnflag || ' risk"'
   || case when l_linenumber % 2 = 0 then '' else ', "database_specific": {"severity": "' || l_linestatus || '"}' end
-  || '}, {"summary": "second"}]}]}]' || case when l_orderkey % 11 = 0 then '' else '}' end"""
+  || '}, {"summary": "second"}]}]}]' || case when l_orderkey % 11 = 0 then '' when l_orderkey % 17 = 0 then '} []' else '}' end"""
 CODE_SCAN = """'{"results": [{"check_id": "rule.' || event_type || '", "path": "src/' || user_id || '.py"'
   || case when event_id % 3 = 0 then '' else ', "start": {"line": ' || (event_id % 500 + 1) || '}' end
   || case when event_id % 4 = 0 then '' else ', "extra": {"message": "found ' || event_type || '"'
      || case when event_id % 5 = 0 then '' else ', "severity": "ERROR"' end || '}' end
-  || '}]' || case when event_id % 13 = 0 then ',' else '}' end"""
+  || '}]' || case when event_id % 13 = 0 then ',' when event_id % 19 = 0 then '},{}' else '}' end"""
 DEP_REPO = "'order' || (l_orderkey % 100)"
 CODE_REPO = "'order' || (user_id % 100)"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a given table out over all cores.
+
+    Each test table is one file with one row group, which one task would read alone. Real
+    tables come in many splits, so the engine has no such step.
+    """
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if files < cores else df
+
+
 class Corpus:
     """Bound tables of one test-data folder."""
 
@@ -123,16 +138,21 @@ class Corpus:
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return spread(table, table.columns[0])
 
+    def part(self, source: str) -> DataFrame:
+        """A table, or the rows of one that hold for a condition."""
+        found = re.fullmatch(r"\(select \* from (\w+) where (.*)\)", source)
+        return self.table(found[1]).where(found[2]) if found else self.table(source)
+
     @cached_property
     def raw_files(self) -> DataFrame:
         # Paths are made once per row; in a real table they are a plain column.
         parts = [
-            compute_once(self.table(table), path=F.expr(path)).selectExpr(
+            compute_once(self.part(table), path=F.expr(path)).selectExpr(
                 f"{repo} as repo", "path", f"{content} as content"
             )
             for table, repo, path, content in FILE_PARTS
         ]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        return reduce(DataFrame.unionByName, parts)
 
     @cached_property
     def files(self) -> DataFrame:

@@ -55,7 +55,7 @@ UNIGNORED_DIRS = "not list_has_any(dirs, ['node_modules', '.git', '__pycache__']
 
 PACKABLE = f"""packable as (
   select * from files where suffix not in {in_list(BINARY_SUFFIXES)}
-    and disk_size between 1 and 102400
+    and disk_size > 0
     and not starts_with(content, '{GENERATED_MARKER}') and not contains(content, chr(0)))"""
 
 DISTILLABLE = f"""distillable as (
