@@ -24,8 +24,8 @@ from srcframe.llm.common import map_texts, per_worker
 from srcframe.llm.words import WordTable
 
 # Words, and states of the transducer, that a task remembers; a full table starts anew.
-REMEMBERED = 800_000
-REMEMBERED_STATES = 150_000
+REMEMBERED = 400_000
+REMEMBERED_STATES = 80_000
 LOOK_BACK = 4096
 CHUNK_CHARS = 1 << 20
 CHUNK_IDS = 1 << 16

@@ -28,15 +28,18 @@ def per_worker(key: tuple, make: Callable):
     """An object that all tasks of one Python worker share, such as a loaded vocabulary.
 
     Functions travel to the tasks with their modules, so a module variable would be new in
-    every task. Only for tables that save time; results never depend on them.
+    every task. Only for tables that save time; results never depend on them. A worker
+    keeps the last object asked for, so the tables of earlier stages do not add up.
     """
     import sys
     import types
 
     held = vars(sys.modules.setdefault("_srcframe_worker", types.ModuleType("_srcframe_worker")))
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    found = held.get("last", (None, None))
+    if found[0] != key:
+        held.pop("last", None)
+        found = held["last"] = key, make()
+    return found[1]
 
 
 def pieces(batch, column: str, limit: int = PIECE_BYTES) -> Iterator:

@@ -35,7 +35,7 @@ class Settings:
     per_class: int = 1500
     seed: int = 7
     # words a scoring task remembers; only saves time
-    remembered: int = 500_000
+    remembered: int = 250_000
 
 
 REPEATED = "\0="
