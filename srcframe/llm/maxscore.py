@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
+# Shards that share a copy of a block of queries, where there are enough for all cores.
+SHARED_SHARDS = 64
 
 
 def scaled(vectors: DataFrame, scale: int, key: str, column: str) -> DataFrame:
@@ -140,16 +142,23 @@ class Shard:
 def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` best rows of each query.
 
-    ``queries`` says which rows are queries. Shards stay where they are read and are sent
-    once to each block of queries; no task holds more than one shard and one block.
+    ``queries`` says which rows are queries. Shards are dealt into parts, and each part meets
+    each block of queries in a group of its own. A task holds one shard and one block at a
+    time. The groups are many small tasks of much work, so their number is set and not left
+    to the sizes of the data.
     """
     whole = scaled(vectors, scale, key, column)
     asked = scaled(vectors.where(queries), scale, key, column)
     blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    shards = -(-vectors.count() // SHARD_ROWS)
+    parts = max(1, -(-shards // SHARED_SHARDS), min(shards, vectors.sparkSession.sparkContext.defaultParallelism))
     asked = packed(asked.repartition(blocks, "vec_id"), BLOCK_QUERIES).select(
-        F.col("ids").alias("q_ids"), F.col("components").alias("q_components"), F.col("width").alias("q_width"),
-        (F.spark_partition_id() % blocks).alias("block"))
-    shards = packed(whole, SHARD_ROWS).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        F.col("ids").alias("q_ids"), F.col("components").alias("q_components"),
+        (F.spark_partition_id() % blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    shards = packed(whole.repartition(parts, "vec_id"), SHARD_ROWS).withColumn("part", F.spark_partition_id() % parts)
+    shards = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    groups = ["block", "part"]
+    asked, shards = (df.repartition(blocks * parts, *groups) for df in (asked, shards))
 
     def run(batches):
         import numpy as np
@@ -170,7 +179,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024,
                     pa.array(np.concatenate([s for _, _, s in out]) if out else [], pa.int64()),
                 ], names=["query_id", "vec_id", "score"])
 
-    met = shards.join(asked, "block").select("ids", "components", "q_ids", "q_components")
+    met = shards.join(asked, groups).select("ids", "components", "q_ids", "q_components")
     found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
