@@ -14,7 +14,7 @@ from srcframe.constants import WHITE_SPACE
 from srcframe.functions import lines, paths
 from srcframe.functions.globs import ignore_regex_col, shell_regex_col
 from srcframe.functions.lfs import pointer_size
-from srcframe.session import broadcast_if_small, compute_once, materialize
+from srcframe.session import broadcast_if_small, compute_once, fits_broadcast, materialize, without_keys
 
 # Appended to every tested path. A drop rule consumes the first letter, a keep rule
 # both, so the end of the match tells which kind of rule it was.
@@ -61,10 +61,11 @@ def is_ignored(path: Column, matcher: Column) -> Column:
 def apply_gitignore(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Drop ignored files. ``rules`` defaults to those found in ``files`` itself."""
     matchers = materialize(combined_rules(ignore_rules(files) if rules is None else rules))
-    kept = files.join(broadcast_if_small(matchers), "repo", "left").where(
-        ~is_ignored(F.col("path"), F.col("matcher"))
-    )
-    return kept.select(*files.columns)
+    ignored = is_ignored(F.col("path"), F.col("matcher"))
+    if fits_broadcast(matchers):
+        return files.join(F.broadcast(matchers), "repo", "left").where(~ignored).select(*files.columns)
+    # Repositories differ in size, so only paths meet their rules; texts meet the decisions.
+    return without_keys(files, files.select("repo", "path").join(matchers, "repo").where(ignored).select("repo", "path"))
 
 
 def lfs_patterns(files: DataFrame) -> DataFrame:
@@ -92,12 +93,19 @@ def with_lfs(files: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
         )
     )
     size = pointer_size(F.col("content"))
+    plain = files.drop("is_lfs_pointer", "real_size", "size_bytes")
     # regexp_instr keeps the compiled expression between rows of one repository.
-    managed = F.when(size.isNotNull(), F.regexp_instr(F.col("path"), F.col("_matcher")) > 0)
+    managed = F.coalesce(F.regexp_instr(F.col("path"), F.col("_matcher")) > 0, F.lit(False))
+    if fits_broadcast(matchers):
+        sized = plain.join(F.broadcast(matchers), "repo", "left").withColumn(
+            "real_size", F.when(size.isNotNull(), F.when(managed, size)))
+    else:
+        # Pointer texts are few; what they say is found in the scan and meets the rules alone.
+        pointers = files.select("repo", "path", size.alias("real_size")).where(F.col("real_size").isNotNull())
+        marks = pointers.join(matchers, "repo").where(managed).select("repo", "path", "real_size")
+        sized = plain.join(broadcast_if_small(materialize(marks)), ["repo", "path"], "left")
     marked = (
-        files.drop("is_lfs_pointer", "real_size", "size_bytes")
-        .join(broadcast_if_small(matchers), "repo", "left")
-        .withColumn("real_size", F.when(F.coalesce(managed, F.lit(False)), size))
+        sized
         .withColumn("is_lfs_pointer", F.col("real_size").isNotNull())
         .withColumn("size_bytes", F.coalesce("real_size", "disk_size"))
     )

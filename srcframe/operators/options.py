@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 from srcframe.functions import paths
 from srcframe.functions.globs import shell_regex
 from srcframe.functions.lines import strip
-from srcframe.session import broadcast_if_small
+from srcframe.session import fits_broadcast, materialize, without_keys
 
 
 def split_comma_list(raw: Column) -> Column:
@@ -47,7 +47,9 @@ def apply_exclusions(files: DataFrame, options: DataFrame) -> DataFrame:
     )
     by_dir = F.arrays_overlap(paths.dir_parts(F.col("path")), F.col("exclude_dirs"))
     by_name = F.regexp_instr(F.col("name"), F.col("_globs")) > 0
-    kept = files.join(broadcast_if_small(small), "repo", "left").where(
-        ~(F.coalesce(by_dir, F.lit(False)) | F.coalesce(by_name, F.lit(False)))
-    )
-    return kept.select(*files.columns)
+    excluded = F.coalesce(by_dir, F.lit(False)) | F.coalesce(by_name, F.lit(False))
+    small = materialize(small)
+    if fits_broadcast(small):
+        return files.join(F.broadcast(small), "repo", "left").where(~excluded).select(*files.columns)
+    narrow = files.select("repo", "path", "name").join(small, "repo").where(excluded)
+    return without_keys(files, narrow.select("repo", "path"))

@@ -90,11 +90,20 @@ def measured_bytes(df: DataFrame) -> int:
     return df.select(F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()[0]
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def without_keys(files: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``files`` but those of ``dropped`` (repo, path). Keys are unique, so they spread evenly."""
+    return files.join(broadcast_if_small(materialize(dropped)), ["repo", "path"], "left_anti")
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast of ``df`` only when its counted size is under ``limit``.
 
     Otherwise the plain table comes back and the join shuffles on its keys, where
     adaptive execution splits skewed partitions. ``df`` should already be stored
     (:func:`materialize`) or be cheap to read twice.
     """
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

@@ -10,10 +10,8 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import BinaryType
 
 from srcframe.constants import DEFAULT_IGNORED_DIRS
 from srcframe.functions.decode import decode_text
@@ -68,7 +66,8 @@ class _ListingReader(DataSourceReader):
                 ]
             frontier = below
         size = max(1, -(-len(opened) // self.wanted))
-        parts = [_Subtree([item], []) for item in frontier]
+        deep = max(1, -(-len(frontier) // self.wanted))
+        parts = [_Subtree(frontier[i:i + deep], []) for i in range(0, len(frontier), deep)]
         parts += [_Subtree([], opened[i:i + size]) for i in range(0, len(opened), size)]
         return parts or [_Subtree([], [])]
 
@@ -127,6 +126,10 @@ def list_repos(
     pairs = roots.items() if isinstance(roots, Mapping) else (
         (os.path.basename(os.path.abspath(r)), r) for r in roots
     )
+    pairs = list(pairs)
+    names = [repo for repo, _ in pairs]
+    if len(set(names)) < len(names):
+        raise ValueError("two roots have the same name; give the names as a mapping")
     named = [f"{repo}\t{os.path.abspath(root)}" for repo, root in pairs]
     spark.dataSource.register(FileListing)
     return (
@@ -139,18 +142,31 @@ def list_repos(
     )
 
 
-@arrow_udf(BinaryType())
-def _read_bytes(locations):
+# A batch of files is handed on once it holds this many bytes.
+BATCH_BYTES = 32 << 20
+
+
+def _read_batches(batches):
     import pyarrow as pa
 
-    def read(location):
-        try:
-            with open(location, "rb") as handle:
-                return handle.read()
-        except (OSError, TypeError):
-            return None
+    def made(batch, first, rows):
+        part = batch.slice(first, len(rows))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.binary())], names=[*part.schema.names, "bytes"])
 
-    return pa.array([read(x) for x in locations.to_pylist()], pa.binary())
+    for batch in batches:
+        first, held, rows = 0, 0, []
+        for location in batch.column("location").to_pylist():
+            try:
+                with open(location, "rb") as handle:
+                    rows.append(handle.read())
+                held += len(rows[-1])
+            except (OSError, TypeError):
+                rows.append(None)
+            if held >= BATCH_BYTES:
+                yield made(batch, first, rows)
+                first, held, rows = first + len(rows), 0, []
+        if rows:
+            yield made(batch, first, rows)
 
 
 def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -159,7 +175,8 @@ def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFram
     wanted = listing.where(~F.col("is_symlink") & ~F.col("is_dir"))
     count = partitions or spark.sparkContext.defaultParallelism * 4
     spread = wanted.repartition(count, F.xxhash64("repo", "path"))
-    read = spread.withColumn("bytes", _read_bytes("location")).where(F.col("bytes").isNotNull())
+    schema = T.StructType([*spread.schema.fields, T.StructField("bytes", T.BinaryType())])
+    read = spread.mapInArrow(_read_batches, schema).where(F.col("bytes").isNotNull())
     return files_from_table(
         read, content=decode_text(F.col("bytes")), disk_size="disk_size", is_symlink="is_symlink"
     )

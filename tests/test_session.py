@@ -16,16 +16,41 @@ def test_broadcast_only_below_the_bound(spark):
 
 
 def test_results_do_not_depend_on_the_join_used(spark, make_files, monkeypatch):
-    from srcframe.operators import ignore
-
-    files = make_files([("a", ".gitignore", "*.x"), ("a", "1.x", ""), ("a", "k", ""), ("b", "1.x", "")])
-    want = {(r.repo, r.path) for r in ignore.apply_gitignore(files).collect()}
-    monkeypatch.setattr(ignore, "broadcast_if_small", lambda df: broadcast_if_small(df, limit=-1))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    """Without broadcasts the same rows come, and no text is shuffled by repository."""
+    from srcframe import session
+    from srcframe.functions.lfs import LFS_SPEC_LINE
+    from srcframe.operators import ignore, options
+
+    pointer = f"{LFS_SPEC_LINE}\nsize 77\n"
+    files = make_files([
+        ("a", ".gitignore", "*.x\nd/"), ("a", "1.x", ""), ("a", "k", "text"), ("a", "d/e/f", ""), ("b", "1.x", ""),
+        ("a", ".gitattributes", "*.bin filter=lfs"), ("a", "p.bin", pointer), ("a", "q.bin", "no"), ("b", "p.bin", pointer)])
+    config = spark.createDataFrame([("a", ["d"], ["k*"])], "repo string, exclude_dirs array<string>, exclude_patterns array<string>")
+    forms = [ignore.apply_gitignore, ignore.with_lfs, lambda f: options.apply_exclusions(f, config)]
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = [rows(form(files)) for form in forms]
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
     try:
-        assert {(r.repo, r.path) for r in ignore.apply_gitignore(files).collect()} == want
+        for form, before in zip(forms, want):
+            made = form(files)
+            assert rows(made) == before
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            keys = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+            assert keys and all("repo" in line and "path" in line for line in keys), plan
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
+def test_sizes_of_binary_columns_are_counted(spark):
+    import pytest
+
+    df = spark.range(2).select(F.repeat(F.lit("x"), 50_000).cast("binary").alias("b"))
+    assert measured_bytes(df) > 100_000
+    with pytest.raises(TypeError):
+        measured_bytes(spark.range(1).select(F.make_dt_interval().alias("d")))
 
 
 def test_a_filter_stays_above_a_costly_column(spark):
