@@ -306,6 +306,13 @@ def _(c):
     return pack.pack_stats(_selected(c))
 
 
+@query("pack_stats_chars", PACKED + f"""
+  select d.repo, n as files_selected, (length(document) + 3) // 4 as final_token_count
+  from documents_raw d join (select repo, count(*) as n from picked group by repo) p on p.repo = d.repo""")
+def _(c):
+    return pack.pack_stats(_selected(c), "chars4")
+
+
 # --- distill ----------------------------------------------------------------------------
 
 DISTILLED = FILES + ", " + DISTILLABLE + f""", distilled as (
@@ -357,6 +364,15 @@ def _(c):
     return distill.distill_stats(distill.distilled_blocks(_distilled(c)))
 
 
+@query("distill_stats_chars", DISTILLED + f""", texts as (
+    select repo, count(*) as n, '{GENERATED_MARKER}' || chr(10) || chr(10) || string_agg(
+      '{"=" * 50}' || chr(10) || '--- FILE: ' || path || ' ---' || chr(10) || '{"=" * 50}' || chr(10) || d || chr(10) || chr(10), chr(10) order by walk_key) as t
+    from distilled group by repo)
+  select repo, n as files_processed, (length(t) + 3) // 4 as total_tokens from texts""")
+def _(c):
+    return distill.distill_stats(distill.distilled_blocks(_distilled(c)), "chars4")
+
+
 # --- trees and reports ------------------------------------------------------------------
 
 @query("tree_nodes", FILES + ", " + DIR_SIZES + """

@@ -84,6 +84,15 @@ def _(c):
     return merged.select("repo", *[F.array_join(n, ",").alias(n) for n in ("exclude_dirs", "exclude_patterns")])
 
 
+@query("merged_options", """
+  select source as repo, min(n_chars) as max_files, 'deep' as mode, max(lang) as note from documents group by source""")
+def _(c):
+    config = c.table("documents").groupBy("source").agg(
+        F.min("n_chars").alias("max_files"), F.min("lang").alias("mode"), F.max("lang").alias("note"))
+    # 0, '' and None were not given, so the stored options stay
+    return options.merge_options(config.withColumnRenamed("source", "repo"), {"max_files": 0, "mode": "deep", "note": ""})
+
+
 @query("own_exclusions_applied", FILES + f""", config as ({_CONFIG})
   select f.repo, f.path from files f left join config g on g.repo = f.repo
   where g.repo is null or not (
