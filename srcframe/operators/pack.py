@@ -191,12 +191,16 @@ def format_pack(
     raise ValueError(f"unknown format: {fmt}")
 
 
-def pack_stats(texts: DataFrame, method="pieces", marker: str = GENERATED_MARKER) -> DataFrame:
+def pack_stats(
+    texts: DataFrame, method="pieces", marker: str = GENERATED_MARKER, repos: DataFrame | None = None
+) -> DataFrame:
     """(repo, files_selected, final_token_count) of the raw documents.
 
-    Blocks are counted where they are, so no document is built.
+    Blocks are counted where they are, so no document is built. ``repos`` adds those that
+    have no file to choose, or none that fits the budget, with zeros.
     """
-    return pack_blocks(texts).groupBy("repo").agg(
+    counted = pack_blocks(texts).groupBy("repo").agg(
         F.count("*").alias("files_selected"),
         joined_token_count(F.col("block"), method, marker, 1).alias("final_token_count"),
     )
+    return counted if repos is None else repos.select("repo").distinct().join(counted, "repo", "left").na.fill(0)

@@ -307,10 +307,14 @@ def _(c):
 
 
 @query("pack_stats_chars", PACKED + f"""
-  select d.repo, n as files_selected, (length(document) + 3) // 4 as final_token_count
-  from documents_raw d join (select repo, count(*) as n from picked group by repo) p on p.repo = d.repo""")
-def _(c):
-    return pack.pack_stats(_selected(c), "chars4")
+  select r.repo, coalesce(n, 0) as files_selected, coalesce((length(document) + 3) // 4, 0) as final_token_count
+  from (select distinct source as repo from documents union all select 'none-' || lang from documents group by lang
+        union all values ('web'), ('conv')) r
+  left join documents_raw d on d.repo = r.repo left join (select repo, count(*) as n from picked group by repo) p on p.repo = r.repo""")
+def _(c):
+    # Repositories without any file are among those that were to be packed.
+    wanted = c.files.select("repo").union(c.table("documents").selectExpr("'none-' || lang"))
+    return pack.pack_stats(_selected(c), "chars4", repos=wanted)
 
 
 # --- distill ----------------------------------------------------------------------------
