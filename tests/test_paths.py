@@ -1,8 +1,6 @@
 import fnmatch
-import os
 import random
 import re
-from pathlib import PurePosixPath
 
 from pyspark.sql import functions as F
 

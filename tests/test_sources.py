@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from srcframe.operators import deps, report, tree
+from srcframe.operators import report
 from srcframe.plans import jobs
 from srcframe.sources import filesystem, sinks
 from srcframe.streaming import incremental

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from srcframe.functions import tokens as token_functions
 from srcframe.operators import (
     deps, distill, facts, findings, keyfiles, ordering, pack, pymetrics, report, secrets, stats, tree,
 )
@@ -12,9 +11,9 @@ from srcframe.sources.sinks import distill_map
 from srcframe.sources.tables import files_from_table
 from srcframe.streaming import incremental
 from workload.bindings import (
-    CODE_REPO, CODE_SCAN, DEP_REPO, DEP_SCAN, FILES, MODULES, PACKAGE_JSON, PYPROJECT, REQUIREMENTS, sql_files,
+    CODE_REPO, DEP_REPO, FILES, MODULES, PACKAGE_JSON, PYPROJECT, REQUIREMENTS, sql_files,
 )
-from workload.corpus_queries import PACKAGE_ROWS, PYPROJECT_ROWS, REQUIREMENT_ROWS, SECRETS, SKELETON
+from workload.corpus_queries import PACKAGE_ROWS, PYPROJECT_ROWS, REQUIREMENT_ROWS, SECRETS
 from workload.fragments import (
     DISTILLABLE, GENERATED_MARKER, IMPORTANT, MARKS, MODULE_FACTS, NOT_SOURCE, PACKABLE, STATS,
     distill as sql_distill, greedy, sql_lines, tokens,

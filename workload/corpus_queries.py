@@ -9,7 +9,7 @@ from srcframe.sources.filesystem import list_repos
 from srcframe.sources.tables import files_from_table
 from workload.bindings import (
     ATTRIBUTED, CLEAN, FILES, IGNORE_KINDS, IGNORE_RULE_REGEX, IGNORING, LFS_LINE, LFS_REGEX, MODULE_BODY,
-    MODULES, PACKAGE_JSON, PYPROJECT, REQUIREMENTS, SPACE,
+    PACKAGE_JSON, PYPROJECT, REQUIREMENTS, SPACE,
 )
 from workload.fragments import (
     BINARY_SUFFIXES, DISTILLABLE, GENERATED_MARKER, MARKS, MODULE_FACTS, SOURCE_SUFFIXES, STATS,
