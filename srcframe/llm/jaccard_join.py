@@ -9,6 +9,7 @@ two rounds:
 1. In each group every node is paired with the group's centre, the node that shares most.
    Each node keeps the centre it shares most with. So a group of near copies takes as many
    tests as it has members, and not all pairs.
+   Pairs that their prefixes already rule out are left out.
 2. Groups whose nodes are in several components by then give the pairs between different
    components that could still reach the threshold by size and by the places of the
    n-gram. So no link is lost: what is not tested is in one component already.
@@ -369,13 +370,52 @@ class Tree:
             node, at = child, at + same
 
 
+def within_reach(x_prefix, x_n: int, y_prefix, y_n: int, percent: int) -> bool:
+    """Whether two sets can be at the threshold, as far as their prefixes tell.
+
+    Up to the end of the shorter-reaching prefix all shared n-grams are known. Beyond it
+    no more can be shared than either set has left.
+    """
+    import numpy as np
+
+    end = min(x_prefix[-1], y_prefix[-1])
+    shared = len(np.intersect1d(x_prefix, y_prefix, assume_unique=True))
+    x_left = x_n - int(np.searchsorted(x_prefix, end, side="right"))
+    y_left = y_n - int(np.searchsorted(y_prefix, end, side="right"))
+    return (100 + percent) * (shared + min(x_left, y_left)) >= percent * (x_n + y_n)
+
+
+def reachable(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (u, v)`` whose prefixes allow a link; prefixes are a fifth of the sets."""
+    pairs = stored(pairs)
+    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    prefixes = known.where(F.col("prefix").isNotNull()).join(ends, "node").groupBy("node").agg(
+        F.max(F.struct("n", "prefix")).alias("held"))
+    prefixes = stored(prefixes.select("node", "held.n", "held.prefix"))
+    of = lambda end: prefixes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("prefix").alias(f"{end}_prefix"))
+
+    def test(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("u_prefix", "u_n", "v_prefix", "v_n")]
+            able = [
+                within_reach(np.frombuffer(a, np.uint64), m, np.frombuffer(b, np.uint64), n, percent)
+                for a, m, b, n in zip(*columns)
+            ]
+            yield batch.select(["u", "v"]).filter(pa.array(able, pa.bool_()))
+
+    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(test, "u bigint, v bigint")
+
+
 def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, order, key: str, text: str, settings: Settings) -> DataFrame:
     """The links among ``pairs (u, v)``, tested on the sets with a prefix tree.
 
     The pairs of a ``u`` are dealt into blocks, and each block gets the set of ``u``. Sets
     are made again from the texts of the nodes in question, one text for each node.
     """
-    pairs = stored(pairs)
+    pairs = stored(reachable(pairs, known, settings.percent))
     blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / settings.block).alias("blocks"))
     dealt = pairs.join(blocks, "u").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     places = stored(
