@@ -20,7 +20,7 @@ import dataclasses
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcframe.llm.common import map_texts
+from srcframe.llm.common import map_texts, per_worker
 from srcframe.llm.labelled import held_out, training_texts
 from srcframe.llm.words import WordTable
 
@@ -129,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, held, settings: Settings = Settings(
 def score(docs: DataFrame, model, settings: Settings = Settings(), threshold: float = 0.3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``score`` and ``predicted`` of every whole text, in place."""
     margin, bias = model
-    sent = docs.sparkSession.sparkContext.broadcast(margin.astype("<f4").tobytes())
+    packed = margin.astype("<f4").tobytes()
+    sent, name = docs.sparkSession.sparkContext.broadcast(packed), hash((packed, bias, settings))
 
     def make():
         import numpy as np
@@ -141,7 +142,7 @@ def score(docs: DataFrame, model, settings: Settings = Settings(), threshold: fl
             # the sum of the weights, and as the imaginary part their number
             return complex(sum([weight[b] for b in found]), len(found))
 
-        table = WordTable(of, settings.remembered)
+        table = per_worker(("quality", name), lambda: WordTable(of, settings.remembered))
         again = weight[buckets_of(REPEATED, settings)[0]]
 
         def one(text):
