@@ -1,18 +1,16 @@
-"""Line dedup by winnowing, in DataFrame functions only.
+"""Line dedup by windows of lines, in DataFrame functions only.
 
 A document is the sequence of its lines that are not blank, each with a hash (of the
 trimmed line) and a number of words. A window is a line with the least number of lines
-after it that together hold ``least_words`` words; the line with the smallest hash of each
-window is a fingerprint. So any two equal runs of that many words share a fingerprint at
-the same place. Each fingerprint is joined with the first place, in order of (document,
-line), of the same line, of that line with the one before, and with the one after. Each
-match is extended both ways over the lines next to it, as far as the next window must have
-a fingerprint of its own. Runs of ``least_words`` words or more are deleted at the later
-place, so their first place stays.
-
-Only narrow rows (keys, places, hashes) are shuffled; the deleted places of a document
-then meet its text. The most frequent line of all is one group of narrow rows, reduced in
-tasks first, and its join is split by adaptive execution.
+after it, or before it, that together hold ``least_words`` words. A line lies in a repeated
+run of that many words just if it lies in a repeated window: shorten the run at both ends
+as long as it holds the line and the words, and what is left is a window. Each window is
+keyed by the hash of its lines, and its lines are deleted at every place but the first, in
+order of (document, line).
+
+Only narrow rows (keys and places) are shuffled; the deleted places of a document then meet
+its text. The most frequent window of all is one group of narrow rows, reduced in tasks
+first, and its join is split by adaptive execution.
 
 Defined results: null texts are empty. Blank lines stay. Rows of the same key and text are
 the same document; rows without a key are left as they are.
@@ -42,78 +40,70 @@ def _sequence(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " +")).alias("w")))
 
 
-def _reach(lines: Column, least: int) -> Column:
+def _reach(words: Column, least: int) -> Column:
     """How many of the lines it takes to hold ``least`` words; all and one more if they hold less."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("words"))
-    end = F.aggregate(lines, start, lambda s, x: F.when(s["words"] >= least, s).otherwise(
-        F.struct((s["n"] + 1).alias("n"), (s["words"] + x["w"]).alias("words"))))
-    return F.when(end["words"] >= least, end["n"]).otherwise(end["n"] + 1)
+    end = F.aggregate(words, start, lambda s, w: F.when(s["words"] >= least, s).otherwise(
+        F.struct((s["n"] + 1).alias("n"), (s["words"] + w).alias("words"))),
+        lambda s: F.when(s["words"] >= least, s["n"]).otherwise(s["n"] + 1))
+    return F.when(F.get(words, F.lit(0)) >= least, 1).otherwise(end)
 
 
-def _fingerprints(seq: Column, least: int) -> Column:
-    """Places of the smallest hash of each full window."""
-    def of(i: Column) -> Column:
-        ahead = F.slice(seq, i + 1, least)
-        n = _reach(ahead, least)
-        hashes = F.transform(F.slice(seq, i + 1, n), lambda x: x["h"])
-        return F.when(n <= F.size(ahead), i + F.array_position(hashes, F.array_min(hashes)).cast("int") - 1)
+def _code(at: Column, n: Column, least: int) -> Column:
+    """A window as one number: no window has more than ``least`` lines."""
+    return at.cast("bigint") * (least + 1) + n
 
-    places = F.transform(F.when(F.size(seq) > 0, F.sequence(F.lit(0), F.size(seq) - 1)), of)
-    return F.array_distinct(F.filter(places, lambda p: p.isNotNull()))
 
+def _start(code: Column, least: int) -> Column:
+    return F.floor(code / (least + 1)).cast("int")
 
-def fingerprints(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """``doc``, ``at``, the line ``line``, and the lines before and after it, nearest first."""
-    doc = F.struct(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"))
-    named = docs.where(F.col(key).isNotNull()).select(doc.alias("doc"), F.col(text).alias("_text"))
-    made = compute_once(named, seq=_sequence(F.col("_text"))).select("doc", "seq")
-    chosen = made.select("doc", "seq", F.explode(_fingerprints(F.col("seq"), least)).alias("at"))
-    at, seq = F.col("at"), F.col("seq")
-    before = F.reverse(F.slice(seq, F.greatest(at - least, F.lit(0)) + 1, F.least(at, F.lit(least))))
-    after = F.slice(seq, at + 2, least)
-    near = chosen.select("doc", "at", F.get(seq, at).alias("line"), before.alias("before"), after.alias("after"))
-    return near.select(
-        "doc", "at", "line",
-        F.slice("before", 1, _reach(F.col("before"), least)).alias("before"),
-        F.slice("after", 1, _reach(F.col("after"), least)).alias("after"))
+
+def _length(code: Column, least: int) -> Column:
+    return (code % (least + 1)).cast("int")
 
 
-def _same(mine: Column, other: Column) -> Column:
-    """How many lines agree before the first that does not."""
-    differs = F.array_position(F.zip_with(mine, other, lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))), False)
-    return F.when(differs == 0, F.greatest(F.size(mine), F.size(other))).otherwise(differs - 1).cast("int")
+def _windows(words: Column, least: int) -> Column:
+    """The windows of the lines with these numbers of words, each once."""
+    def after(i: Column) -> Column:
+        n = _reach(F.slice(words, i + 1, least), least)
+        return F.filter(F.array(n), lambda n: i + n <= F.size(words))
 
+    def before(i: Column) -> Column:
+        held = F.least(i + 1, F.lit(least))
+        n = _reach(F.reverse(F.slice(words, i - held + 2, held)), least)
+        return F.filter(F.array(n), lambda n: n <= i + 1)
 
-def _words(lines: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(lines, 1, n), F.lit(0).cast("bigint"), lambda s, x: s + x["w"])
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1))
+    ahead = F.transform(places, lambda i: F.transform(after(i), lambda n: _code(i, n, least)))
+    back = F.transform(places, lambda i: F.transform(before(i), lambda n: _code(i - n + 1, n, least)))
+    return F.array_union(F.flatten(ahead), F.flatten(back))
+
+
+def fingerprints(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """``doc``, ``code`` (place and number of lines) and ``group`` (hash of the lines) of every window."""
+    doc = F.struct(F.col(key).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"))
+    named = docs.where(F.col(key).isNotNull()).select(doc.alias("doc"), F.col(text).alias("_text"))
+    made = compute_once(named, seq=_sequence(F.col("_text")))
+    made = compute_once(made.select("doc", "seq"), hashes=F.col("seq.h"), words=F.col("seq.w"))
+    made = compute_once(made.select("doc", "hashes", "words"), codes=_windows(F.col("words"), least))
+    found = F.transform("codes", lambda c: F.struct(
+        c.alias("code"),
+        F.xxhash64(F.slice("hashes", _start(c, least) + 1, _length(c, least))).alias("group")))
+    return made.select("doc", F.inline(found))
 
 
 def repeated_places(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``doc`` and ``places``: which of its lines that are not blank are deleted."""
-    prints = stored(fingerprints(docs, key, text, least))
-    h = F.col("line.h")
-    keys = F.array(
-        F.xxhash64(h), F.xxhash64(F.get("before", F.lit(0))["h"], h, F.lit(1)), F.xxhash64(h, F.get("after", F.lit(0))["h"], F.lit(2)))
-    keyed = prints.select("doc", "at", F.explode(keys).alias("group"))
-    place = F.struct("doc", "at")
+    found = stored(fingerprints(docs, key, text, least))
+    place = F.struct("doc", "code")
     first = stored(
-        keyed.groupBy("group").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        found.groupBy("group").agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(F.col("first") != F.col("last")).select("group", "first")
     )
-    met = (
-        keyed.join(first, "group").where(F.struct("doc", "at") != F.col("first"))
-        .select("doc", "at", F.col("first.doc").alias("other"), F.col("first.at").alias("other_at")).distinct()
-    )
-    others = prints.select(
-        F.col("doc").alias("other"), F.col("at").alias("other_at"), F.col("before").alias("other_before"),
-        F.col("after").alias("other_after")).dropDuplicates(["other", "other_at"])
-    near = met.join(prints.dropDuplicates(["doc", "at"]), ["doc", "at"]).join(stored(others), ["other", "other_at"])
-    extended = compute_once(
-        near, back=_same(F.col("before"), F.col("other_before")), ahead=_same(F.col("after"), F.col("other_after")))
-    run = F.col("line.w") + _words(F.col("before"), F.col("back")) + _words(F.col("after"), F.col("ahead"))
-    deleted = extended.where(run >= least).select(
-        "doc", F.explode(F.sequence(F.col("at") - F.col("back"), F.col("at") + F.col("ahead"))).alias("place"))
-    return deleted.distinct().groupBy("doc").agg(F.collect_set("place").alias("places"))
+    later = found.join(first, "group").where(place != F.col("first"))
+    held = later.groupBy("doc").agg(F.collect_set("code").alias("codes"))
+    lines = F.transform("codes", lambda c: F.sequence(_start(c, least), _start(c, least) + _length(c, least) - 1))
+    return held.select("doc", F.array_distinct(F.flatten(lines)).alias("places"))
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:

@@ -35,6 +35,19 @@ def test_line_dedup_on_random_lines(docs_of, least):
     assert sum(g[0] for g in got.values()) >= 0.95 * sum(w[0] for w in want.values())
 
 
+def test_line_dedup_finds_every_run(docs_of):
+    """Runs whose lines and pairs of lines all stand earlier in other contexts."""
+    a, b, c, x, y = (f"{k}1 {k}2 {k}3" for k in "abcxy")
+    texts = {1: f"{a}\n{b}\n{x}", 2: f"{y}\n{b}\n{c}", 10: f"{a}\n{b}\n{c}", 20: f"{a}\n{b}\n{c}"}
+    got = lines_result(docs_of(list(texts.items())))
+    assert got == lines_wanted(texts) and got[20] == (3, "")
+    rng = random.Random(6)
+    lines = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(1, 5))) for _ in range(6)]
+    texts = {i: "\n".join(rng.choices(lines, k=rng.randint(1, 9))) for i in range(200)}
+    for least in (4, 8, 11):
+        assert lines_result(docs_of(list(texts.items())), least=least) == lines_wanted(texts, least)
+
+
 def test_line_dedup_on_copies(docs_of, copies):
     assert lines_result(docs_of(list(copies.items()))) == lines_wanted(copies)
 
