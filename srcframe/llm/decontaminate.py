@@ -9,9 +9,14 @@ positions) belong together. There each value of a slot of the item must stand fo
 of the document throughout; diagonals that break this do not count. A document leaks an
 item when the windows left cover ``least_share`` of the item's windows.
 
-Defined results: null and empty texts have no window. Items with fewer words than a window,
-or only with windows of mostly placeholders, have no template and are never found. Rows of
-the same key count as parts of one text: their windows add up.
+An item with fewer words than a window is one window of all its words. Windows with fewer
+than ``literals`` words that are no placeholders are left out, unless fewer than
+``least_share`` of the item's windows would be left; then all are used. On a diagonal that
+has only such windows they count where they hold that many literal words together, or where
+the document has the item's own values.
+
+Defined results: null and empty texts have no window. Rows of the same key count as parts of
+one text: their windows add up.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from srcframe.session import broadcast_if_small, compute_once
 @dataclasses.dataclass(frozen=True)
 class Settings:
     window: int = 8
-    # words of a window that must be no placeholders
+    # words of a window, or of a diagonal, that must be no placeholders
     literals: int = 4
     least_share: float = 0.5
 
@@ -66,28 +71,35 @@ def template_words(text: Column) -> Column:
     return F.regexp_extract_all(measured, F.lit(f"{_WORD}|[{SLOTS}]"), F.lit(0))
 
 
-def _windows(table: DataFrame, key: str, text: str, size: int, raw: bool) -> DataFrame:
-    """``id``, place ``at``, ``hash`` of each window, and the word arrays it lies in."""
+def _windows(table: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """``id``, place ``at``, ``size`` and ``hash`` of each window, and the word arrays it lies in."""
     narrow = table.select(F.col(key).alias("id"), F.col(text).alias("_text")).where(F.col("id").isNotNull())
-    columns = {"words": template_words(F.col("_text"))}
-    if raw:
-        columns["raw"] = raw_words(F.col("_text"))
-    made = compute_once(narrow, **columns)
-    places = F.when(F.size("words") >= size, F.sequence(F.lit(0), F.size("words") - size))
+    made = compute_once(narrow, words=template_words(F.col("_text")), raw=raw_words(F.col("_text"))).drop("_text")
+    places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))
     spread = made.select("*", F.explode(places).alias("at"))
-    return spread.withColumn("hash", F.xxhash64(*[F.get("words", F.col("at") + i) for i in range(size)]))
+    hashed = []
+    for size in sizes:
+        inside = F.col("at") + size <= F.size("words")
+        words = [F.get("words", F.col("at") + i) for i in range(size)]
+        hashed.append(F.struct(F.lit(size).alias("size"), F.when(inside, F.xxhash64(F.lit(size), *words)).alias("hash")))
+    return spread.select("*", F.inline(F.array(*hashed))).where(F.col("hash").isNotNull())
 
 
 def benchmark_windows(benchmark: DataFrame, settings: Settings, key: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_id``, ``item_at``, ``hash``, the window's ``slots`` and raw ``values``, and ``item_windows``."""
-    size = settings.window
-    windows = _windows(benchmark, key, text, size, raw=True)
-    window = F.slice("words", F.col("at") + 1, size)
-    kinds = F.transform(window, lambda w: F.instr(F.lit(SLOTS), w) > 0)
-    return windows.select(
-        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", kinds.alias("slots"),
-        F.slice("raw", F.col("at") + 1, size).alias("values"),
-    ).where(F.size(F.filter("slots", lambda s: ~s)) >= settings.literals)
+    """``item_id``, ``item_at``, ``size``, ``hash``, the window's ``kinds`` of slots and raw ``values``,
+    and ``strong``: whether it holds literal words enough."""
+    full = settings.window
+    windows = _windows(benchmark, key, text, list(range(1, full + 1)))
+    windows = windows.where(F.col("size") == F.least(F.lit(full), F.size("words")))
+    window = F.slice("words", F.col("at") + 1, F.col("size"))
+    kinds = F.transform(window, lambda w: F.when(F.instr(F.lit(SLOTS), w) > 0, w))
+    made = windows.select(
+        F.col("id").alias("item_id"), F.col("at").alias("item_at"), "size", "hash", kinds.alias("kinds"),
+        F.transform(F.slice("raw", F.col("at") + 1, F.col("size")), F.lower).alias("values"))
+    made = stored(made.withColumn("strong", F.size(F.filter("kinds", lambda k: k.isNull())) >= settings.literals))
+    whole = made.groupBy("item_id").agg(F.countDistinct("item_at").alias("_all"), F.countDistinct(F.when(F.col("strong"), F.col("item_at"))).alias("_strong"))
+    whole = whole.select("item_id", (F.col("_strong") < settings.least_share * F.col("_all")).alias("_weak"))
+    return made.join(broadcast_if_small(whole), "item_id").where(F.col("strong") | F.col("_weak")).drop("_weak")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,26 +109,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     The windows of the items are broadcast when their counted size allows it, so those of the
     documents are tested where the texts are read. Otherwise both sides meet by hash.
     """
-    items = benchmark_windows(benchmark, settings)
+    items = stored(benchmark_windows(benchmark, settings))
     sizes = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"))
-    size = settings.window
-    windows = _windows(docs, key, text, size, raw=False)
-    has_slot = F.exists("slots", lambda s: s)
-    met = windows.join(broadcast_if_small(items), "hash").select(
-        "id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"),
-        # raw words are only looked up where a window has a slot
-        F.when(has_slot, F.zip_with(
-            F.zip_with("slots", "values", lambda s, v: F.when(s, F.lower(v))),
-            F.slice(raw_words(F.col("_text")), F.col("at") + 1, size),
-            lambda b, d: F.struct(b.alias("item"), F.lower(d).alias("doc")))).alias("pairs"),
-    )
+    # at most as many rows as a window has words
+    lengths = sorted(r["size"] for r in items.select("size").distinct().collect()) or [settings.window]
+    windows = _windows(docs, key, text, lengths)
+    has_slot = F.exists("kinds", lambda k: k.isNotNull())
+    met = windows.join(broadcast_if_small(items), ["size", "hash"]).select(
+        "id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "strong", "kinds", "values",
+        F.when(has_slot, F.transform(F.slice("raw", F.col("at") + 1, F.col("size")), F.lower)).alias("given"))
+    pairs = F.zip_with(
+        F.zip_with("kinds", "values", lambda k, v: F.when(k.isNotNull(), v)), F.col("given"),
+        lambda v, d: F.struct(v.alias("item"), d.alias("doc")))
+    literal = F.filter(F.transform("kinds", lambda k, i: F.when(k.isNull(), F.col("item_at") + i)), lambda i: i.isNotNull())
+    met = met.select(
+        "id", "item_id", "diagonal", "strong",
+        F.struct("item_at", (F.col("given").isNull() | (F.col("given") == F.col("values"))).alias("exact")).alias("place"),
+        F.filter(pairs, lambda p: p["item"].isNotNull()).alias("pairs"),
+        F.when(~F.col("strong"), literal).alias("literal"))
     diagonals = met.groupBy("id", "item_id", "diagonal").agg(
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.filter(F.flatten(F.collect_set("pairs")), lambda p: p["item"].isNotNull())).alias("pairs"))
+        F.collect_set("place").alias("places"), F.max("strong").alias("strong"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("literal")))).alias("literals"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["item"]))
-    consistent = diagonals.where(F.size("pairs") == F.size(values))
+    judged = diagonals.select(
+        "id", "item_id", "places", (F.size("pairs") == F.size(values)).alias("consistent"),
+        (F.col("strong") | (F.col("literals") >= settings.literals)).alias("enough"))
+    counted = F.filter("places", lambda p: p["exact"] | F.col("enough"))
     covered = (
-        consistent.select("id", "item_id", F.explode("places").alias("item_at")).distinct()
+        judged.where("consistent").select("id", "item_id", F.explode(F.transform(counted, lambda p: p["item_at"])).alias("item_at")).distinct()
         .groupBy("id", "item_id").agg(F.count("*").alias("n_matched"))
     )
     found = covered.join(broadcast_if_small(sizes), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))

@@ -28,6 +28,15 @@ def test_reparameterised_items_are_found(docs_of, benchmark):
     assert hits[1, 7] == hits[6, 7]
 
 
+def test_short_items_and_items_of_few_literals_are_found(spark, docs_of):
+    items = [(1, "Who wrote Hamlet?"), (2, "What is 12 plus 30"), (3, "Add 3 km 4 km 5 km 6 km 7 km then 8 km gives how many"), (4, "7 8 9")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = docs_of([
+        (1, "Quiz: who wrote Hamlet? Nobody."), (2, "So what is 12 plus 30 now"), (3, "what is 5 plus 9"), (4, "who wrote what"),
+        (5, "Add 13 m 14 m 15 m 16 m 17 m then 18 m gives how many"), (6, "1 km 2 km 3 km 4 km 5 km 9 km 10 km"), (7, "at 7 8 9 and 10"), (8, "1 2 3")])
+    assert set(found(docs, bench)) == {(1, 1), (2, 2), (5, 3), (7, 4)}
+
+
 def test_template_words_and_raw_words_stand_together(spark):
     texts = ["On 3 May John ate 4kg, x9y (1,000.5) of Old Bread.", "ÉCOLE ab  7 km", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
