@@ -5,9 +5,14 @@ Texts become templates: a number, a name (a capitalised word inside a sentence)
 window of ``window`` template words of a benchmark item is hashed and joined with the
 windows of all documents, so an item whose numbers, names or units were exchanged is found
 as well. Windows of one document that lie on one diagonal of an item (same difference of
-positions) belong together. There each value of a slot of the item must stand for one value
-of the document throughout; diagonals that break this do not count. A document leaks an
-item when the windows left cover ``least_share`` of the item's windows.
+positions) belong together. White space is one blank, whatever it was. A window with a name
+also has a second, case-folded hash with the name as a word, so a copy in other case is found
+by its words.
+
+Where a name was exchanged, each name of the item must stand for one name of the document
+throughout the diagonal; if not, only the diagonal's windows with no exchanged name count.
+Numbers and units need not: one value may stand for several things. A document leaks an item
+when the windows that count cover ``least_share`` of the item's windows.
 
 An item with fewer words than a window is one window of all its words. Windows with fewer
 than ``literals`` words that are no placeholders are left out, unless fewer than
@@ -22,6 +27,8 @@ one text: their windows add up.
 from __future__ import annotations
 
 import dataclasses
+import functools
+import operator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -55,7 +62,8 @@ _NAME = r"(?<=[\p{Ll}\p{N},;:]\s)\p{Lu}\p{Ll}[\p{L}\p{M}]*+"
 
 
 def _clean(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
+    blank = F.translate(F.coalesce(text, F.lit("")), SLOTS, "   ")
+    return F.regexp_replace(blank, r"[\s\p{Z}]+", " ")
 
 
 def raw_words(text: Column) -> Column:
@@ -63,8 +71,9 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(_clean(text), F.lit(f"{_WORD}|{_FIGURE}"), F.lit(0))
 
 
-def template_words(text: Column) -> Column:
-    named = F.regexp_replace(_clean(text), _NAME, NAME)
+def template_words(text: Column, names: bool = True) -> Column:
+    """Words and slots; without ``names`` these are words like others."""
+    named = F.regexp_replace(_clean(text), _NAME, NAME) if names else _clean(text)
     counted = F.lower(F.regexp_replace(named, _FIGURE, NUMBER))
     units = "|".join(UNITS)
     measured = F.regexp_replace(counted, rf"(?<={NUMBER}\s?)(?:{units})(?![\p{{L}}\p{{M}}])", UNIT)
@@ -72,16 +81,23 @@ def template_words(text: Column) -> Column:
 
 
 def _windows(table: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
-    """``id``, place ``at``, ``size`` and ``hash`` of each window, and the word arrays it lies in."""
+    """``id``, place ``at``, ``size`` and ``hash`` of each window, and the word arrays it lies in.
+
+    A window with a name has two rows, one with the name as a slot and one with it as a word.
+    """
     narrow = table.select(F.col(key).alias("id"), F.col(text).alias("_text")).where(F.col("id").isNotNull())
-    made = compute_once(narrow, words=template_words(F.col("_text")), raw=raw_words(F.col("_text"))).drop("_text")
+    made = compute_once(narrow, words=template_words(F.col("_text")), raw=raw_words(F.col("_text")))
+    folded = F.when(F.array_contains("words", NAME), template_words(F.col("_text"), names=False)).otherwise(F.col("words"))
+    made = compute_once(made, folded=folded).drop("_text")
     places = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1))
     spread = made.select("*", F.explode(places).alias("at"))
     hashed = []
     for size in sizes:
         inside = F.col("at") + size <= F.size("words")
-        words = [F.get("words", F.col("at") + i) for i in range(size)]
-        hashed.append(F.struct(F.lit(size).alias("size"), F.when(inside, F.xxhash64(F.lit(size), *words)).alias("hash")))
+        words, plain = ([F.get(c, F.col("at") + i) for i in range(size)] for c in ("words", "folded"))
+        named = functools.reduce(operator.or_, [w == NAME for w in words])
+        for valid, held in ((inside, words), (inside & named, plain)):
+            hashed.append(F.struct(F.lit(size).alias("size"), F.when(valid, F.xxhash64(F.lit(size), *held)).alias("hash")))
     return spread.select("*", F.inline(F.array(*hashed))).where(F.col("hash").isNotNull())
 
 
@@ -119,13 +135,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
         "id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "strong", "kinds", "values",
         F.when(has_slot, F.transform(F.slice("raw", F.col("at") + 1, F.col("size")), F.lower)).alias("given"))
     pairs = F.zip_with(
-        F.zip_with("kinds", "values", lambda k, v: F.when(k.isNotNull(), v)), F.col("given"),
+        F.zip_with("kinds", "values", lambda k, v: F.when(k == NAME, v)), F.col("given"),
         lambda v, d: F.struct(v.alias("item"), d.alias("doc")))
     literal = F.filter(F.transform("kinds", lambda k, i: F.when(k.isNull(), F.col("item_at") + i)), lambda i: i.isNotNull())
+    names = F.filter(pairs, lambda p: p["item"].isNotNull())
+    exact = F.col("given").isNull() | (F.col("given") == F.col("values"))
+    exchanged = F.coalesce(F.exists(names, lambda p: p["item"] != p["doc"]), F.lit(False))
     met = met.select(
         "id", "item_id", "diagonal", "strong",
-        F.struct("item_at", (F.col("given").isNull() | (F.col("given") == F.col("values"))).alias("exact")).alias("place"),
-        F.filter(pairs, lambda p: p["item"].isNotNull()).alias("pairs"),
+        F.struct("item_at", exact.alias("exact"), exchanged.alias("exchanged")).alias("place"),
+        names.alias("pairs"),
         F.when(~F.col("strong"), literal).alias("literal"))
     diagonals = met.groupBy("id", "item_id", "diagonal").agg(
         F.collect_set("place").alias("places"), F.max("strong").alias("strong"),
@@ -135,9 +154,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     judged = diagonals.select(
         "id", "item_id", "places", (F.size("pairs") == F.size(values)).alias("consistent"),
         (F.col("strong") | (F.col("literals") >= settings.literals)).alias("enough"))
-    counted = F.filter("places", lambda p: p["exact"] | F.col("enough"))
+    counted = F.filter("places", lambda p: p["exact"] | (F.col("enough") & (F.col("consistent") | ~p["exchanged"])))
     covered = (
-        judged.where("consistent").select("id", "item_id", F.explode(F.transform(counted, lambda p: p["item_at"])).alias("item_at")).distinct()
+        judged.select("id", "item_id", F.explode(F.transform(counted, lambda p: p["item_at"])).alias("item_at")).distinct()
         .groupBy("id", "item_id").agg(F.count("*").alias("n_matched"))
     )
     found = covered.join(broadcast_if_small(sizes), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))

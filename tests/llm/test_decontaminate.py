@@ -37,6 +37,17 @@ def test_short_items_and_items_of_few_literals_are_found(spark, docs_of):
     assert set(found(docs, bench)) == {(1, 1), (2, 2), (5, 3), (7, 4)}
 
 
+def test_copies_in_other_case_or_wrapping_are_found(spark, docs_of):
+    names = "We saw Alice and Robert with Maria near Paris before Peter told Susan about Berlin and asked James for Helen again"
+    twice = "Each box holds 2 red apples and every box is kept for 2 full days before all of it goes away"
+    bench = spark.createDataFrame([(1, names), (2, twice)], "item_id bigint, text string")
+    docs = docs_of([
+        (1, names), (2, names.lower()), (3, names.upper()), (4, names.replace(" ", " \r\n")), (5, names.title()),
+        (6, twice.replace("2 red", "5 red").replace("2 full", "9 full")), (7, names.replace("Alice", "Tom").lower().replace("tom", "tim")),
+        (8, "\u00a0 ".join(twice.split(" ")))])
+    assert set(found(docs, bench)) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 2), (7, 1), (8, 2)}
+
+
 def test_template_words_and_raw_words_stand_together(spark):
     texts = ["On 3 May John ate 4kg, x9y (1,000.5) of Old Bread.", "ÉCOLE ab  7 km", "", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
