@@ -350,8 +350,10 @@ def _second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settin
         import numpy as np
         import pyarrow as pa
 
-        held = np.concatenate([np.frombuffer(p, WANTED) for p in table.column("runs").to_pylist()])
-        blob = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        # a repeated row brings the same runs again; they are no earlier strings
+        texts = dict(zip(table.column("runs").to_pylist(), table.column("bytes").to_pylist()))
+        held = np.concatenate([np.frombuffer(p, WANTED) for p in texts])
+        blob = np.frombuffer(b"".join(texts.values()), np.uint8)
         sizes = held["n"].astype(np.int64)
         offsets = np.r_[0, np.cumsum(sizes + length - 1)[:-1]]
         run = np.repeat(np.arange(len(held)), sizes)

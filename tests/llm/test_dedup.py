@@ -154,6 +154,18 @@ def test_suffix_dedup_of_odd_rows(docs_of, odd, empty):
     assert rows == [(1, 118)] * 2  # the two rows are one document, repeated in itself
 
 
+def test_suffix_dedup_of_repeated_rows_beside_another(docs_of):
+    """A repeated row is one document, also where its runs meet those of others."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    shared = word(180)
+    texts = {1: word(150) + shared + word(150), 2: word(90) + shared[20:170] + word(90)}
+    rows = [(1, texts[1]), (1, texts[1]), (2, texts[2])]
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.dedup(docs_of(rows).repartition(3)).collect())
+    want = {key: sum(gone) for key, (_, gone) in brute.removed_bytes(texts).items()}
+    assert want == {1: 0, 2: 150} and got == [(1, 0), (1, 0), (2, 150)]
+
+
 def test_cover_reaches_every_pair():
     shifts = suffix_dedup.common_shifts()
     assert shifts.min() == 0 and shifts.max() < suffix_dedup.PERIOD
