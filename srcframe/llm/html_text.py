@@ -62,18 +62,65 @@ MARKUP = re.compile(
 NAMES = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 CUT = re.compile(r"[^a-z]+")
+# A compound names a part by its last word ("top-menu"), or by its first with such words after it ("comments-list").
+PLACES = frozenset(
+    "area bar block body box col column container content group inner item items left list outer panel region right "
+    "row section slot top bottom unit wrap wrapper".split()
+)
+# Before a part they say what the element has or lacks.
+ABOUT = frozenset("has no not with without hide show".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words that can also name a chapter: inside an article they are text.
+CHAPTERS = frozenset(("discussion",))
+# Elements that may be laid around a whole page.
+AROUND = frozenset(("form", "fieldset"))
+
+
+def is_part(token: str, inside: bool) -> bool:
+    words = [w for w in CUT.split(token) if w]
+    if not words or not ABOUT.isdisjoint(words[:-1]) or inside and len(words) == 1 and words[0] in CHAPTERS:
+        return False
+    return words[-1] in PARTS or words[0] in PARTS and all(w in PLACES or w in PARTS for w in words[1:])
 
 
-def names_part(attributes: str) -> bool:
+def names_part(attributes: str, inside: bool = False) -> bool:
     if not attributes or attributes.isspace():
         return False
     for found in NAMES.finditer(attributes):
         value = found.group(1) or found.group(2) or found.group(3) or ""
-        if not PARTS.isdisjoint(CUT.split(value.lower())):
+        if any(is_part(token, inside) for token in value.lower().split()):
             return True
     return UNSEEN.search(attributes) is not None
 
 
+def around_text(page: str) -> frozenset[int]:
+    """Where forms begin that hold most of the page's text outside links and controls."""
+    if not re.search("<(?:form|fieldset)", page, re.I):
+        return frozenset()
+    opened: list[tuple[str, int, int]] = []
+    held: list[tuple[int, int]] = []
+    total = links = muted = at = 0
+    for tag in MARKUP.finditer(page):
+        if not links and not muted:
+            total += len(" ".join(page[at:tag.start()].split()))
+        at = tag.end()
+        name, closing = (tag.group(3) or "").lower(), tag.group(2) == "/"
+        if name == "a":
+            links = 0 if closing else 1
+        elif name in AROUND:
+            if not closing:
+                opened.append((name, tag.start(), total))
+            elif opened and opened[-1][0] == name:
+                _, start, before = opened.pop()
+                held.append((start, total - before))
+        elif name in DROPPED and name not in VOID:
+            muted = max(0, muted - 1) if closing else muted + 1
+    if not links and not muted:
+        total += len(" ".join(page[at:].split()))
+    held += [(start, total - before) for _, start, before in opened]
+    return frozenset(start for start, n in held if 2 * n > total)
+
+
 @dataclasses.dataclass
 class Line:
     text: str
@@ -88,6 +135,7 @@ def lines_of(page: str, window: int) -> list[Line]:
     state = {"links": 0, "linked": 0}
     skipped, depth = "", 0  # the element being left out, and how many of its name are open
     inside = 0  # open article elements
+    around = around_text(page)
 
     def end_line():
         words = " ".join(html.unescape("".join(text)).split())
@@ -130,7 +178,8 @@ def lines_of(page: str, window: int) -> list[Line]:
             add(" ")
         elif name == "a":
             state["links"] = 0 if closing else 1
-        elif not closing and name not in VOID and (name in DROPPED or name == "header" and not inside or names_part(tag.group(4))):
+        elif not closing and name not in VOID and tag.start() not in around and (
+                name in DROPPED or name == "header" and not inside or name not in HEADINGS and names_part(tag.group(4), inside > 0)):
             if name not in ("html", "body"):
                 if inside:
                     end_line()

@@ -20,6 +20,17 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div class='content has-sidebar'><p>{LONG}</div>", LONG),
+    (f"<article class='post no-comments'><p>{LONG}</article>", LONG),
+    (f"<article><p>{LONG}</p><section id='discussion'><h2 id='side-effects'>Side</h2><p>a</p></section><h2 id='related-work'>R</h2></article>", f"{LONG}\n\nSide\n\na\n\nR"),
+    (f"<body><form><p>{LONG}</p><p>{LONG}<select><option>x</select></form>", f"{LONG}\n\n{LONG}"),
+    (f"<p>{LONG}</p><form>Name <input></form><div class='comments-list'>{LONG}</div>", LONG),
+])
+def test_text_is_not_taken_for_a_part(page, text):
+    assert main_text(page) == text
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame(
         [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "<p>" * 20_000 + "deep é", "t"), (3, "u", "x<" * 50_000, "t")],
