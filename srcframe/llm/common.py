@@ -87,14 +87,18 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable], schema:
     return narrow.mapInArrow(run, out)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder, read again."""
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared checkpoint folder."""
     import uuid
 
     from srcframe.session import ensure_checkpoint_dir
 
-    spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder, read again."""
+    path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
