@@ -7,16 +7,23 @@ fall into one bucket, and neighbouring suffixes mostly into the same, so they tr
 runs and not one by one.
 
 1. Runs travel as fingerprints. Of equal runs all but the first are repeated as a whole.
-   A run without another one of the same smallest hash holds no repeated string.
-2. The first ones of different runs with the same smallest hash are taken from the texts
-   again and sorted, one bucket at a time. Ranks of 32-byte strings are made for a bucket
-   by doubling, and from them the ranks of the cover sample: the places whose number modulo
-   ``PERIOD`` is in ``COVER``. Any two places have a common shift below the period that
-   brings both into the sample. Suffixes are sorted by their first and last 32 bytes, and a
-   longer tie is resolved by the sample ranks at the common shift. So memory and time do not
-   depend on how long the repeats are.
-
-The driver sees counts only. Spans meet the texts by key at the end.
+   A run without another one of the same smallest hash holds no repeated string. Runs that a
+   task met twice wait in it to its end, so a frequent run is sent once by a task.
+2. Where the different runs of one smallest hash hold more than ``hot`` bytes, they are cut
+   by the place of that gram in the string (``SPLITS`` places together, at last one by one)
+   and keyed by the bytes that all strings of a part share. The parts are treated as runs
+   were in 1. A part of one place is its string, so this ends.
+3. The first ones of different runs with the same smallest hash are taken from the texts
+   again and sorted, one bucket at a time; buckets are made by the bytes that reach them.
+   Ranks of 32-byte strings are made for a bucket by doubling, and from them the ranks of
+   the cover sample: the places whose number modulo ``PERIOD`` is in ``COVER``. Any two
+   places have a common shift below the period that brings both into the sample. Suffixes
+   are sorted by their first and last 32 bytes, and a longer tie is resolved by the sample
+   ranks at the common shift. So memory and time do not depend on how long the repeats are.
+
+The driver sees counts only. Spans meet the texts by key at the end. A text of more than
+``PIECE_BYTES`` is worked on in parts that overlap by a string, so that no more is held of it
+than its own bytes.
 
 Defined results: null texts are empty. Texts shorter than ``length`` stay. Rows with the
 same key are ordered by the checksum of their text; a row that repeats key and text is the
@@ -36,20 +43,30 @@ from srcframe.session import broadcast_if_small
 @dataclasses.dataclass(frozen=True)
 class Settings:
     length: int = 100
-    # runs in a bucket, about
+    # runs in a bucket of the first pass, about
     bucket: int = 400_000
+    # bytes in a bucket that is sorted, about; the sort needs some sixty times as much
+    sorted_bytes: int = 1 << 20
+    # bytes of different runs with one smallest hash above which they are cut further
+    hot: int = 1 << 20
 
 
 GRAM = 32
+# Places of the gram that are taken together, round by round, where a hash is hot.
+SPLITS = (9, 1)
 # Bytes of text worked on at a time; numpy needs some eighty times as much.
 PIECE_BYTES = 2 << 20
 # Every residue is the difference of two of the cover modulo the period.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 
-RUN = [("least", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("sum", "<u4"), ("at", "<u4"), ("n", "<u4")]
+# n suffixes from ``at`` on, whose smallest gram stands ``gram`` bytes after ``at``
+RUN = [("least", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("sum", "<u4"), ("at", "<u4"), ("n", "<u2"), ("gram", "<u2")]
 SPAN = [("doc", "<i8"), ("sum", "<u4"), ("start", "<u4"), ("end", "<u4")]
-WANTED = [("doc", "<i8"), ("sum", "<u4"), ("at", "<u4"), ("n", "<u4"), ("least", "<u8")]
+WANTED = [("doc", "<i8"), ("sum", "<u4"), ("at", "<u4"), ("n", "<u2"), ("gram", "<u2"), ("least", "<u8")]
+# Runs that a task keeps to its end.
+WAITING = 200_000
+SPANS, SORTED, HOT = 0, 1, 2
 STEP = 0x9E3779B97F4A7C15
 UNSTEP = pow(STEP, -1, 1 << 64)
 
@@ -66,13 +83,13 @@ def _mixed(x):
 def runs(blob, lengths, length: int):
     """Runs of suffixes with the same smallest gram, of several texts laid end to end.
 
-    Gives arrays: number of the text, place in it, how many suffixes, smallest hash, and a
-    fingerprint of all bytes that the run's strings cover.
+    Gives arrays: number of the text, place in it, how many suffixes, smallest hash, a
+    fingerprint of all bytes that the run's strings cover, and the gram's place in the run.
     """
     import numpy as np
 
     n = len(blob)
-    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    none = *[np.empty(0, np.int64)] * 3, *[np.empty(0, np.uint64)] * 2, np.empty(0, np.int64)
     if n < length:
         return none
     table = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
@@ -109,7 +126,8 @@ def runs(blob, lengths, length: int):
     np.cumsum(table[blob] * powers[:n], out=summed[1:])
     content = (summed[stops + length] - summed[starts]) * back[starts]
     owner = text[starts]
-    return owner, starts - (ends - lengths)[owner], count, least[starts], _mixed(content + count.astype(np.uint64))
+    return (owner, starts - (ends - lengths)[owner], count, least[starts], _mixed(content + count.astype(np.uint64)),
+            place[starts] - starts)
 
 
 def _powers(n: int):
@@ -128,7 +146,7 @@ def _powers(n: int):
     return held["up"], held["down"]
 
 
-def _dealt(values, bucket, buckets: int, kind: int | None = None):
+def _dealt(values, bucket, kind: int | None = None):
     """Structured values as packed rows by bucket."""
     import numpy as np
     import pyarrow as pa
@@ -145,10 +163,11 @@ def _dealt(values, bucket, buckets: int, kind: int | None = None):
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _by_document(values, buckets: int):
+def _by_document(values, owners: int):
+    """The bucket of a document: one of as many in every pass."""
     import numpy as np
 
-    return (_mixed(values["doc"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return (_mixed(values["doc"].astype(np.uint64)) % np.uint64(owners)).astype(np.int64)
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -156,65 +175,189 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("bigint").alias("_doc"), held.alias("_text"))
 
 
-def _pieces(batches, extra: tuple[str, ...] = ()):
-    """Blob, lengths, keys and checksums of texts, piece by piece."""
+def _pieces(batches, length: int):
+    """Texts, piece by piece: bytes end to end, lengths, keys, checksums and places of the parts.
+
+    A long text comes in parts; each holds the strings that start in it.
+    """
     import zlib
 
     import numpy as np
 
     for whole in batches:
         for batch in pieces(whole, "_text", PIECE_BYTES):
-            texts = batch.column("_text").to_pylist()
-            blob = np.frombuffer(b"".join(texts), np.uint8)
-            sums = np.array([zlib.crc32(t) for t in texts], np.uint32)
-            yield blob, np.array([len(t) for t in texts], np.int64), batch.column("_doc").to_numpy(), sums, batch
-
+            parts = []
+            for doc, text in zip(batch.column("_doc").to_pylist(), batch.column("_text")):
+                data = memoryview(text.as_buffer())
+                total = zlib.crc32(data)
+                parts += [(data[at:at + PIECE_BYTES + length - 1], doc, total, at) for at in range(0, len(data), PIECE_BYTES)]
+            while parts:
+                size = taken = 0
+                while taken < len(parts) and (not taken or size + len(parts[taken][0]) <= 2 * PIECE_BYTES):
+                    size, taken = size + len(parts[taken][0]), taken + 1
+                held, parts = parts[:taken], parts[taken:]
+                blob = np.frombuffer(b"".join(p[0] for p in held), np.uint8)
+                numbers = [np.array([p[i] for p in held], np.int64) for i in (1, 2, 3)]
+                yield blob, np.array([len(p[0]) for p in held], np.int64), *numbers
+
+
+class Firsts:
+    """Runs of a task: the first of equal ones, and spans of the others."""
+
+    def __init__(self, length: int):
+        import numpy as np
 
-def _first_pass(docs: DataFrame, key: str, text: str, settings: Settings, buckets: int) -> DataFrame:
-    length = settings.length
+        self.length, self.waiting = length, np.empty(0, RUN)
 
-    def run(batches):
+    def add(self, found):
+        """Runs to send now and spans to delete; runs met twice wait."""
         import numpy as np
 
-        for blob, lengths, keys, sums, _ in _pieces(batches):
-            owner, at, count, least, content = runs(blob, lengths, length)
-            found = np.empty(len(owner), RUN)
-            found["doc"], found["sum"] = keys[owner], sums[owner]
-            found["at"], found["n"], found["least"], found["content"] = at, count, least, content
-            yield _dealt(found, (_mixed(least.copy()) % np.uint64(buckets)).astype(np.int64), buckets)
+        firsts, spans, often = _split_equal(np.concatenate([self.waiting, found]), self.length, len(self.waiting))
+        self.waiting = firsts[often]
+        if len(self.waiting) > WAITING:
+            self.waiting, out = self.waiting[:0], firsts
+        else:
+            out = firsts[~often]
+        return out, spans
+
+
+def _split_equal(found, length: int, known: int = 0):
+    """The first of equal runs, merged spans of the rest, and which of the first were met twice.
+
+    The first ``known`` rows were met twice before.
+    """
+    import numpy as np
+
+    often = np.zeros(len(found), bool)
+    often[:known] = True
+    turn = np.lexsort((found["at"], found["sum"], found["doc"], found["content"], found["least"]))
+    found, often = found[turn], often[turn]
+    least, content = found["least"], found["content"]
+    again = np.zeros(len(found), bool)
+    again[1:] = (least[1:] == least[:-1]) & (content[1:] == content[:-1])
+    heads = np.flatnonzero(~again)
+    leader = np.maximum.accumulate(np.where(~again, np.arange(len(found)), 0))
+    # a repeat of the first place, by a repeated row, is no later place
+    as_first = (found["doc"] == found["doc"][leader]) & (found["sum"] == found["sum"][leader]) & (found["at"] == found["at"][leader])
+    repeated = found[again & ~as_first]
+    spans = np.empty(len(repeated), SPAN)
+    for name in ("doc", "sum"):
+        spans[name] = repeated[name]
+    spans["start"], spans["end"] = repeated["at"], repeated["at"] + repeated["n"].astype(np.int64) + (length - 1)
+    twice = np.add.reduceat(again | often, heads) > 0 if len(heads) else np.empty(0, bool)
+    return found[heads], merged(spans), twice
+
+
+def _sent(found, spans, buckets: int, owners: int):
+    """Runs by hash, and spans by document under numbers below zero, as rows of one shuffle."""
+    import numpy as np
+    import pyarrow as pa
+
+    least = found["least"].astype(np.uint64)
+    return pa.Table.from_batches([
+        _dealt(found, (_mixed(least) % np.uint64(buckets)).astype(np.int64)),
+        _dealt(spans, -1 - _by_document(spans, owners))]).to_batches()
+
+
+def _meet(settings: Settings, owners: int, last: bool):
+    """Equal runs of a bucket, from all tasks; different runs of one hash go on."""
+    length, hot = settings.length, settings.hot
 
     def meet(table):
         import numpy as np
         import pyarrow as pa
 
-        found = np.concatenate([np.frombuffer(p, RUN) for p in table.column("packed").to_pylist()])
-        found = found[np.lexsort((found["at"], found["sum"], found["doc"], found["content"], found["least"]))]
-        least, content = found["least"], found["content"]
-        again = np.zeros(len(found), bool)
-        again[1:] = (least[1:] == least[:-1]) & (content[1:] == content[:-1])
-        same = np.zeros(len(found), bool)  # the very same place, of a repeated row
-        same[1:] = again[1:] & (found["doc"][1:] == found["doc"][:-1]) & (found["sum"][1:] == found["sum"][:-1]) & (found["at"][1:] == found["at"][:-1])
-        first_place = ~again
-        # a repeat of the first place is no later place
-        leader = np.maximum.accumulate(np.where(first_place, np.arange(len(found)), 0))
-        as_first = same & (found["doc"] == found["doc"][leader]) & (found["sum"] == found["sum"][leader]) & (found["at"] == found["at"][leader])
-        repeated = found[again & ~as_first]
-        spans = np.empty(len(repeated), SPAN)
-        for name in ("doc", "sum"):
-            spans[name] = repeated[name]
-        spans["start"], spans["end"] = repeated["at"], repeated["at"] + repeated["n"] + (length - 1)
-        firsts = found[first_place]
+        below = table.column("bucket")[0].as_py() < 0
+        packed = table.column("packed").to_pylist()
+        del table
+        if below:
+            spans = merged(np.concatenate([np.frombuffer(p, SPAN) for p in packed]))
+            return pa.Table.from_batches([_dealt(spans, _by_document(spans, owners), SPANS)])
+        found = np.concatenate([np.frombuffer(p, RUN) for p in packed])
+        del packed
+        firsts, spans, _ = _split_equal(found, length)
+        del found
         starts = np.flatnonzero(np.r_[True, firsts["least"][1:] != firsts["least"][:-1]])
         sizes = np.diff(np.r_[starts, len(firsts)])
-        mixed = firsts[np.repeat(sizes > 1, sizes)]
-        wanted = np.empty(len(mixed), WANTED)
-        for name in ("doc", "sum", "at", "n", "least"):
-            wanted[name] = mixed[name]
+        held = np.add.reduceat(firsts["n"].astype(np.int64) + (length - 1), starts)
+        wanted = np.empty(len(firsts), WANTED)
+        for name in ("doc", "sum", "at", "n", "gram", "least"):
+            wanted[name] = firsts[name]
+        # at the last split runs of one hash are one string
+        mixed, hotter = np.repeat((sizes > 1) & (not last), sizes), np.repeat(held > hot, sizes)
+        cold, warm = wanted[mixed & ~hotter], wanted[mixed & hotter]
         return pa.Table.from_batches([
-            _dealt(merged(spans), _by_document(merged(spans), buckets), buckets, 0), _dealt(wanted, _by_document(wanted, buckets), buckets, 1)])
+            _dealt(spans, _by_document(spans, owners), SPANS), _dealt(cold, _by_document(cold, owners), SORTED),
+            _dealt(warm, _by_document(warm, owners), HOT)])
+
+    return meet
+
+
+def _first_pass(docs: DataFrame, key: str, text: str, settings: Settings, buckets: int) -> DataFrame:
+    length = settings.length
+
+    def run(batches):
+        import numpy as np
+
+        firsts = Firsts(length)
+        for blob, lengths, keys, sums, begin in _pieces(batches, length):
+            owner, at, count, least, content, gram = runs(blob, lengths, length)
+            found = np.empty(len(owner), RUN)
+            found["doc"], found["sum"], found["at"] = keys[owner], sums[owner], at + begin[owner]
+            found["n"], found["gram"], found["least"], found["content"] = count, gram, least, content
+            yield from _sent(*firsts.add(found), buckets, buckets)
+        yield from _sent(firsts.waiting, np.empty(0, SPAN), buckets, buckets)
 
     packed = _texts(docs, key, text).where(F.col("_doc").isNotNull()).mapInArrow(run, "bucket bigint, packed binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "bucket bigint, packed binary, kind int")
+    return packed.groupBy("bucket").applyInArrow(_meet(settings, buckets, False), "bucket bigint, packed binary, kind int")
+
+
+def parts_of(data: bytes, run, width: int, length: int):
+    """Parts of a run by the gram's place in the string: key, fingerprint, start and number of suffixes.
+
+    The key tells the bytes that all strings of such a part share.
+    """
+    import xxhash
+
+    at, n, gram = int(run["at"]), int(run["n"]), int(run["at"]) + int(run["gram"])
+    most = length - GRAM
+    for part in range((gram - at - n + 1) // width, (gram - at) // width + 1):
+        low, high = part * width, min(part * width + width - 1, most)  # places of the gram
+        start, stop = max(at, gram - high), min(at + n - 1, gram - low)
+        shared = data[gram - low:gram + length - high]
+        seed = (int(run["least"]) ^ part * STEP) & 0xFFFFFFFFFFFFFFFF
+        body = data[start:stop + length]
+        yield xxhash.xxh3_64_intdigest(shared, seed), xxhash.xxh64_intdigest(body, stop - start + 1), start, stop - start + 1
+
+
+def _split_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settings: Settings, buckets: int, owners: int, width: int) -> DataFrame:
+    """Parts of the runs of hot hashes, met like runs."""
+    length = settings.length
+
+    def run(batches):
+        import numpy as np
+
+        firsts = Firsts(length)
+        for batch in batches:
+            for data, packed in zip(batch.column("_text").to_pylist(), batch.column("wanted").to_pylist()):
+                for some in np.array_split(np.frombuffer(packed, WANTED), -(-len(packed) // (1 << 20)) or 1):
+                    rows = []
+                    for value in some:
+                        gram = int(value["at"]) + int(value["gram"])
+                        rows += [
+                            (least, content, value["doc"], value["sum"], start, n, gram - start)
+                            for least, content, start, n in parts_of(data, value, width, length)]
+                    yield from _sent(*firsts.add(np.array(rows, RUN)), buckets, owners)
+        yield from _sent(firsts.waiting, np.empty(0, SPAN), buckets, owners)
+
+    packed = _with_wanted(docs, wanted, key, text).mapInArrow(run, "bucket bigint, packed binary")
+    return packed.groupBy("bucket").applyInArrow(_meet(settings, owners, width == 1), "bucket bigint, packed binary, kind int")
+
+
+def _with_wanted(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    texts = _texts(docs, key, text)
+    return texts.withColumn("_sum", F.crc32("_text")).join(broadcast_if_small(wanted), ["_doc", "_sum"]).select("_text", "wanted")
 
 
 def merged(spans):
@@ -294,8 +437,11 @@ def repeated_suffixes(blob, starts, order, length: int):
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8")[:, 0].astype(np.uint64)
     zeros = np.zeros(length, np.int64)
     eight = np.concatenate([words, zeros.astype(np.uint64)])
+    del words, padded
     sixteen = np.concatenate([ranks_of_pairs(eight[:n], eight[8:n + 8]), zeros])
+    del eight
     ranks = np.concatenate([ranks_of_pairs(sixteen[:n], sixteen[16:n + 16]), zeros])  # of 32 bytes
+    del sixteen
     # ranks of the sample: the bytes between the first and the last 32 of a suffix at any shift
     middle = length - PERIOD
     in_cover = np.zeros(PERIOD, bool)
@@ -323,17 +469,22 @@ def repeated_suffixes(blob, starts, order, length: int):
     return again
 
 
-def _second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settings: Settings, buckets: int) -> DataFrame:
+def _second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settings: Settings, buckets: int, owners: int) -> DataFrame:
     length = settings.length
-    texts = _texts(docs, key, text)
-    texts = texts.withColumn("_sum", F.crc32("_text")).join(broadcast_if_small(wanted), ["_doc", "_sum"])
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
 
+        rows: dict[str, list] = {"bucket": [], "runs": [], "bytes": []}
+        held = 0
+
+        def passed():
+            return pa.RecordBatch.from_arrays([
+                pa.array(rows["bucket"], pa.int64()), pa.array(rows["runs"], pa.binary()), pa.array(rows["bytes"], pa.binary())],
+                names=["bucket", "runs", "bytes"])
+
         for batch in batches:
-            rows = {"bucket": [], "runs": [], "bytes": []}
             for data, packed in zip(batch.column("_text").to_pylist(), batch.column("wanted").to_pylist()):
                 values = np.frombuffer(packed, WANTED)
                 bucket = (_mixed(values["least"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -341,10 +492,14 @@ def _second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settin
                     mine = values[bucket == b]
                     rows["bucket"].append(int(b))
                     rows["runs"].append(mine.tobytes())
-                    rows["bytes"].append(b"".join(data[v["at"]:v["at"] + v["n"] + length - 1] for v in mine))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(rows["bucket"], pa.int64()), pa.array(rows["runs"], pa.binary()), pa.array(rows["bytes"], pa.binary())],
-                names=["bucket", "runs", "bytes"])
+                    rows["bytes"].append(b"".join(data[v["at"]:int(v["at"]) + int(v["n"]) + length - 1] for v in mine))
+                    held += len(rows["bytes"][-1])
+                    if held > PIECE_BYTES:
+                        yield passed()
+                        held = 0
+                        for values_ in rows.values():
+                            values_.clear()
+        yield passed()
 
     def meet(table):
         import numpy as np
@@ -352,8 +507,10 @@ def _second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settin
 
         # a repeated row brings the same runs again; they are no earlier strings
         texts = dict(zip(table.column("runs").to_pylist(), table.column("bytes").to_pylist()))
+        del table
         held = np.concatenate([np.frombuffer(p, WANTED) for p in texts])
         blob = np.frombuffer(b"".join(texts.values()), np.uint8)
+        del texts
         sizes = held["n"].astype(np.int64)
         offsets = np.r_[0, np.cumsum(sizes + length - 1)[:-1]]
         run = np.repeat(np.arange(len(held)), sizes)
@@ -364,20 +521,46 @@ def _second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, settin
         spans["doc"], spans["sum"] = doc[again], total[again]
         spans["start"], spans["end"] = at[again], at[again] + length
         spans = merged(spans)
-        return pa.Table.from_batches([_dealt(spans, _by_document(spans, buckets), buckets)])
+        return pa.Table.from_batches([_dealt(spans, _by_document(spans, owners))])
 
-    dealt = texts.select("_text", "wanted").mapInArrow(cut, "bucket bigint, runs binary, bytes binary")
+    dealt = _with_wanted(docs, wanted, key, text).mapInArrow(cut, "bucket bigint, runs binary, bytes binary")
     return dealt.groupBy("bucket").applyInArrow(meet, "bucket bigint, packed binary")
 
 
+def _runs_of(passes: list[DataFrame], kind: int) -> DataFrame:
+    out = passes[0].where(F.col("kind") == kind)
+    for more in passes[1:]:
+        out = out.unionByName(more.where(F.col("kind") == kind))
+    return stored(_per_document(out, WANTED, "wanted"))
+
+
+def _number(total: int, each: int) -> int:
+    return max(48, -(-total // each))
+
+
 def repeated_spans(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``_doc``, ``_sum`` and packed merged ``spans`` of the documents that lose bytes."""
+    import numpy as np
+
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(48, -(-total // (settings.bucket * (settings.length - GRAM) // 2)))
-    first = stored(_first_pass(docs, key, text, settings, buckets))
-    wanted = stored(_per_document(first.where("kind = 1"), WANTED, "wanted"))
-    second = _second_pass(docs, wanted, key, text, settings, buckets)
-    return _per_document(first.where("kind = 0").select("bucket", "packed").unionByName(second), SPAN, "spans")
+    each = (settings.length - GRAM) // 2  # suffixes in a run, on average
+    buckets = _number(total, settings.bucket * each)
+    passes = [stored(_first_pass(docs, key, text, settings, buckets))]
+    size = np.dtype(WANTED).itemsize
+    for width in SPLITS:
+        hot = _runs_of(passes[-1:], HOT)
+        runs_ = hot.agg(F.sum(F.octet_length("wanted")) / size).first()[0] or 0
+        if not runs_:
+            break
+        parts = _number(int(runs_) * (settings.length // width), settings.bucket)
+        passes.append(stored(_split_pass(docs, hot, key, text, settings, parts, buckets, width)))
+    cold = _runs_of(passes, SORTED)
+    reach = (cold.agg(F.sum(F.octet_length("wanted")) / size).first()[0] or 0) * (settings.length + each)
+    second = _second_pass(docs, cold, key, text, settings, _number(int(reach), settings.sorted_bytes), buckets)
+    out = second
+    for found in passes:
+        out = out.unionByName(found.where(F.col("kind") == SPANS).select("bucket", "packed"))
+    return _per_document(out, SPAN, "spans")
 
 
 def dedup(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
