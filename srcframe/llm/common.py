@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Texts are handed to a Python function in pieces of about this many bytes.
 PIECE_BYTES = 8 << 20
@@ -42,6 +42,29 @@ def per_worker(key: tuple, make: Callable):
     return found[1]
 
 
+def release_worker() -> None:
+    """Let the object that :func:`per_worker` holds go, where a later step has no use for it."""
+    import sys
+
+    module = sys.modules.get("_srcframe_worker")
+    if module is not None and vars(module).pop("last", None):
+        import ctypes
+        import gc
+
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # freed memory goes back to the machine
+            trim(0)
+
+
+def own_name(df, name: str) -> str:
+    """A column name that ``df`` (or a list of names) does not have, whatever the case."""
+    taken = {c.lower() for c in getattr(df, "columns", df)}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def pieces(batch, column: str, limit: int = PIECE_BYTES) -> Iterator:
     """Cut an Arrow batch into runs of rows whose ``column`` holds about ``limit`` bytes."""
     sizes = batch.column(column)
@@ -66,9 +89,10 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable], schema:
     import pyspark.sql.types as T
 
     added = T._parse_datatype_string(schema)
-    kept = df.select(*[f"`{c}`" for c in keep]).schema
-    out = T.StructType([*kept.fields, *added.fields])
-    narrow = df.select(*[f"`{c}`" for c in dict.fromkeys([*keep, column])])
+    kept = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    # plain names on the way, as those of a table may hold dots
+    out = T.StructType([*kept.schema.fields, *[T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added.fields)]])
+    narrow = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("text"))
 
     def run(batches):
         import pyarrow as pa
@@ -77,14 +101,14 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable], schema:
         shape = to_arrow_schema(out)
         work = make()
         for whole in batches:
-            for batch in pieces(whole, column):
-                texts = [t or "" for t in batch.column(column).to_pylist()]
-                columns = [batch.column(c).cast(shape.field(i).type) for i, c in enumerate(keep)]
+            for batch in pieces(whole, "text"):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                columns = [batch.column(i).cast(shape.field(i).type) for i in range(len(keep))]
                 for values, field in zip(work(texts), list(shape)[len(keep):], strict=True):
                     columns.append(pa.array(values, type=field.type))
                 yield pa.RecordBatch.from_arrays(columns, schema=shape)
 
-    return narrow.mapInArrow(run, out)
+    return narrow.mapInArrow(run, out).toDF(*keep, *[f.name for f in added.fields])
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
