@@ -9,10 +9,14 @@ two rounds:
 1. In each group every node is paired with the group's centre, the node that shares most.
    Each node keeps the centre it shares most with. So a group of near copies takes as many
    tests as it has members, and not all pairs.
-   Pairs that their prefixes already rule out are left out.
 2. Groups whose nodes are in several components by then give the pairs between different
-   components that could still reach the threshold by size and by the places of the
-   n-gram. So no link is lost: what is not tested is in one component already.
+   components that could still reach the threshold by size, by the number of n-grams that
+   their prefixes share, and by what is left of either set after those. So no link is lost:
+   what is not tested is in one component already.
+
+The first pass over the texts sends the prefixes in pieces of an n-gram each, and one narrow
+row for each document; prefixes themselves are not kept. The pieces of a frequent n-gram are
+dealt into several buckets.
 
 The sets to be tested are brought together in blocks and joined with a prefix tree: a set is
 traversed along the tree and shares the overlap counted so far with all sets below; a
@@ -21,16 +25,16 @@ or when it belongs to the same component already.
 
 Defined results: a null or empty text, and one without words, has the empty set and links
 with nothing. Rows without a key take no part and are returned with themselves alone. Rows of
-the same key are judged each by its own text.
+the same key are judged each by its own text. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from srcframe.llm.common import pieces, stored
+from srcframe.llm.common import own_name, pieces, release_worker, stored
 from srcframe.llm.components import components
 from srcframe.session import broadcast_if_small
 
@@ -106,23 +110,37 @@ def node_of(tokens) -> int:
 
 
 def _map_sets(docs: DataFrame, key: str, text: str, settings: Settings, schema: str, make) -> DataFrame:
-    """``make()`` gives a function from (keys, sets) of a piece of rows to a record batch."""
+    """``make()`` gives a function from a piece of rows (``_key, _text, _hash``) and its sets to a record batch or table."""
     words = settings.words
 
     def run(batches):
+        release_worker()
         work = make()
         for whole in batches:
             for batch in pieces(whole, "_text"):
                 sets = [ngram_set(t or "", words) for t in batch.column("_text").to_pylist()]
-                yield work(batch.column("_key"), sets)
+                made = work(batch, sets)
+                yield from made.to_batches() if hasattr(made, "to_batches") else (made,)
+
+    return docs.select(
+        F.col(f"`{key}`").cast("bigint").alias("_key"), F.col(f"`{text}`").alias("_text"), text_hash(f"`{text}`").alias("_hash")
+    ).mapInArrow(run, schema)
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
-    return docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
+# Numbers of rows that are no n-grams: all set members, all sets.
+MEMBERS, SETS = -2, -1
 
-def frequent_ngrams(docs: DataFrame, key: str, text: str, settings: Settings):
-    """The most frequent n-grams by rising frequency, at most ``settings.frequent`` of them.
 
-    Counted over all documents: within a piece first, where those met once are left out.
+def frequent_ngrams(docs: DataFrame, key: str, text: str, settings: Settings) -> dict:
+    """The most frequent n-grams by rising frequency, at most ``settings.frequent`` of them: their
+    ``tokens`` and ``counts``; and the number of all ``sets`` and of their ``members``.
+
+    Tasks count over a piece of their texts first, and leave out n-grams met once there, so
+    the counts are lower bounds; an n-gram of a large share of all texts loses next to nothing.
     """
     def make():
         import numpy as np
@@ -131,128 +149,188 @@ def frequent_ngrams(docs: DataFrame, key: str, text: str, settings: Settings):
         def work(_, sets):
             tokens, counts = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             often = counts > 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array(tokens[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.r_[tokens[often].view(np.int64), MEMBERS, SETS]),
+                pa.array(np.r_[counts[often].astype(np.int64), counts.sum(), len(sets)].astype(np.int64))], names=["token", "n"])
 
         return work
 
-    counted = _map_sets(docs, key, text, settings, "token bigint, n bigint", make)
-    total = counted.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > 3)
     import numpy as np
 
-    rows = total.orderBy(F.desc("n"), "token").limit(settings.frequent).collect()
-    return np.array([r["token"] for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def nodes(docs: DataFrame, order, key: str, text: str, settings: Settings) -> DataFrame:
-    """``key``, ``n`` (size of the set), ``node`` and the ``prefix`` in global order."""
-    percent = settings.percent
+    counted = _map_sets(docs, key, text, settings, "token bigint, n bigint", make)
+    total = counted.groupBy("token").agg(F.sum("n").alias("n")).where((F.col("n") > 3) | (F.col("token") < 0))
+    # the two sums are no smaller than any count
+    rows = total.orderBy(F.desc("n"), "token").limit(settings.frequent + 2).collect()
+    sums = {r["token"]: r["n"] for r in rows if r["token"] < 0}
+    rows = [r for r in reversed(rows) if r["token"] >= 0]
+    return {
+        "tokens": np.array([r["token"] for r in rows], np.int64).view(np.uint64), "counts": np.array([r["n"] for r in rows], np.int64),
+        "sets": sums.get(SETS, 0), "members": sums.get(MEMBERS, 0)}
 
-    def make():
-        import numpy as np
-        import pyarrow as pa
 
-        place = Order(np.frombuffer(order.value, np.uint64))
+ENTRY = [("token", "<u8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4")]
+DOC = [("key", "<i8"), ("known", "u1"), ("node", "<i8"), ("n", "<i4"), ("last", "<i8"), ("hash", "<i8")]
+KNOWN_SCHEMA = "token bigint, node bigint, at int, n int, size bigint, key bigint, last bigint, hash bigint, is_doc boolean"
 
-        def work(keys, sets):
-            prefixes = []
-            for tokens in sets:
-                n = len(tokens)
-                prefixes.append(place.apply(tokens)[:n - needed(n, percent) + 1].tobytes() if n else None)
-            return pa.RecordBatch.from_arrays([
-                keys, pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()),
-                pa.array(prefixes, pa.binary()),
-            ], names=["key", "n", "node", "prefix"])
 
-        return work
+def _dealt(values, bucket):
+    """Structured values as packed rows by bucket."""
+    import numpy as np
+    import pyarrow as pa
 
-    return _map_sets(docs, key, text, settings, "key bigint, n bigint, node bigint, prefix binary", make)
+    turn = np.argsort(bucket, kind="stable")
+    values, bucket = values[turn], bucket[turn]
+    full, first = np.unique(bucket, return_index=True)
+    bounds = np.r_[first, len(values)]
+    return pa.RecordBatch.from_arrays([
+        pa.array(full.astype(np.int64)), pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
+        names=["bucket", "packed"])
 
 
-def shared_entries(known: DataFrame, settings: Settings) -> DataFrame:
-    """``token``, ``node``, place ``at``, ``n`` for the prefix n-grams that two nodes share.
+def known_and_entries(docs: DataFrame, frequent, key: str, text: str, settings: Settings) -> DataFrame:
+    """One row for each document, and the prefix n-grams that two nodes share.
 
-    Entries travel packed, by range of a hash of the n-gram. Equal nodes of a batch travel
-    once, so copies do not add up.
+    Documents (``is_doc``) have ``key``, ``n`` (size of the set), ``node``, ``last`` (the last
+    n-gram of the prefix, in an order that signed numbers keep) and the text's ``hash``. The others have
+    ``token``, ``node``, its place ``at``, ``n`` and the ``size`` of the group in its bucket. Entries travel packed, by a hash of the
+    n-gram; equal nodes of a piece travel once, and a frequent n-gram's by the node as well.
     """
-    held = known.where(F.col("prefix").isNotNull() & F.col("key").isNotNull())
-    entries = held.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    buckets = max(64, -(-int(entries) // settings.bucket))
+    percent, most = settings.percent, settings.bucket
+    held = frequent.value
+    buckets = max(64, -(-(held["members"] * (100 - percent) // 100 + held["sets"]) // most))
 
-    def pack(batches):
+    def make():
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            _, first = np.unique(batch.column("node").to_numpy(), return_index=True)
-            batch = batch.take(pa.array(first))
-            prefixes = [np.frombuffer(p, np.uint64) for p in batch.column("prefix").to_pylist()]
-            if not prefixes:
-                continue
-            lengths = [len(p) for p in prefixes]
-            tokens = np.concatenate(prefixes)
-            rows = np.repeat(np.arange(len(prefixes)), lengths)
-            at = np.concatenate([np.arange(n) for n in lengths])
-            bucket = (tokens * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
-            turn = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[turn], np.arange(buckets + 1))
-            packed = np.empty(len(tokens), ENTRY)
-            packed["token"], packed["at"] = tokens, at
-            packed["node"] = batch.column("node").to_numpy()[rows]
-            packed["n"] = batch.column("n").to_numpy()[rows]
-            packed = packed[turn]
-            full = [b for b in range(buckets) if bounds[b] < bounds[b + 1]]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(full, pa.int64()), pa.array([packed[bounds[b]:bounds[b + 1]].tobytes() for b in full], pa.binary()),
-            ], names=["bucket", "entries"])
+        place = Order(frequent.value["tokens"])
+        splits = np.maximum(1, -(-2 * frequent.value["counts"] // most)).astype(np.uint64)
+
+        def bucket_of(entries):
+            token = entries["token"].astype(np.uint64)
+            often = token >= np.uint64(FREQUENT)
+            salt = np.zeros(len(token), np.uint64)
+            salt[often] = entries["node"][often].astype(np.uint64) % splits[(token[often] - np.uint64(FREQUENT)).astype(np.int64)]
+            mixed = (token + salt * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
+            return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+        def work(batch, sets):
+            keys = batch.column("_key")
+            rows = np.zeros(len(sets), DOC)
+            rows["hash"] = batch.column("_hash").to_numpy()
+            rows["known"] = ~np.asarray(keys.is_null())
+            rows["key"] = keys.fill_null(0).to_numpy(zero_copy_only=False)
+            rows["n"] = [len(s) for s in sets]
+            rows["node"] = [node_of(s) for s in sets]
+            seen, parts = set(), []
+            for i, tokens in enumerate(sets):
+                n, node = len(tokens), int(rows["node"][i])
+                if not n:
+                    continue
+                prefix = place.apply(tokens)[:n - needed(n, percent) + 1]
+                rows["last"][i] = np.uint64(prefix[-1] ^ np.uint64(FREQUENT)).view(np.int64)
+                if rows["known"][i] and node not in seen:
+                    seen.add(node)
+                    part = np.empty(len(prefix), ENTRY)
+                    part["token"], part["node"], part["at"], part["n"] = prefix, node, np.arange(len(prefix)), n
+                    parts.append(part)
+            entries = np.concatenate(parts) if parts else np.empty(0, ENTRY)
+            spread = (rows["node"].astype(np.uint64) + np.arange(len(rows), dtype=np.uint64)) % np.uint64(buckets)
+            return pa.Table.from_batches([_dealt(entries, bucket_of(entries)), _dealt(rows, -1 - spread.astype(np.int64))])
+
+        return work
 
     def meet(table):
         import numpy as np
         import pyarrow as pa
 
-        entries = np.concatenate([np.frombuffer(e, ENTRY) for e in table.column("entries").to_pylist()])
-        entries = entries[np.lexsort((entries["node"], entries["token"]))]
-        token, node = entries["token"], entries["node"]
-        fresh = np.ones(len(entries), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        entries = entries[fresh]
-        token = entries["token"]
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        sizes = np.diff(np.r_[starts, len(token)])
-        some = np.repeat(sizes > 1, sizes)
-        entries = entries[some]
+        is_doc = table.column("bucket")[0].as_py() < 0
+        packed = table.column("packed").to_pylist()
+        del table
+        values = np.concatenate([np.frombuffer(p, DOC if is_doc else ENTRY) for p in packed])
+        del packed
+        if not is_doc:
+            values = values[np.lexsort((values["node"], values["token"]))]
+            token, node = values["token"], values["node"]
+            fresh = np.ones(len(values), bool)
+            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            values = values[fresh]
+            token = values["token"]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            sizes = np.diff(np.r_[starts, len(token)])
+            # nodes of a frequent n-gram may stand in other buckets
+            sizes = np.repeat(sizes, sizes)
+            some = (sizes > 1) | (token >= np.uint64(FREQUENT))
+            values, sizes = values[some], sizes[some]
+        n = len(values)
+        nulls = lambda kind: pa.nulls(n, kind)
+        column = lambda name: np.ascontiguousarray(values[name])
         return pa.table({
-            "token": np.ascontiguousarray(entries["token"]).view(np.int64), "node": np.ascontiguousarray(entries["node"]),
-            "at": np.ascontiguousarray(entries["at"]), "n": np.ascontiguousarray(entries["n"]),
-        })
+            "token": nulls(pa.int64()) if is_doc else pa.array(column("token").view(np.int64)),
+            "node": pa.array(column("node")), "at": nulls(pa.int32()) if is_doc else pa.array(column("at")), "n": pa.array(column("n")),
+            "size": nulls(pa.int64()) if is_doc else pa.array(sizes.astype(np.int64)),
+            "key": pa.array(column("key"), mask=column("known") == 0) if is_doc else nulls(pa.int64()),
+            "last": pa.array(column("last")) if is_doc else nulls(pa.int64()),
+            "hash": pa.array(column("hash")) if is_doc else nulls(pa.int64()), "is_doc": pa.array(np.full(n, is_doc))})
 
-    packed = held.select("node", "n", "prefix").mapInArrow(pack, "bucket bigint, entries binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "token bigint, node bigint, at int, n int")
+    packed = _map_sets(docs, key, text, settings, "bucket bigint, packed binary", make)
+    return packed.groupBy("bucket").applyInArrow(meet, KNOWN_SCHEMA)
 
 
-ENTRY = [("token", "<u8"), ("node", "<i8"), ("at", "<i4"), ("n", "<i4")]
+def _sizes_allow(a_n, b_n, percent: int):
+    return 100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)
+
+
+def _allows(overlap, a_n, b_n, percent: int):
+    """Whether an overlap of this size is enough."""
+    return (100 + percent) * overlap >= percent * (a_n + b_n)
+
 
+def _beyond(n, percent: int):
+    """How many n-grams of a set stand after its prefix."""
+    return F.floor((n * percent + 99) / 100) - 1
 
-def _possible(a_at, a_n, b_at, b_n, percent: int):
-    """Whether sizes, and what is left after an n-gram at these places, allow a link.
+
+def able(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (u, v)`` that can be links, by the n-grams that their prefixes share.
+
+    What else two sets share stands after the end of the prefix that ends first.
+    """
+    pairs = stored(pairs)
+    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    ends = stored(nodes.select("node", "last").join(broadcast_if_small(ends), "node"))
+    # no longer than a prefix; n-grams of one set only are not among the entries
+    held = stored(entries.join(broadcast_if_small(ends), "node").groupBy("node").agg(
+        F.collect_list("token").alias("tokens"), F.max("n").alias("n"), F.max("last").alias("last")))
+    of = lambda end: broadcast_if_small(held.select(
+        F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("tokens", "n", "last")]))
+    met = pairs.join(of("u"), "u").join(of("v"), "v")
+    first_end = F.when(F.col("u_last") <= F.col("v_last"), F.col("u_n")).otherwise(F.col("v_n"))
+    most = F.size(F.array_intersect("u_tokens", "v_tokens")) + _beyond(first_end, percent)
+    return met.where(_allows(most, F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
+
+
+def _possible(other: str, percent: int):
+    """Whether sizes, and what is left after a shared n-gram, allow a link.
 
     The second test holds for the first n-gram that two sets share. A pair that passes with
     none of its n-grams is no link.
     """
-    small, large = F.least(a_n, b_n), F.greatest(a_n, b_n)
-    most = F.least(a_n - a_at, b_n - b_at)
-    return (100 * small >= percent * large) & ((100 + percent) * most >= percent * (a_n + b_n))
+    n, m = F.col("n"), F.col(f"{other}n")
+    left = F.least(n - F.col("at"), m - F.col(f"{other}at"))
+    return _sizes_allow(n, m, percent) & _allows(left, n, m, percent)
 
 
 def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """``u`` (centre) and ``v``: each node with the centre it shares most n-grams with."""
-    sizes = entries.groupBy("token").agg(F.count("*").alias("size"))
-    degree = entries.join(sizes, "token").groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = entries.join(degree, "node")
+    """``u`` (centre) and ``v``: each node with the centre it shares most n-grams with.
+
+    The centre of a group is the node whose groups are largest.
+    """
+    degree = stored(entries.groupBy("node").agg(F.sum("size").alias("degree")))
+    ranked = entries.join(broadcast_if_small(degree), "node")
     centres = ranked.groupBy("token").agg(F.max(F.struct("degree", "node", "at", "n")).alias("c")).select(
         "token", F.col("c.degree").alias("c_degree"), F.col("c.node").alias("c_node"), F.col("c.at").alias("c_at"), F.col("c.n").alias("c_n"))
-    met = entries.join(stored(centres), "token").where(
-        (F.col("node") != F.col("c_node")) & _possible(F.col("at"), F.col("n"), F.col("c_at"), F.col("c_n"), percent))
+    met = entries.join(centres, "token").where((F.col("node") != F.col("c_node")) & _possible("c_", percent))
     shared = met.groupBy("node", "c_node").agg(F.count("*").alias("shared"), F.max("c_degree").alias("c_degree"))
     best = shared.groupBy("node").agg(F.max(F.struct("shared", "c_degree", "c_node")).alias("best"))
     return best.select(F.col("best.c_node").alias("u"), F.col("node").alias("v"))
@@ -264,16 +342,16 @@ def cross_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFram
     One side of such a pair is outside the group's largest component, so only those nodes
     are compared with the group.
     """
-    named = stored(entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    counted = named.groupBy("token", "label").agg(F.count("*").alias("size"))
-    main = counted.groupBy("token").agg(F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("parts"))
-    mixed = stored(main.where(F.col("parts") > 1).select("token", F.col("m.label").alias("main")))
-    met = stored(named.join(mixed, "token"))
-    few = met.where(F.col("label") != F.col("main")).select("token", *[F.col(c).alias(f"f_{c}") for c in ("node", "label", "at", "n")])
+    named = entries.join(broadcast_if_small(stored(labels)), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    met = stored(named.join(spread, "token").select("token", "node", "at", "n", "label"))
+    counted = met.groupBy("token", "label").agg(F.count("*").alias("size"))
+    main = counted.groupBy("token").agg(F.max(F.struct("size", "label")).alias("m")).select("token", F.col("m.label").alias("main"))
+    few = met.join(main, "token").where(F.col("label") != F.col("main"))
+    few = few.select("token", "main", *[F.col(c).alias(f"f_{c}") for c in ("node", "label", "at", "n")])
     pairs = few.join(met, "token").where(
         (F.col("label") != F.col("f_label"))
-        & ((F.col("label") == F.col("main")) | (F.col("f_node") < F.col("node")))
-        & _possible(F.col("at"), F.col("n"), F.col("f_at"), F.col("f_n"), percent))
+        & ((F.col("label") == F.col("main")) | (F.col("f_node") < F.col("node"))) & _possible("f_", percent))
     return pairs.select(F.least("f_node", "node").alias("u"), F.greatest("f_node", "node").alias("v")).distinct()
 
 
@@ -370,66 +448,26 @@ class Tree:
             node, at = child, at + same
 
 
-def within_reach(x_prefix, x_n: int, y_prefix, y_n: int, percent: int) -> bool:
-    """Whether two sets can be at the threshold, as far as their prefixes tell.
-
-    Up to the end of the shorter-reaching prefix all shared n-grams are known. Beyond it
-    no more can be shared than either set has left.
-    """
-    import numpy as np
-
-    end = min(x_prefix[-1], y_prefix[-1])
-    shared = len(np.intersect1d(x_prefix, y_prefix, assume_unique=True))
-    x_left = x_n - int(np.searchsorted(x_prefix, end, side="right"))
-    y_left = y_n - int(np.searchsorted(y_prefix, end, side="right"))
-    return (100 + percent) * (shared + min(x_left, y_left)) >= percent * (x_n + y_n)
-
-
-def reachable(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (u, v)`` whose prefixes allow a link; prefixes are a fifth of the sets."""
-    pairs = stored(pairs)
-    ends = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
-    prefixes = known.where(F.col("prefix").isNotNull()).join(ends, "node").groupBy("node").agg(
-        F.max(F.struct("n", "prefix")).alias("held"))
-    prefixes = stored(prefixes.select("node", "held.n", "held.prefix"))
-    of = lambda end: prefixes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("prefix").alias(f"{end}_prefix"))
-
-    def test(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("u_prefix", "u_n", "v_prefix", "v_n")]
-            able = [
-                within_reach(np.frombuffer(a, np.uint64), m, np.frombuffer(b, np.uint64), n, percent)
-                for a, m, b, n in zip(*columns)
-            ]
-            yield batch.select(["u", "v"]).filter(pa.array(able, pa.bool_()))
-
-    return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(test, "u bigint, v bigint")
-
-
-def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, order, key: str, text: str, settings: Settings) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, frequent, key: str, text: str, settings: Settings) -> DataFrame:
     """The links among ``pairs (u, v)``, tested on the sets with a prefix tree.
 
     The pairs of a ``u`` are dealt into blocks, and each block gets the set of ``u``. Sets
     are made again from the texts of the nodes in question, one text for each node.
     """
-    pairs = stored(reachable(pairs, known, settings.percent))
+    pairs = stored(pairs)
     blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / settings.block).alias("blocks"))
     dealt = pairs.join(blocks, "u").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     places = stored(
         dealt.select("u", "block", F.col("v").alias("node")).union(dealt.select("u", "block", F.col("u").alias("node")).distinct()))
-    wanted = stored(
-        known.where(F.col("key").isNotNull()).join(places.select("node").distinct(), "node")
-        .groupBy("node").agg(F.min("key").alias("_doc")).select("_doc").distinct())
+    named = broadcast_if_small(stored(places.select("node").distinct()))
+    wanted = stored(nodes.join(named, "node").select(F.col("key").alias("_doc")).distinct())
     texts = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(broadcast_if_small(wanted), "_doc")
 
     def make():
         import numpy as np
         import pyarrow as pa
 
-        place = Order(np.frombuffer(order.value, np.uint64))
+        place = Order(frequent.value["tokens"])
         return lambda _, sets: pa.RecordBatch.from_arrays(
             [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([place.apply(s).tobytes() for s in sets], pa.binary())],
             names=["node", "tokens"])
@@ -454,16 +492,23 @@ def verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, order, key: st
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``copies_of`` (the class of equal sets) of every row."""
-    session = docs.sparkSession
-    order = session.sparkContext.broadcast(frequent_ngrams(docs, key, text, settings).tobytes())
-    known = stored(nodes(docs, order, key, text, settings))
-    entries = stored(shared_entries(known, settings))
-    first = stored(verified(star_pairs(entries, settings.percent), known, docs, order, key, text, settings))
+    """``key``, ``n_shingles``, ``component_id``, ``copies_of`` (the class of equal sets) and ``text_hash`` of every row."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, key, text, settings))
+    made = stored(known_and_entries(docs, frequent, key, text, settings))
+    known = made.where("is_doc").select("key", "n", "node", "last", "hash")
+    # one row for each set, so that copies meet no join
+    nodes = stored(known.where(F.col("key").isNotNull() & (F.col("n") > 0)).groupBy("node").agg(
+        F.min("key").alias("key"), F.max("n").alias("n"), F.max("last").alias("last")))
+    entries = made.where("not is_doc").select("token", "node", "at", "n", "size")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verified(able(pairs, entries, nodes, settings.percent), nodes, docs, frequent, key, text, settings)
+
+    first = stored(links(star_pairs(entries, settings.percent)))
     labels = components(first)
-    second = verified(cross_pairs(entries, labels, settings.percent), known, docs, order, key, text, settings)
+    second = links(cross_pairs(entries, labels, settings.percent))
     labels = components(first.union(second))
-    named = known.select("key", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = known.select("key", "n", "node", "hash").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named)
     full = named.where((F.col("n") > 0) & F.col("key").isNotNull())
     least = full.groupBy("label").agg(F.min("key").alias("component_id"))
@@ -471,11 +516,30 @@ def classes(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     return joined.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
-        F.col("node").alias("copies_of"))
+        F.col("node").alias("copies_of"), F.col("hash").alias("text_hash"))
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with only the document of the smallest key of each component; empty ones stay."""
+    """``docs`` with one document of each component: that of the smallest key (and text hash, where
+    a key repeats). Rows are told apart by key and text; of rows that repeat both, one stays.
+    Rows with an empty set or without a key stay.
+    """
     found = classes(docs, settings, key, text)
-    gone = stored(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
-    return docs.join(broadcast_if_small(gone), key, "left_anti")
+    grouped = found.where(F.col(f"`{key}`").isNotNull() & (F.col("n_shingles") > 0)).select(
+        F.col(f"`{key}`").alias("_key"), F.col("text_hash").alias("_hash"), "component_id")
+    grouped = stored(grouped)
+    first = stored(grouped.groupBy("component_id").agg(F.min(F.struct("_key", "_hash")).alias("_first")))
+    row = F.struct("_key", "_hash")
+    # a component of a single row has nothing to drop, so narrow rows meet few
+    gone = stored(grouped.join(first, "component_id").where(row != F.col("_first")).select("_key", "_hash").distinct())
+    # names of the lists that the table has not
+    names = own_name(docs, "_key"), own_name(docs, "_hash")
+    is_row = (F.col(f"`{key}`").cast("bigint") == F.col(names[0])) & (text_hash(f"`{text}`") == F.col(names[1]))
+    kept = docs.join(broadcast_if_small(gone.toDF(*names)), is_row, "left_anti")
+    again = stored(grouped.groupBy("_key", "_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_key", "_hash"))
+    if again.isEmpty():
+        return kept
+    listed = broadcast_if_small(again.toDF(*names))
+    hashed = own_name(docs, "text_hash")
+    once = kept.join(listed, is_row, "left_semi").withColumn(hashed, text_hash(f"`{text}`")).dropDuplicates([key, hashed]).drop(hashed)
+    return kept.join(listed, is_row, "left_anti").unionByName(once)
