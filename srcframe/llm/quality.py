@@ -20,7 +20,7 @@ import dataclasses
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcframe.llm.common import map_texts, per_worker
+from srcframe.llm.common import map_texts, own_name, per_worker
 from srcframe.llm.labelled import held_out, training_texts
 from srcframe.llm.words import WordTable
 
@@ -35,7 +35,7 @@ class Settings:
     per_class: int = 1500
     seed: int = 7
     # words a scoring task remembers; only saves time
-    remembered: int = 250_000
+    remembered: int = 100_000
 
 
 REPEATED = "\0="
@@ -126,8 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, held, settings: Settings = Settings(
     return train(rows, settings)
 
 
+def result_names(keep) -> tuple[str, str]:
+    """The names of :func:`score`'s two results: underscores go before a name that is kept."""
+    return own_name(keep, "score"), own_name(keep, "predicted")
+
+
 def score(docs: DataFrame, model, settings: Settings = Settings(), threshold: float = 0.3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``score`` and ``predicted`` of every whole text, in place."""
+    named, predicted = result_names(keep)
     margin, bias = model
     packed = margin.astype("<f4").tobytes()
     sent, name = docs.sparkSession.sparkContext.broadcast(packed), hash((packed, bias, settings))
@@ -155,8 +161,8 @@ def score(docs: DataFrame, model, settings: Settings = Settings(), threshold: fl
 
         return lambda texts: [[one(t) for t in texts]]
 
-    scored = map_texts(docs, text, make, "score double", keep)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = map_texts(docs, text, make, f"`{named}` double", keep)
+    return scored.withColumn(predicted, (F.col(f"`{named}`") >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), modulus: int = 5, rest: int = 0, threshold: float = 0.3) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from srcframe.llm import quality
@@ -50,3 +51,18 @@ def test_stages_take_an_empty_table(spark):
     docs = load(spark, FOLDER, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_stages_take_rows_with_odd_columns(spark):
+    """Names that stages use themselves, repeated keys, nulls; every stage keeps the columns as they are."""
+    names = ["score", "predicted", "n_lines", "n_removed", "__doc", "doc", "node", "row", "text_hash", "at", "a.b", "_text", "_key", "_label"]
+    docs = load(spark, FOLDER, "documents")
+    more = docs.limit(3).union(docs.selectExpr("null", "text", "lang", "source", "n_chars").limit(2)).union(
+        docs.selectExpr("doc_id", "null", "null", "null", "null").limit(2))
+    odd = docs.union(more).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, FOLDER)
+        assert out.columns == odd.columns
+        held = out.select(*[f"`{n}`" for n in names]).distinct().collect()
+        assert [tuple(r) for r in held] == [tuple(f"own {n}" for n in names)]
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, FOLDER).count() == odd.count()
