@@ -13,29 +13,35 @@ from srcframe.llm import decontaminate, jaccard_join, labelled, line_dedup, qual
 from srcframe.llm.common import load, written
 
 
+def _plain(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     labels = load(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, labelled.held_out("doc_id", 5, 0))
     scored = quality.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    _, predicted = quality.result_names(docs.columns)
+    return scored.where(F.col(predicted) == 1).select(*_plain(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later runs of repeated lines go; so does a document that had nothing else."""
     done = line_dedup.dedup(docs)
-    left = done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
+    lines, removed = map(F.col, line_dedup.result_names(docs))
+    left = done.where((removed == 0) | (removed < lines))
+    return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*_plain(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked as near copies the one with the smallest id stays."""
-    return jaccard_join.one_of_each(docs).select(*docs.columns)
+    return jaccard_join.one_of_each(docs).select(*_plain(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark")).select(*_plain(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
