@@ -1,8 +1,23 @@
 """What Spark's lenient JSON reader leaves open."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+_END = "_end_of_text"
+
+
+def one_object(text: Column, schema: T.StructType) -> Column:
+    """The text as ``schema``, null where it is not exactly one JSON object. One parse.
+
+    Spark ignores what follows the first value. So the text is read as the first element of
+    an array, with a mark of our own as the second: anything more, or an array that ends
+    sooner, leaves the mark in another place.
+    """
+    marked = T.StructType([*schema.fields, T.StructField(_END, T.BooleanType())])
+    held = F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{_END}":true}}]')), T.ArrayType(marked), {"allowSingleQuotes": "false"})
+    first, last = F.get(held, F.lit(0)), F.get(held, F.lit(1))
+    whole = (F.size(held) == 2) & first.isNotNull() & F.coalesce(last[_END], F.lit(False))
+    return F.when(whole, first)
 
 
 def is_one_object(text: Column) -> Column:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcframe.functions.json_text import STRICT, is_one_object
+from srcframe.functions.json_text import one_object
 from srcframe.schemas import CODE_SCAN, DEPENDENCY_SCAN
+from srcframe.session import compute_once
 
 
 def parse_dependency_scan(scans: DataFrame) -> DataFrame:
     """Vulnerability rows of dependency-scanner documents ``(repo, json)``."""
     found = (
-        scans.where(is_one_object(F.col("json")))
-        .select("repo", F.explode(F.from_json("json", DEPENDENCY_SCAN, STRICT)["results"]).alias("r"))
+        compute_once(scans.select("repo", "json"), _scan=one_object(F.col("json"), DEPENDENCY_SCAN))
+        .select("repo", F.explode("_scan.results").alias("r"))
         .select("repo", F.explode("r.packages").alias("p"))
         .select("repo", "p.package", F.explode("p.vulnerabilities").alias("v"))
     )
@@ -28,8 +29,8 @@ def parse_dependency_scan(scans: DataFrame) -> DataFrame:
 
 def parse_code_scan(scans: DataFrame) -> DataFrame:
     """Finding rows of code-scanner documents ``(repo, json)``."""
-    valid = scans.where(is_one_object(F.col("json")))
-    found = valid.select("repo", F.explode(F.from_json("json", CODE_SCAN, STRICT)["results"]).alias("f"))
+    read = compute_once(scans.select("repo", "json"), _scan=one_object(F.col("json"), CODE_SCAN))
+    found = read.select("repo", F.explode("_scan.results").alias("f"))
     return found.select(
         "repo",
         F.coalesce("f.check_id", F.lit("")).alias("check_id"),

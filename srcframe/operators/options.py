@@ -9,7 +9,8 @@ from pyspark.sql.types import StringType
 from srcframe.functions import paths
 from srcframe.functions.globs import shell_regex
 from srcframe.functions.lines import strip
-from srcframe.session import fits_broadcast, materialize, without_keys
+from srcframe.operators.membership import drop_members
+from srcframe.session import broadcast_if_small, fits_broadcast, materialize
 
 
 def split_comma_list(raw: Column) -> Column:
@@ -51,5 +52,21 @@ def apply_exclusions(files: DataFrame, options: DataFrame) -> DataFrame:
     small = materialize(small)
     if fits_broadcast(small):
         return files.join(F.broadcast(small), "repo", "left").where(~excluded).select(*files.columns)
-    narrow = files.select("repo", "path", "name").join(small, "repo").where(excluded)
-    return without_keys(files, narrow.select("repo", "path"))
+    return drop_members(files, excluded_files(files, options), ["repo", "path"])
+
+
+def excluded_files(files: DataFrame, options: DataFrame) -> DataFrame:
+    """(repo, path) of the files that their repository's options exclude, found with narrow keys.
+
+    A directory meets the exclusions by (repository, name of a directory), so no list of
+    names is searched; a file's name meets the globs of its repository.
+    """
+    keys = files.select("repo", "path", "name")
+    names = options.select("repo", F.explode("exclude_dirs").alias("dir")).distinct()
+    folders = files.select("repo", paths.parent_dir(F.col("path")).alias("parent")).distinct()
+    parts = folders.select("repo", "parent", F.explode(F.array_distinct(F.split("parent", "/"))).alias("dir"))
+    gone = parts.join(names, ["repo", "dir"], "left_semi").select("repo", "parent").distinct()
+    below = keys.withColumn("parent", paths.parent_dir(F.col("path"))).join(gone, ["repo", "parent"], "left_semi")
+    globs = options.select("repo", _any_glob_regex("exclude_patterns").alias("_globs")).where(F.col("_globs").isNotNull())
+    named = keys.join(broadcast_if_small(materialize(globs)), "repo").where(F.regexp_instr(F.col("name"), F.col("_globs")) > 0)
+    return below.select("repo", "path").unionByName(named.select("repo", "path")).distinct()

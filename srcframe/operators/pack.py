@@ -13,12 +13,15 @@ from srcframe.functions.python_code import python_metrics
 from srcframe.functions.tokens import joined_token_count, token_count
 from srcframe.operators import filters
 from srcframe.operators.pymetrics import python_only, total_complexity
-from srcframe.session import broadcast_if_small, compute_once, materialize
+from srcframe.operators.membership import likely
+from srcframe.session import broadcast_if_small, compute_once, fits_broadcast, materialize
 
 COMPLEXITY_WEIGHT = 10
 FUNCTION_WEIGHT = 5
 # Parts a group of equal costs is first split into, so no task ranks all of them.
 COST_SALTS = 64
+# Rounds of the choice that run as one job.
+ROUNDS = 4
 
 
 def pack_inputs(
@@ -121,43 +124,61 @@ def select_under_budget(candidates: DataFrame, budget: int = PACK_TOKEN_BUDGET)
     """Greedy choice by density: take what still fits, pass over what does not.
 
     Returns (repo, path, cost, density, pick_order). Exact: the candidates are first
-    cut to those the greedy pass could take, whose number is bounded by the budget, and
-    only these meet in one fold per repository. Texts are not part of the plan.
+    cut to those the greedy pass could take, whose number is bounded by the budget. These
+    are taken in rounds of running sums, as rows; no state grows in a row. Texts are not part
+    of the plan.
     """
     weight = F.col("cost") + TOKENS_PER_FILE_OVERHEAD
     fitting = candidates.where((F.col("cost") > 0) & (weight <= budget)).select(
         "repo", "path", "walk_key", "cost", "density"
     )
-    row = F.struct((-F.col("density")).alias("d"), "walk_key", "cost", "path")
-    queue = _competitive(fitting, budget).groupBy("repo").agg(
-        F.array_sort(F.collect_list(row)).alias("queue")
-    )
-    start = F.struct(
-        F.lit(budget).cast("bigint").alias("left"),
-        F.slice("queue", F.lit(1), F.lit(0)).alias("taken"),
-    )
-    def take(state, item):
-        cost = item["cost"] + TOKENS_PER_FILE_OVERHEAD
-        return F.when(
-            cost <= state["left"],
-            F.struct(
-                (state["left"] - cost).alias("left"),
-                F.concat(state["taken"], F.array(item)).alias("taken"),
-            ),
-        ).otherwise(state)
-
-    picked = F.aggregate("queue", start, take, lambda state: state["taken"])
-    folded = compute_once(queue, _picked=picked)
-    return folded.select("repo", F.posexplode("_picked").alias("pos", "t")).select(
-        "repo", "t.path", "t.cost", (-F.col("t.d")).alias("density"),
-        (F.col("pos") + 1).cast("bigint").alias("pick_order"),
-    )
+    order = [F.desc("density"), F.asc("walk_key")]
+    rows = _competitive(fitting, budget).select(
+        "repo", "path", "walk_key", "cost", "density", weight.alias("_w"), F.lit(budget).cast("bigint").alias("_left"),
+        F.lit(True).alias("_open"), F.lit(False).alias("_taken"),
+        F.row_number().over(Window.partitionBy("repo").orderBy(*order)).alias("_at"))
+    while True:
+        for _ in range(ROUNDS):
+            rows = _round(rows)
+        rows = materialize(rows.where(F.col("_open") | F.col("_taken")))
+        if rows.where("_open").isEmpty():
+            break
+    place = F.row_number().over(Window.partitionBy("repo").orderBy("_at"))
+    return rows.where("_taken").select("repo", "path", "cost", "density", place.cast("bigint").alias("pick_order"))
+
+
+def _round(rows: DataFrame) -> DataFrame:
+    """Take the longest beginning of what is open that fits, and close what cannot fit any more.
+
+    The first file that does not fit is passed over, as the budget left only shrinks; so is
+    every later one above what is left then. Each round takes a file at least. All rounds
+    have one partitioning and one order, so Spark shuffles and sorts once.
+    """
+    so_far = Window.partitionBy("repo").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("repo")
+    summed = rows.withColumn("_sum", F.sum(F.when(F.col("_open"), F.col("_w")).otherwise(0)).over(so_far))
+    passed = summed.withColumn("_stop", F.min(F.when(F.col("_open") & (F.col("_sum") > F.col("_left")), F.col("_at"))).over(whole))
+    now = F.col("_open") & (F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))
+    taken = passed.withColumn("_now", now)
+    used = F.coalesce(F.sum(F.when(F.col("_now"), F.col("_w"))).over(whole), F.lit(0))
+    left = taken.withColumn("_left", F.col("_left") - used)
+    return left.select(
+        "repo", "path", "walk_key", "cost", "density", "_w", "_left",
+        (F.col("_open") & ~F.col("_now") & (F.col("_at") > F.col("_stop")) & (F.col("_w") <= F.col("_left"))).alias("_open"),
+        (F.col("_taken") | F.col("_now")).alias("_taken"), "_at")
 
 
 def selected_texts(selected: DataFrame, files: DataFrame) -> DataFrame:
-    """Join the texts of the chosen files, and of no others."""
-    chosen = broadcast_if_small(materialize(selected.select("repo", "path", "pick_order")))
-    return files.select("repo", "path", "content").join(chosen, ["repo", "path"])
+    """Join the texts of the chosen files, and of no others.
+
+    Where the list is too long for a broadcast, a bitset of its keys is tested in the scan
+    first, so only the texts of candidates (the chosen, and few that pass by chance) are shuffled.
+    """
+    chosen = materialize(selected.select("repo", "path", "pick_order"))
+    texts = files.select("repo", "path", "content")
+    if fits_broadcast(chosen):
+        return texts.join(F.broadcast(chosen), ["repo", "path"])
+    return likely(texts, chosen, ["repo", "path"]).join(chosen, ["repo", "path"])
 
 
 def pack_blocks(texts: DataFrame) -> DataFrame:

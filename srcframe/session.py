@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # A side is only broadcast after its bytes were counted and found under this bound.
 BROADCAST_BYTES = 64 << 20
+# Most bytes of a bitset of keys; its size follows from their number.
+BITSET_BYTES = 64 << 20
 
 
 def build_session(app: str = "srcframe", master: str | None = None, **conf) -> SparkSession:
@@ -34,17 +34,13 @@ def build_session(app: str = "srcframe", master: str | None = None, **conf) -> S
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in ``spark.checkpoint.dir``.
 
-    Only a session that runs inside one machine may fall back to a folder of its own:
+    Where none is named, a folder below the warehouse, which all executors share as well:
     a machine-local folder would be lost with its executor.
     """
     if spark.sparkContext.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="srcframe-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+    spark.sparkContext.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -94,11 +90,6 @@ def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
     return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
 
 
-def without_keys(files: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``files`` but those of ``dropped`` (repo, path). Keys are unique, so they spread evenly."""
-    return files.join(broadcast_if_small(materialize(dropped)), ["repo", "path"], "left_anti")
-
-
 def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Hint a broadcast of ``df`` only when its counted size is under ``limit``.
 

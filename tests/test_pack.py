@@ -54,6 +54,19 @@ def test_equals_the_greedy_pass(spark, budget, costs):
     assert selection(spark, repos, budget) == {k: v for k, v in want.items() if v}
 
 
+def test_a_choice_of_many_files_under_a_large_budget(spark):
+    """No state grows in a row: rounds of running sums, and few of them."""
+    budget, n = 10_000_000, 120_000
+    df = spark.range(n).select(
+        F.lit("hot").alias("repo"), F.concat(F.lit("f"), "id").alias("path"), F.format_string("1%08d", "id").alias("walk_key"),
+        (F.pmod(F.xxhash64("id"), F.lit(4000)) + 1).alias("cost"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9973)) / 7.0).alias("density"))
+    rows = [tuple(r) for r in df.select("path", "walk_key", "cost", "density").collect()]
+    chosen = pack.select_under_budget(df, budget)
+    assert [r.path for r in chosen.orderBy("pick_order").collect()] == greedy(rows, budget)
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+
+
 def test_one_repository_of_equal_copies(spark):
     rows = [(f"f{i}", f"1{i:06d}", 10, 1.0) for i in range(20_000)]
     got = selection(spark, {"hot": rows, "r": rows[:3]}, 6000)
