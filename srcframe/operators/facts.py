@@ -29,7 +29,7 @@ def file_facts(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) ->
         _lines=F.when(known, lines.line_count(text)),
         blank=F.when(known, lines.blank_count(text)),
         comment=F.when(known, lines.comment_count(text, language)),
-        content_hash=lines.content_hash(text),
+        **({} if "content_hash" in files.columns else {"content_hash": lines.content_hash(text)}),
         todo_count=lines.marker_count(text, "TODO"),
         fixme_count=lines.marker_count(text, "FIXME"),
         secrets=secret_hits(text, rules),
@@ -41,3 +41,22 @@ def file_facts(files: DataFrame, rules: Sequence[SecretRule] = DEFAULT_RULES) ->
         "language", code.alias("code"), "blank", "comment", "content_hash", "todo_count",
         "fixme_count", "secrets", python_metrics("_python").alias("parsed"),
     )
+
+
+TEXT_FACTS = (
+    "repo", "path", "content_hash", "language", "code", "blank", "comment", "todo_count", "fixme_count", "secrets", "parsed")
+PLACE_FACTS = ("name", "suffix", "size_bytes", "is_lfs_pointer", "real_size", "walk_key")
+
+
+def text_facts(files: DataFrame) -> DataFrame:
+    """What of :func:`file_facts` depends on a path and its text alone, to be stored for later runs."""
+    return file_facts(files).select(*TEXT_FACTS)
+
+
+def placed_facts(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """The facts of ``files`` from ``stored`` ones; only the hash is made of a text."""
+    key = ["repo", "path", "content_hash"]
+    places = files.select("repo", "path", *PLACE_FACTS, lines.content_hash(F.col("content")).alias("content_hash"))
+    held = stored.select(*TEXT_FACTS)
+    return places.join(held, key).select(
+        "repo", "path", *PLACE_FACTS, *[c for c in TEXT_FACTS if c not in ("repo", "path")])

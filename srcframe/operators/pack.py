@@ -14,6 +14,7 @@ from srcframe.functions.tokens import joined_token_count, token_count
 from srcframe.operators import filters
 from srcframe.operators.pymetrics import python_only, total_complexity
 from srcframe.operators.membership import likely
+from srcframe.operators.pieces import one_each
 from srcframe.session import broadcast_if_small, compute_once, fits_broadcast, materialize
 
 COMPLEXITY_WEIGHT = 10
@@ -192,23 +193,23 @@ def pack_blocks(texts: DataFrame) -> DataFrame:
 def format_pack(
     texts: DataFrame, fmt: str = "raw", now: Column | None = None, marker: str = GENERATED_MARKER
 ) -> DataFrame:
-    """(repo, document): one text per repository. The token budget bounds its size."""
+    """(repo, key, text): the document of each repository as ordered pieces, one row for each file.
+
+    Pieces are joined by line breaks, in the order of their keys; so no row or task holds a
+    whole document. ``raw`` has the marker and a block for each file, ``json`` is one object.
+    """
+    place = F.concat(F.lit("1"), F.lpad(F.col("pick_order").cast("string"), 12, "0"))
+    repos = texts.select("repo", "pick_order").where("pick_order = 1")
     if fmt.lower() == "raw":
-        ordered = F.array_sort(F.collect_list(F.struct("pick_order", "block")))
-        body = F.array_join(F.transform(ordered, lambda s: s["block"]), "\n")
-        return pack_blocks(texts).groupBy("repo").agg(
-            F.concat(F.lit(f"{marker}\n\n"), body).alias("document")
-        )
+        files = pack_blocks(texts).select("repo", place.alias("key"), F.col("block").alias("text"))
+        return files.unionByName(one_each(repos, "0", F.lit(f"{marker}\n")))
     if fmt.lower() == "json":
-        stamp = F.current_timestamp() if now is None else now
-        ordered = F.array_sort(F.collect_list(F.struct("pick_order", "path", "content")))
-        listed = F.transform(
-            ordered, lambda s: F.struct(s["path"].alias("path"), s["content"].alias("content"))
-        )
-        return texts.groupBy("repo").agg(F.to_json(F.struct(
-            F.date_format(F.first(stamp), TIMESTAMP_FORMAT).alias("pack_date"),
-            listed.alias("files"),
-        )).alias("document"))
+        stamp = F.date_format(F.current_timestamp() if now is None else now, TIMESTAMP_FORMAT)
+        comma = F.when(F.col("pick_order") > 1, ",").otherwise("")
+        files = texts.select(
+            "repo", place.alias("key"), F.concat(comma, F.to_json(F.struct("path", "content"))).alias("text"))
+        head = F.concat(F.lit('{"pack_date":"'), stamp, F.lit('","files":['))
+        return files.unionByName(one_each(repos, "0", head)).unionByName(one_each(repos, "2", F.lit("]}")))
     raise ValueError(f"unknown format: {fmt}")
 
 

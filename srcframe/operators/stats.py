@@ -29,7 +29,8 @@ def file_stats(files: DataFrame, *extra: Column, unknown: bool = False) -> DataF
         F.when(has, lines.line_count(text)).alias("_lines"),
         F.when(has, lines.blank_count(text)).alias("blank"),
         F.when(has, lines.comment_count(text, F.col("language"))).alias("comment"),
-        lines.content_hash(text).alias("content_hash"),
+        # a hash that the files bring is not made again
+        F.col("content_hash") if "content_hash" in files.columns else lines.content_hash(text).alias("content_hash"),
         *extra,
     )
     code = F.col("_lines") - F.col("blank") - F.col("comment")

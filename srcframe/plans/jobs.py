@@ -16,6 +16,7 @@ from srcframe.operators import (
 )
 from srcframe.session import materialize
 from srcframe.sources.tables import files_from_table
+from srcframe.streaming import incremental
 
 
 def visible_files(
@@ -23,15 +24,17 @@ def visible_files(
     include_hidden: bool = False,
     exclude_dirs: Sequence[str] = (),
     exclude_patterns: Sequence[str] = (),
+    own_options: DataFrame | None = None,
 ) -> DataFrame:
-    """The files a walk would list."""
+    """The files a walk would list. ``own_options`` are exclusions by repository
+    (repo, exclude_dirs, exclude_patterns)."""
     kept = filters.exclude_dirs(filters.drop_default_dirs(filters.drop_symlinks(files)), exclude_dirs)
     if not include_hidden:
         kept = filters.drop_hidden(kept)
     kept = filters.exclude_patterns(kept, exclude_patterns)
     # Rules sit in hidden files, so they are read from the unfiltered table.
     kept = ignore.apply_gitignore(kept, ignore.ignore_rules(files))
-    return kept
+    return kept if own_options is None else options.apply_exclusions(kept, own_options)
 
 
 # Stands for an empty directory where paths of files are filtered.
@@ -48,28 +51,35 @@ def scan(
     empty_dirs: DataFrame | None = None,
     now: Column | None = None,
     own_options: DataFrame | None = None,
+    store: str | None = None,
+    run: int = 0,
 ) -> report.Sections:
     """The report of every repository of ``files``, also of those where nothing is visible.
 
     Texts are read once; stored facts of each file feed all sections. ``own_options`` are
     exclusions by repository (repo, exclude_dirs, exclude_patterns). ``max_files`` makes the
-    job fail on a larger repository; without it there is no limit.
+    job fail on a larger repository; without it there is no limit. With ``store``, a folder, the
+    facts of texts that an earlier run analysed are read from there, and those of others are
+    added as run number ``run``; without it every text is analysed.
     """
     began = time.perf_counter()
     everything = files
     if empty_dirs is not None:
         everything = files.unionByName(files_from_table(
             empty_dirs.select("repo", F.concat("path", F.lit(f"/{_PROBE}")).alias("path"), F.lit("").alias("content"))))
-    kept = visible_files(everything, include_hidden, exclude_dirs, exclude_patterns)
-    if own_options is not None:
-        kept = options.apply_exclusions(kept, own_options)
+    kept = visible_files(everything, include_hidden, exclude_dirs, exclude_patterns, own_options)
     seen = kept.where(F.col("name") != _PROBE)
     dirs = None
     if empty_dirs is not None:
         dirs = kept.where(F.col("name") == _PROBE).select("repo", paths.parent_dir(F.col("path")).alias("path"))
     if max_files is not None:
         seen = filters.guard_max_files(seen, max_files)
-    per_file = materialize(facts.file_facts(ignore.with_lfs(seen, ignore.lfs_patterns(files))))
+    sized = ignore.with_lfs(seen, ignore.lfs_patterns(files))
+    if store is None:
+        per_file = materialize(facts.file_facts(sized))
+    else:
+        held = incremental.update_store(sized, store, run, facts.text_facts)
+        per_file = materialize(facts.placed_facts(sized, held.dropDuplicates(incremental.KEY)))
     repos = materialize(everything.select("repo").distinct())
     return report_of(
         per_file, deps.dependency_lists(files), custom_rules, now, dirs, repos, time.perf_counter() - began)
@@ -112,27 +122,38 @@ def pack(
     exclude_suffixes: tuple[str, ...] = (),
     method="pieces",
     outputs: DataFrame | None = None,
+    **visible,
 ) -> Packed:
-    """The choice under the budget, and the chosen texts."""
-    inputs = packing.pack_inputs(visible_files(files), max_kb, exclude_suffixes, outputs)
+    """The choice under the budget, and the chosen texts.
+
+    ``visible`` are options of :func:`visible_files`. It is an error if no file of any
+    repository can be packed.
+    """
+    inputs = packing.pack_inputs(visible_files(files, **visible), max_kb, exclude_suffixes, outputs)
     candidates = packing.pack_candidates(inputs, budget, method)
     selected = materialize(packing.select_under_budget(candidates, budget))
+    if selected.isEmpty():
+        raise ValueError("no file can be packed: all are empty, too large, binary or above the budget")
     return Packed(selected, packing.selected_texts(selected, inputs))
 
 
 class Distilled(NamedTuple):
     texts: DataFrame
     ranges: DataFrame
+    keys: DataFrame  # (repo, walk_key) of all files that were to be shortened; no text is read for it
 
 
 def distill(
-    files: DataFrame, level: int = 2, anchors: bool = True, outputs: DataFrame | None = None
+    files: DataFrame, level: int = 2, anchors: bool = True, outputs: DataFrame | None = None, **visible
 ) -> Distilled:
-    """The shortened texts, and where each stands in the written result."""
-    texts = distilling.distilled(
-        distilling.distill_inputs(visible_files(files), outputs), level, anchors
-    )
-    return Distilled(texts, distilling.line_ranges(texts))
+    """The shortened texts, and where each stands in the written result.
+
+    ``visible`` are options of :func:`visible_files`.
+    """
+    seen = visible_files(files, **visible)
+    texts = distilling.distilled(distilling.distill_inputs(seen, outputs), level, anchors)
+    keys = filters.keep_source_suffixes(filters.drop_symlinks(seen)).select("repo", "walk_key")
+    return Distilled(texts, distilling.line_ranges(texts), keys)
 
 
 class Audited(NamedTuple):

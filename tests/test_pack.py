@@ -117,8 +117,10 @@ def test_documents(make_files):
     blocks = {"a.txt": "one", "b/c.txt": "two\n\"q\""}
     want = "# -- generated by srcframe --\n\n" + "\n".join(
         f"{rule}\nFILE: {p}\n{rule}\n{blocks[p]}\n" for p in order)
-    assert pack.format_pack(texts).first().document == want
-    data = json.loads(pack.format_pack(texts, "JSON").first().document)
+    document = lambda fmt: "\n".join(r.text for r in pack.format_pack(texts, fmt).orderBy("repo", "key").collect())
+    assert document("raw") == want
+    data = json.loads(document("JSON"))
+    assert list(data) == ["pack_date", "files"]
     assert data["files"] == [{"path": p, "content": blocks[p]} for p in order]
     with pytest.raises(ValueError):
         pack.format_pack(texts, "xml")

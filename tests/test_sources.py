@@ -75,8 +75,14 @@ def test_pack_and_audit_jobs(spark, make_files, tmp_path):
     sinks.write_pack(packed.texts, str(tmp_path / "json"), "json")
     raw = "".join(p.read_text() for p in sorted((tmp_path / "raw" / "repo=r").glob("part-*.txt")))
     assert raw.startswith("# -- generated by srcframe --\n\n=====") and raw.index("b.md") < raw.index("a.txt")
-    data = json.loads("".join(p.read_text() for p in (tmp_path / "json" / "repo=r").glob("part-*.txt")))
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name / "repo=r").glob("part-*.txt")))
+    data = json.loads(read("json"))
     assert [f["path"] for f in data["files"]] == ["b.md", "a.txt"]
+    sinks.write_pack(packed.texts, str(tmp_path / "raw2"), keys=packed.selected)
+    sinks.write_pack(packed.texts, str(tmp_path / "json2"), "json", keys=packed.selected)
+    assert read("raw2") == raw and json.loads(read("json2"))["files"] == data["files"]
+    with pytest.raises(ValueError, match="no file can be packed"):
+        jobs.pack(files, budget=10)
     empty = spark.createDataFrame([], "repo string, json string")
     audited = jobs.audit(files, empty, empty)
     assert [(r.kind, r.file_path) for r in audited.findings.collect()] == [("secret", ".hid/k.txt")]
@@ -108,18 +114,105 @@ def test_store_is_updated_only_with_changes(spark, make_files, tmp_path):
     assert {r.path: r.code for r in incremental.current_results(latest, spark.read.parquet(store)).collect()}["changed.py"] == 2
 
 
+def removable(make_files, spark, content, removed=()):
+    files = make_files(content | {p: "" for p in removed})
+    return files.withColumn("removed", files.path.isin(list(removed)) if removed else files.path.isNull())
+
+
 def test_stream(spark, make_files, tmp_path):
-    incoming, store = str(tmp_path / "in"), str(tmp_path / "store")
-    files = make_files({"a.py": "x = 1\n", "b.sh": "echo\n"})
-    files.write.parquet(incoming)
-    stream = spark.readStream.schema(files.schema).parquet(incoming)
-    query = incremental.start_stream(stream, store, str(tmp_path / "cp"))
-    assert query.awaitTermination(120)
-    make_files({"a.py": "x = 1\n", "b.sh": "echo 2\n"}).write.mode("append").parquet(incoming)
-    query = incremental.start_stream(spark.readStream.schema(files.schema).parquet(incoming), store, str(tmp_path / "cp"))
-    assert query.awaitTermination(120)
+    """Restarts, a text that comes back, a removal, and one hash of each text."""
+    from pyspark.sql import functions as F
+
+    incoming, store, states = (str(tmp_path / n) for n in ("in", "store", "states"))
+    days = [
+        ({"a.py": "x = 1\n", "b.sh": "echo\n", "c.py": "z = 0\n"}, ()),
+        ({"a.py": "x = 1\n", "b.sh": "echo 2\n"}, ()),
+        ({"b.sh": "echo\n"}, ("c.py",)),  # back to the first text
+    ]
+    for content, removed in days:
+        removable(make_files, spark, content, removed).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(removable(make_files, spark, {}, ("x",)).schema).parquet(incoming)
+        query = incremental.start_stream(stream, store, str(tmp_path / "cp"), states=states)
+        assert query.awaitTermination(120)
+        progress = query.lastProgress
+        # a micro-batch updates the state of its own files only
+        assert progress["stateOperators"][0]["numRowsUpdated"] <= len(content) + len(removed)
     rows = spark.read.parquet(store).collect()
-    assert sorted((r.path, r.code) for r in rows) == [("a.py", 1), ("b.sh", 1), ("b.sh", 1)]
+    assert sorted((r.path, r.code, r.version) for r in rows) == [("a.py", 1, 0), ("b.sh", 1, 0), ("b.sh", 1, 1), ("c.py", 1, 0)]
+    latest = incremental.latest_versions(spark.read.parquet(states))
+    sha = {r.path: r.content_hash for r in latest.collect()}
+    assert set(sha) == {"a.py", "b.sh"}
+    now = make_files({"a.py": "x = 1\n", "b.sh": "echo\n"})
+    assert sha == {r.path: r.content_hash for r in incremental.file_versions(now).collect()}
+    assert {r.path: r.version for r in incremental.current_results(latest, spark.read.parquet(store)).collect()} == {"a.py": 0, "b.sh": 0}
+    marked = incremental.seen_in_state(spark.readStream.schema(removable(make_files, spark, {}, ("x",)).schema).parquet(incoming))
+    analysed = incremental.analyse(spark.createDataFrame([], marked.schema))
+    assert "sha2" not in analysed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_store_side_is_not_shuffled(spark, make_files, tmp_path):
+    folder = str(tmp_path / "store")
+    files = make_files({f"f{i}.py": f"x = {i}\n" for i in range(40)})
+    store = incremental.update_store(files, folder, 1)
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    try:
+        for made, rows in ((incremental.unseen_versions(files, store), 0), (incremental.stored_results(files, store), 40)):
+            assert made.count() == rows
+            plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+            # the one shuffle is of the files' keys
+            below = plan[plan.index("Exchange hashpartitioning"):]
+            assert "sha2" in below.split("FileScan")[0]
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
+def test_scan_reuses_stored_facts(spark, make_files, tmp_path):
+    day1 = {"a.py": "def f(a):\n    return a\n", "b.md": "# TODO x\n", "c.sh": "echo\n"}
+    day2 = day1 | {"b.md": "# TODO x TODO\n", "d.py": "y = 2\n"}
+    folder = str(tmp_path / "facts")
+    text = lambda sections: sorted(
+        (r.repo, r.key, r.text) for r in report.report_json(sections).collect() if r.key != "a")
+    for run, day in enumerate((day1, day2, day1)):
+        files = make_files(day)
+        assert text(jobs.scan(files, store=folder, run=run)) == text(jobs.scan(files))
+    rows = spark.read.parquet(folder).collect()
+    assert sorted((r.path, r.version) for r in rows) == [("a.py", 0), ("b.md", 0), ("b.md", 1), ("c.sh", 0), ("d.py", 1)]
+
+
+def test_options_of_a_repository_count_in_pack_and_distill(spark, make_files):
+    files = make_files({"keep.md": "one two\n", "gen/x.md": "three\n", "n.txt": "four\n", ".hid/h.md": "five\n"})
+    own = spark.createDataFrame([("r", ["gen"], ["*.txt"])], "repo string, exclude_dirs array<string>, exclude_patterns array<string>")
+    assert {r.path for r in jobs.pack(files, own_options=own, include_hidden=True).selected.collect()} == {"keep.md", ".hid/h.md"}
+    assert {r.path for r in jobs.pack(files, exclude_dirs=["gen"]).selected.collect()} == {"keep.md", "n.txt"}
+    assert {r.path for r in jobs.distill(files, 1, own_options=own).texts.collect()} == {"keep.md"}
+
+
+def test_each_text_is_made_once_for_the_writers(spark, make_files, tmp_path):
+    from pyspark.sql import functions as F
+
+    from srcframe.operators import distill
+
+    files = make_files([("big", f"d{i % 7}/f{i:04d}.md", f"text {i}") for i in range(300)] + [("small", "a.md", "x")])
+    done = jobs.distill(files, 1)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(block):
+        calls.add(1)
+        return block
+
+    blocks = distill.distilled_blocks(done.texts).withColumn("block", counted.asNondeterministic()("block"))
+    sinks.write_distilled(blocks, str(tmp_path / "out"), keys=done.keys)
+    assert calls.value == 301
+    assert len(list((tmp_path / "out" / "repo=big").glob("part-*.txt"))) > 1
+    packed = jobs.pack(files)
+    texts = packed.texts.withColumn("content", counted("content"))
+    for fmt, n in (("raw", 602), ("json", 903)):
+        sinks.write_pack(texts, str(tmp_path / fmt), fmt, keys=packed.selected)
+        assert calls.value == n
 
 
 def test_a_large_text_is_written_by_many_tasks_in_order(spark, make_files, tmp_path):

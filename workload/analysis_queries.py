@@ -278,24 +278,37 @@ PACKED = SELECTED + f""", documents_raw as (
   from picked p join files f on f.repo = p.repo and f.path = p.path group by p.repo)"""
 
 
-@query("pack_documents", PACKED + " select repo, md5(document) as digest, length(document) as chars from documents_raw")
+_PIECES = """select repo, key, md5(text) as digest, length(text) as chars from ({pieces})"""
+
+
+def _digested(pieces):
+    return pieces.select(
+        "repo", "key", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("bigint").alias("chars"))
+
+
+@query("pack_documents", SELECTED + " " + _PIECES.format(pieces=f"""
+  select p.repo, '1' || lpad(cast(pick_order as varchar), 12, '0') as key,
+    '{_RULE}' || chr(10) || 'FILE: ' || p.path || chr(10) || '{_RULE}' || chr(10) || f.content || chr(10) as text
+  from picked p join files f on f.repo = p.repo and f.path = p.path
+  union all select distinct repo, '0', '{GENERATED_MARKER}' || chr(10) from picked"""))
 def _(c):
-    return pack.format_pack(_selected(c), "raw").select(
-        "repo", F.md5(F.encode("document", "UTF-8")).alias("digest"), F.length("document").cast("bigint").alias("chars")
-    )
+    return _digested(pack.format_pack(_selected(c), "raw"))
 
 
-@query("pack_json", SELECTED + """
-  select p.repo, '2024-01-01T00:00:00Z' as pack_date, count(*) as n, md5(string_agg(p.path || ':' || f.content, '|' order by pick_order)) as digest
-  from picked p join files f on f.repo = p.repo and f.path = p.path group by p.repo""")
+@query("pack_json", SELECTED + """ select repo, key, path, md5(content) as digest, length(content) as chars from (
+  select p.repo, '1' || lpad(cast(pick_order as varchar), 12, '0') as key, p.path, f.content
+  from picked p join files f on f.repo = p.repo and f.path = p.path
+  union all select distinct repo, '0', '', '{"pack_date":"2024-01-01T00:00:00Z","files":[' from picked
+  union all select distinct repo, '2', '', ']}' from picked)""")
 def _(c):
-    documents = pack.format_pack(_selected(c), "json", now=F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    # Read back, so that the check is on what a reader of the document gets.
-    read = F.from_json("document", "pack_date string, files array<struct<path: string, content: string>>")
-    joined = F.array_join(F.transform("d.files", lambda f: F.concat(f["path"], F.lit(":"), f["content"])), "|")
-    return documents.select("repo", read.alias("d")).select(
-        "repo", "d.pack_date", F.size("d.files").cast("bigint").alias("n"), F.md5(F.encode(joined, "UTF-8")).alias("digest")
-    )
+    pieces = pack.format_pack(_selected(c), "json", now=F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    # Files are read back, so that the check is on what a reader of the document gets.
+    is_file = F.substring("key", 1, 1) == "1"
+    read = F.from_json(F.regexp_replace("text", "^,", ""), "path string, content string")
+    both = pieces.withColumn("f", F.when(is_file, read)).select(
+        "repo", "key", F.coalesce("f.path", F.lit("")).alias("path"), F.when(is_file, F.col("f.content")).otherwise(F.col("text")).alias("text"))
+    return both.select(
+        "repo", "key", "path", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("bigint").alias("chars"))
 
 
 @query("pack_stats", PACKED + f"""
