@@ -11,8 +11,10 @@ by its words.
 
 Where a name was exchanged, each name of the item must stand for one name of the document
 throughout the diagonal; if not, only the diagonal's windows with no exchanged name count.
-Numbers and units need not: one value may stand for several things. A document leaks an item
-when the windows that count cover ``least_share`` of the item's windows.
+A number or a unit may stand for several things in a long text, so these are judged window by
+window: where one value of the item would be two values of the document within a window, the
+window does not count. A document leaks an item when the windows that count cover
+``least_share`` of the item's windows.
 
 An item with fewer words than a window is one window of all its words. Windows with fewer
 than ``literals`` words that are no placeholders are left out, unless fewer than
@@ -21,7 +23,8 @@ has only such windows they count where they hold that many literal words togethe
 the document has the item's own values.
 
 Defined results: null and empty texts have no window. Rows of the same key count as parts of
-one text: their windows add up.
+one text: their windows add up. Rows without a key, of documents and of items, take no part in
+:func:`leaks`; :func:`clean` keeps such documents. Empty tables have no leaks.
 """
 
 from __future__ import annotations
@@ -141,9 +144,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     names = F.filter(pairs, lambda p: p["item"].isNotNull())
     exact = F.col("given").isNull() | (F.col("given") == F.col("values"))
     exchanged = F.coalesce(F.exists(names, lambda p: p["item"] != p["doc"]), F.lit(False))
+    values_of = F.zip_with("kinds", "values", lambda k, v: F.when(k.isin(NUMBER, UNIT), F.concat(k, v)))
+    slots = F.filter(
+        F.zip_with(values_of, F.col("given"), lambda v, d: F.struct(v.alias("item"), d.alias("doc"))), lambda p: p["item"].isNotNull())
+    # one value of the item is one value of the document
+    agreed = F.coalesce(
+        F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda p: p["item"]))), F.lit(True))
     met = met.select(
         "id", "item_id", "diagonal", "strong",
-        F.struct("item_at", exact.alias("exact"), exchanged.alias("exchanged")).alias("place"),
+        F.struct("item_at", exact.alias("exact"), exchanged.alias("exchanged"), agreed.alias("agreed")).alias("place"),
         names.alias("pairs"),
         F.when(~F.col("strong"), literal).alias("literal"))
     diagonals = met.groupBy("id", "item_id", "diagonal").agg(
@@ -154,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     judged = diagonals.select(
         "id", "item_id", "places", (F.size("pairs") == F.size(values)).alias("consistent"),
         (F.col("strong") | (F.col("literals") >= settings.literals)).alias("enough"))
-    counted = F.filter("places", lambda p: p["exact"] | (F.col("enough") & (F.col("consistent") | ~p["exchanged"])))
+    counted = F.filter("places", lambda p: p["exact"] | (F.col("enough") & p["agreed"] & (F.col("consistent") | ~p["exchanged"])))
     covered = (
         judged.select("id", "item_id", F.explode(F.transform(counted, lambda p: p["item_at"])).alias("item_at")).distinct()
         .groupBy("id", "item_id").agg(F.count("*").alias("n_matched"))

@@ -13,14 +13,24 @@ merged per query.
 
 Defined results: vectors (or ids) that are null, or hold a null or non-finite component,
 take no part. Shorter vectors count as filled with zeros. Rows with the query's own id are
-no candidates. Ties go to the smaller id.
+no candidates. Ties go to the smaller id. A component whose scaled value is more than 2^54 in
+size counts as that. Shards in which a query's scores could need more than 64 bits are scored
+in whole numbers of any size; ranks follow the exact scores, and one that does not fit is given
+as the largest (smallest) 64-bit number.
 """
 
 from __future__ import annotations
 
+import decimal
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SHARD_ROWS = 8192
+# A component that is larger (or smaller) after scaling counts as this.
+LARGEST = 1 << 54
+# Bounds and sums below this are safe in 64 bits.
+SAFE = 1 << 62
 BLOCK_QUERIES = 1024
 # Shards that share a copy of a block of queries, where there are enough for all cores.
 SHARED_SHARDS = 64
@@ -29,8 +39,9 @@ SHARED_SHARDS = 64
 def scaled(vectors: DataFrame, scale: int, key: str, column: str) -> DataFrame:
     """``vec_id`` and the integer components of the vectors that take part."""
     value = F.col(column)
+    bound = F.lit(LARGEST).cast("double")
     fine = F.forall(value, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
-    whole = F.transform(value, lambda x: F.floor(x.cast("double") * scale).cast("bigint"))
+    whole = F.transform(value, lambda x: F.floor(F.greatest(-bound, F.least(bound, x.cast("double") * scale))).cast("bigint"))
     return vectors.where(F.col(key).isNotNull() & value.isNotNull() & fine).select(
         F.col(key).cast("bigint").alias("vec_id"), whole.alias("values"))
 
@@ -57,16 +68,27 @@ def packed(frame: DataFrame, rows: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        def shard(parts):
+            part = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            values = part.column("values")
+            width = int(np.diff(values.offsets.to_numpy()).max(initial=0))
+            return pa.RecordBatch.from_arrays([
+                pa.array([part.column("vec_id").to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()),
+                pa.array([_matrix(values, width).tobytes()], pa.binary()),
+                pa.array([width], pa.int32()),
+            ], names=["ids", "components", "width"])
+
+        waiting, held = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                values = part.column("values")
-                width = int(np.diff(values.offsets.to_numpy()).max(initial=0))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([part.column("vec_id").to_numpy(zero_copy_only=False).astype("<i8").tobytes()], pa.binary()),
-                    pa.array([_matrix(values, width).tobytes()], pa.binary()),
-                    pa.array([width], pa.int32()),
-                ], names=["ids", "components", "width"])
+            at = 0
+            while at < batch.num_rows:
+                waiting.append(batch.slice(at, rows - held))
+                at, held = at + waiting[-1].num_rows, held + waiting[-1].num_rows
+                if held == rows:
+                    yield shard(waiting)
+                    waiting, held = [], 0
+        if held:
+            yield shard(waiting)
 
     return frame.mapInArrow(run, "ids binary, components binary, width int")
 
@@ -79,6 +101,8 @@ class Shard:
 
         self.ids, self.matrix = ids, matrix
         self.lists = {}
+        # the largest size of each component, as exact numbers
+        self.sizes = [int(n) for n in np.abs(matrix).max(axis=0, initial=0)]
         for d in range(matrix.shape[1]):
             column = matrix[:, d]
             for sign in (1, -1):
@@ -93,6 +117,8 @@ class Shard:
 
         width = min(len(query), self.matrix.shape[1])
         others = self.ids != query_id
+        if sum(abs(int(q)) * n for q, n in zip(query[:width], self.sizes)) >= SAFE:
+            return self._wide(np.flatnonzero(others), query[:width], k)
         terms = []
         for d in np.flatnonzero(query[:width]):
             held = self.lists.get((int(d), 1 if query[d] > 0 else -1))
@@ -131,12 +157,21 @@ class Shard:
                 rows = rows[sums[rows] + left >= least]
         return self._first(rows, exact, k)
 
+    def _wide(self, rows, query, k: int):
+        """Scores that may need more than 64 bits: whole numbers of any size, and no bounds."""
+        import numpy as np
+
+        whole = [int(q) for q in query]
+        scored = ((-sum(a * b for a, b in zip(whole, self.matrix[row].tolist())), int(self.ids[row])) for row in rows)
+        best = heapq.nsmallest(k, scored)
+        return np.array([i for _, i in best], np.int64), [-s for s, _ in best]
+
     def _first(self, rows, exact, k: int):
         import numpy as np
 
         scores = exact(rows)
         order = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[order]], scores[order]
+        return self.ids[rows[order]], scores[order].tolist()
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -176,10 +211,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024,
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]), pa.int64()),
                     pa.array(np.concatenate([i for _, i, _ in out]) if out else [], pa.int64()),
-                    pa.array(np.concatenate([s for _, _, s in out]) if out else [], pa.int64()),
+                    pa.array([decimal.Decimal(s) for _, _, found in out for s in found], pa.decimal128(38, 0)),
                 ], names=["query_id", "vec_id", "score"])
 
     met = shards.join(asked, groups).select("ids", "components", "q_ids", "q_components")
-    found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score decimal(38,0)")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", F.greatest(F.lit(-(1 << 63)), F.least(F.lit((1 << 63) - 1), "score")).cast("bigint").alias("score"))

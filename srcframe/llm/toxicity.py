@@ -21,8 +21,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcframe.llm.common import map_texts
-from srcframe.llm.labelled import held_out, training_texts
+from srcframe.llm.common import map_texts, stored
+from srcframe.llm.labelled import held_out, known_labels, training_texts
 
 
 @dataclasses.dataclass(frozen=True)
@@ -30,11 +30,11 @@ class Settings:
     per_class: int = 3000
     # lengths of word beginnings that may become entries
     beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
-    entries: int = 400
-    exceptions: int = 200
-    # fewest toxic documents with an entry, and least log of the ratio of its frequencies
+    # fewest documents with an entry or exception, and least log of the ratio of an entry's
+    # frequencies, after ``errors`` standard errors were taken off
     least_documents: int = 5
     least_weight: float = 1.5
+    errors: float = 1.5
 
 
 # Letters of other scripts, and digits, that are read as a Latin letter.
@@ -168,16 +168,19 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, held, settings: Settings = Settings(), label: str = "toxic") -> Model:
     """Learn from at most ``2 * per_class`` documents; the driver gets bounded lists only."""
-    sample = training_texts(docs, labels, label, held, settings.per_class)
+    # at most 2 * per_class texts, read by four steps
+    sample = stored(training_texts(docs, labels, label, held, settings.per_class))
     sizes = {r[0]: r[1] for r in sample.groupBy("_label").count().collect()}
     if len(sizes) < 2:
         return Model({}, [], (-50.0, 0.0, 0.0))
     weight = F.log(((F.col("toxic") + 0.5) / sizes[1]) / ((F.col("other") + 0.5) / sizes[0]))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
     found = (
         _frequencies(sample, 0, settings).withColumn("weight", weight)
-        .where((F.col("toxic") >= settings.least_documents) & (F.col("weight") >= settings.least_weight))
-        .orderBy(F.desc(F.col("toxic") * F.col("weight")), "entry").limit(settings.entries)
+        .where((F.col("toxic") >= settings.least_documents) & (F.col("weight") - settings.errors * error >= settings.least_weight))
+        .orderBy("entry")
     )
+    # every string that passes both bounds; the sample bounds their number
     lexicon = {r["entry"]: r["weight"] for r in found.select("entry", "weight").collect()}
     begins = Matcher(lexicon, [])
     phrases = (
@@ -188,10 +191,14 @@ def fit(docs: DataFrame, labels: DataFrame, held, settings: Settings = Settings(
         return lambda texts: [[begins.measure(t)[0] > 0 for t in texts]]
 
     phrases = map_texts(phrases, "entry", make, "hit boolean", ("entry", "other")).where("hit")
-    exceptions = [r[0] for r in phrases.orderBy(F.desc("other"), "entry").limit(settings.exceptions).collect()]
+    exceptions = [r[0] for r in phrases.orderBy("entry").collect()]
     measured = measure(sample, lexicon, exceptions, "_text", ("_label",))
     rows = sorted((r[0], r[1], r[2]) for r in measured.collect())
-    return Model(lexicon, exceptions, fit_curve(rows))
+    bias, *slopes = fit_curve(rows)
+    # the sample has more toxic documents than the labels have; the curve is for the latter
+    share = {r[0]: r[1] for r in known_labels(labels, label, held).groupBy("_label").count().collect()}
+    bias += math.log(share[1] / share[0] * sizes[0] / sizes[1])
+    return Model(lexicon, exceptions, (bias, *slopes))
 
 
 def measure(docs: DataFrame, lexicon: dict[str, float], exceptions: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -58,6 +58,100 @@ def test_template_words_and_raw_words_stand_together(spark):
     assert rows[1].a[-2:] == [n, u] and rows[2].a == rows[3].a == []
 
 
+def template(text, names=True):
+    """Words and slots by the definition, for plain words, numbers and Capitalised names."""
+    out, last = [], ""
+    for word in text.split():
+        bare = word.strip(".,?")
+        if bare[0].isdigit():
+            out.append(dec.NUMBER)
+        elif names and bare[0].isupper() and last and (last[-1].islower() or last[-1].isdigit() or last[-1] in ",;:"):
+            out.append(dec.NAME)
+        elif out and out[-1] == dec.NUMBER and last[-1].isdigit() and bare.lower() in dec.UNITS:
+            out.append(dec.UNIT)
+        else:
+            out.append(bare.lower())
+        last = word
+    return out
+
+
+def plain_leaks(docs, items, size=8, literals=4, share=0.5):
+    """Every window of every document against every window of every item."""
+    found = {}
+    for d, text in docs.items():
+        words, folded, raw = template(text), template(text, False), [w.strip(".,?").lower() for w in text.split()]
+        for i, item in items.items():
+            i_words, i_folded, i_raw = template(item), template(item, False), [w.strip(".,?").lower() for w in item.split()]
+            n = min(size, len(i_words))
+            places = range(len(i_words) - n + 1)
+            strong = {a: sum(w not in dec.SLOTS for w in i_words[a:a + n]) >= literals for a in places}
+            weak = sum(strong.values()) < share * len(places)
+            diagonals, usable = {}, [a for a in places if strong[a] or weak]
+            for a in usable:
+                for b in range(len(words) - n + 1):
+                    mine, its = words[b:b + n], i_words[a:a + n]
+                    same = mine == its or dec.NAME in its and i_folded[a:a + n] in (folded[b:b + n], mine) or dec.NAME in mine and folded[b:b + n] == its
+                    if same:
+                        diagonals.setdefault(b - a, []).append((a, b))
+            covered = set()
+            for met in diagonals.values():
+                pairs, exchanged, agreed, exact, literal = set(), {}, {}, {}, set()
+                for a, b in met:
+                    slots = [(k, i_raw[a + j], raw[b + j]) for j, k in enumerate(i_words[a:a + n]) if k in dec.SLOTS]
+                    names = {(v, g) for k, v, g in slots if k == dec.NAME}
+                    pairs |= names
+                    exchanged[a] = any(v != g for v, g in names)
+                    others = {(k, v, g) for k, v, g in slots if k != dec.NAME}
+                    agreed[a] = len(others) == len({(k, v) for k, v, _ in others})
+                    exact[a] = not slots or raw[b:b + n] == i_raw[a:a + n]
+                    literal |= {a + j for j, k in enumerate(i_words[a:a + n]) if k not in dec.SLOTS}
+                consistent = len(pairs) == len({v for v, _ in pairs})
+                enough = any(strong[a] for a, _ in met) or len(literal) >= literals
+                covered |= {a for a, _ in met if exact[a] or enough and agreed[a] and (consistent or not exchanged[a])}
+            if covered and len(covered) / len(usable) >= share:
+                found[d, i] = len(covered), len(usable)
+    return found
+
+
+def test_against_brute_force_with_slots(spark, docs_of):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
+    names, units = ["Anna", "Ben", "Cora", "Dan"], ["kg", "km", "days"]
+
+    def sentence():
+        out = [rng.choice(words) for _ in range(rng.randint(6, 18))]
+        for _ in range(rng.randint(0, 4)):
+            out.insert(rng.randint(1, len(out)), rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            out.insert(rng.randint(1, len(out)), rng.choice([str(rng.randint(1, 9)), f"{rng.randint(1, 9)} {rng.choice(units)}"]))
+        return out
+
+    items = {i: " ".join(sentence()) for i in range(14)}
+    docs = {}
+    for d in range(150):
+        item = items[rng.randrange(14)].split()
+        swap = {w: rng.choice(names + ["Eve"]) for w in names} | {str(n): str(rng.randint(1, 99)) for n in range(10)} | {u: rng.choice(units) for u in units}
+        kind = rng.randrange(4)
+        if kind == 1:  # other values throughout
+            item = [swap.get(w, w) for w in item]
+        elif kind == 2:  # other values at random, so some stand for two
+            item = [rng.choice([swap.get(w, w), w]) if rng.random() < 0.5 else w for w in item]
+        elif kind == 3:  # another slot value each time
+            item = [str(rng.randint(1, 99)) if w.isdigit() else rng.choice(names) if w in names else w for w in item]
+        docs[d] = " ".join(sentence() + item[rng.randint(0, 4):] + sentence())
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    want = plain_leaks(docs, items)
+    got = found(docs_of(list(docs.items())), bench)
+    assert got == want and 40 < len({d for d, _ in got}) < 140
+
+
+def test_a_value_for_two_within_a_window_does_not_count(spark, docs_of):
+    item = "first take 2 big cups and then 2 more cups of tea"
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = docs_of([(1, item), (2, item.replace("2", "5")), (3, item.replace("2 big", "5 big").replace("2 more", "9 more"))])
+    assert set(found(docs, bench)) == {(1, 1), (2, 1)}
+
+
 def test_against_brute_force(spark, docs_of):
     rng = random.Random(1)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]

@@ -39,3 +39,17 @@ def test_odd_vectors_take_no_part(spark):
     assert found == {
         (0, 1, 5, 2 * one * one), (0, 2, 10, 0), (5, 1, 0, 2 * one * one), (5, 2, 10, 0), (10, 1, 0, 0), (10, 2, 5, 0)}
     assert maxscore.search(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e12, 1e12, 1.0]), (1, [1e12, 1e12, 0.0]), (2, [1e12, -1e12, 5.0]), (3, [-1e12, -1e12, 0.0]), (4, [0.5, 0.0, 0.0]), (5, [1e300, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = [tuple(r) for r in maxscore.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    most, one = (1 << 63) - 1, int(1024 * 1e12)
+    assert [r[2] for r in found] == [5, 1, 4, 2, 3] and [r[3] for r in found] == [most, most, one * 512, 5 * 1024 * 1024, -most - 1]
+
+
+def test_shards_are_filled_across_batches(spark):
+    df = spark.range(3000).selectExpr("id as vec_id", "array(1L, id) as values").coalesce(1)
+    sizes = sorted(len(r.ids) // 8 for r in maxscore.packed(df, 2048).collect())
+    assert sizes == [952, 2048]  # batches of 512 rows
