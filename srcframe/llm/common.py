@@ -48,13 +48,18 @@ def release_worker() -> None:
 
     module = sys.modules.get("_srcframe_worker")
     if module is not None and vars(module).pop("last", None):
-        import ctypes
-        import gc
+        trim_memory()
 
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:  # freed memory goes back to the machine
-            trim(0)
+
+def trim_memory() -> None:
+    """Give freed memory of this process back to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def own_name(df, name: str) -> str:

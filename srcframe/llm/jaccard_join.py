@@ -160,11 +160,11 @@ def frequent_ngrams(docs: DataFrame, key: str, text: str, settings: Settings) ->
     counted = _map_sets(docs, key, text, settings, "token bigint, n bigint", make)
     total = counted.groupBy("token").agg(F.sum("n").alias("n")).where((F.col("n") > 3) | (F.col("token") < 0))
     # the two sums are no smaller than any count
-    rows = total.orderBy(F.desc("n"), "token").limit(settings.frequent + 2).collect()
-    sums = {r["token"]: r["n"] for r in rows if r["token"] < 0}
-    rows = [r for r in reversed(rows) if r["token"] >= 0]
+    rows = total.orderBy(F.desc("n"), "token").limit(settings.frequent + 2).toArrow()
+    tokens, counts = (np.asarray(rows.column(c).to_numpy())[::-1] for c in ("token", "n"))
+    sums, often = {int(t): int(n) for t, n in zip(tokens[tokens < 0], counts[tokens < 0])}, tokens >= 0
     return {
-        "tokens": np.array([r["token"] for r in rows], np.int64).view(np.uint64), "counts": np.array([r["n"] for r in rows], np.int64),
+        "tokens": tokens[often].view(np.uint64), "counts": counts[often].copy(),
         "sets": sums.get(SETS, 0), "members": sums.get(MEMBERS, 0)}
 
 
@@ -302,8 +302,9 @@ def able(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, percent: int) -
     # no longer than a prefix; n-grams of one set only are not among the entries
     held = stored(entries.join(broadcast_if_small(ends), "node").groupBy("node").agg(
         F.collect_list("token").alias("tokens"), F.max("n").alias("n"), F.max("last").alias("last")))
-    of = lambda end: broadcast_if_small(held.select(
-        F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("tokens", "n", "last")]))
+    # prefixes are not broadcast: they would all pass through the driver
+    of = lambda end: held.select(
+        F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("tokens", "n", "last")])
     met = pairs.join(of("u"), "u").join(of("v"), "v")
     first_end = F.when(F.col("u_last") <= F.col("v_last"), F.col("u_n")).otherwise(F.col("v_n"))
     most = F.size(F.array_intersect("u_tokens", "v_tokens")) + _beyond(first_end, percent)

@@ -20,7 +20,7 @@ import dataclasses
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcframe.llm.common import map_texts, own_name, per_worker
+from srcframe.llm.common import map_texts, own_name, per_worker, trim_memory
 from srcframe.llm.labelled import held_out, training_texts
 from srcframe.llm.words import WordTable
 
@@ -123,7 +123,10 @@ def fit(docs: DataFrame, labels: DataFrame, held, settings: Settings = Settings(
 
     made = map_texts(chosen, "_text", make, "ids binary, counts binary", ("_label",))
     rows = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in made.collect())
-    return train(rows, settings)
+    model = train(rows, settings)
+    rows.clear()
+    trim_memory()  # the features of the sample are no longer needed by the driver
+    return model
 
 
 def result_names(keep) -> tuple[str, str]:
