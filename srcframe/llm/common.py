@@ -62,6 +62,12 @@ def trim_memory() -> None:
         trim(0)
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Let the driver drop what earlier steps left: broadcasts, plans and memory that is free."""
+    trim_memory()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def own_name(df, name: str) -> str:
     """A column name that ``df`` (or a list of names) does not have, whatever the case."""
     taken = {c.lower() for c in getattr(df, "columns", df)}

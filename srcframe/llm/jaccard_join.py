@@ -34,7 +34,7 @@ import dataclasses
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from srcframe.llm.common import own_name, pieces, release_worker, stored
+from srcframe.llm.common import own_name, pieces, release_worker, stored, trim_driver
 from srcframe.llm.components import components
 from srcframe.session import broadcast_if_small
 
@@ -506,7 +506,8 @@ def classes(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
         return verified(able(pairs, entries, nodes, settings.percent), nodes, docs, frequent, key, text, settings)
 
     first = stored(links(star_pairs(entries, settings.percent)))
-    labels = components(first)
+    labels = stored(components(first))
+    trim_driver(docs.sparkSession)  # plans of the first round
     second = links(cross_pairs(entries, labels, settings.percent))
     labels = components(first.union(second))
     named = known.select("key", "n", "node", "hash").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
