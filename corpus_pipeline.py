@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcframe.llm import decontaminate, jaccard_join, labelled, line_dedup, quality, queries
-from srcframe.llm.common import load, written
+from srcframe.llm.common import load, trim_driver, written
 
 
 def _plain(docs: DataFrame) -> list[str]:
@@ -19,6 +19,7 @@ def _plain(docs: DataFrame) -> list[str]:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    trim_driver(spark)
     labels = load(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, labelled.held_out("doc_id", 5, 0))
     scored = quality.score(docs, model, keep=tuple(docs.columns))
@@ -28,6 +29,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later runs of repeated lines go; so does a document that had nothing else."""
+    trim_driver(spark)
     done = line_dedup.dedup(docs)
     lines, removed = map(F.col, line_dedup.result_names(docs))
     left = done.where((removed == 0) | (removed < lines))
@@ -36,16 +38,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked as near copies the one with the smallest id stays."""
+    trim_driver(spark)
     return jaccard_join.one_of_each(docs).select(*_plain(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    trim_driver(spark)
     return decontaminate.clean(docs, load(spark, sf_dir, "benchmark")).select(*_plain(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them."""
+    trim_driver(spark)
     return queries.bpe_digest(docs)
 
 
