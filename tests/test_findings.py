@@ -1,25 +1,35 @@
+import random
+
 import pytest
 
 from srcframe.operators import deps, findings, secrets
 
-REQUIREMENTS = [
-    ("flask==3.0\nclick", ["flask", "click"]),
-    ("attrs>=23\njinja2~=3.1\nrich!=1", ["attrs", "jinja2", "rich"]),
-    ("\t orjson \n   httpx\t", ["orjson", "httpx"]),
-    ("anyio\n \n\nsniffio\n", ["anyio", "sniffio"]),
-    ("msgpack # fast\nlz4  #", ["msgpack", "lz4"]),
-    ("# nothing yet\n#", None),
-    ("\n\n  # later\n", None),
-    ("", None),
-    ("uvicorn[standard]>=1\n-r more.txt\na#b\nc # d\n!x\n==y", ["uvicorn[standard]", "-r", "a#b", "c"]),
-]
+def requirement_file(rng):
+    """Lines put together from known parts, and the names that they declare."""
+    lines, names = [], []
+    for _ in range(rng.randint(0, 9)):
+        name = "".join(rng.choices("abcxyz0._-", k=rng.randint(1, 8)))
+        kind = rng.randrange(6)
+        if kind == 0:
+            lines.append(rng.choice(["", "  ", "\t", "# " + name, "   #" + name]))
+            continue
+        extra = rng.choice(["", "[" + name + "]", "#" + name, ";"])  # part of the name
+        after = rng.choice(["", "=1", "<2", ">=3,<4", "~=5", "!=6", " # note", "  #", " == 7"])
+        lines.append(rng.choice(["", " ", "\t "]) + name + extra + after + rng.choice(["", " ", "\t"]))
+        hash_at = 1 + len(name) if extra.startswith("#") else 0
+        # a hash after a letter, a digit or an underscore belongs to the name
+        names.append(name if hash_at and not (name[-1].isalnum() or name[-1] == "_") else name + extra)
+    return "\n".join(lines), names
 
 
 def test_requirements(make_files):
-    files = make_files([(str(i), "requirements.txt", text) for i, (text, _) in enumerate(REQUIREMENTS)]
-                       + [("nested", "sub/requirements.txt", "x")])
+    rng = random.Random(12)
+    made = [requirement_file(rng) for _ in range(120)]
+    files = make_files([(str(i), "requirements.txt", text) for i, (text, _) in enumerate(made)] + [("nested", "sub/requirements.txt", "x")])
     got = {r.repo: r.deps for r in deps.dependency_lists(files).collect()}
-    assert got == {str(i): want for i, (_, want) in enumerate(REQUIREMENTS) if want}
+    assert got == {str(i): names for i, (_, names) in enumerate(made) if names}
+    odd = make_files({"requirements.txt": "-r more.txt\n!x\n==y\n"})
+    assert [r.deps for r in deps.dependency_lists(odd).collect()] == [["-r"]]
 
 
 def test_manifests(make_files):
