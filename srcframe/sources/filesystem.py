@@ -1,145 +1,169 @@
 """Reading real directories.
 
-Spark's own file sources skip names that start with a dot or an underscore, so the
-listing is a Python data source. Listing and reading are separate steps: the listing
-holds no bytes, is spread evenly by size, and only then are the files opened.
+Spark's own file sources skip names that start with a dot or an underscore, so directories
+are walked here, in rounds: a frontier of unopened directories is spread over tasks, each of
+which opens some of its share and leaves the rest to the next round. Listing and reading are
+separate steps: the listing holds no bytes, and only then are the files opened.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping, Sequence
+from collections import deque
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from srcframe.constants import DEFAULT_IGNORED_DIRS
 from srcframe.functions.decode import decode_text
 from srcframe.schemas import RAW_FILES
+from srcframe.session import materialize
 from srcframe.sources.tables import files_from_table
 
-FORMAT = "srcframe_files"
-
-
-class _Subtree(InputPartition):
-    """Directories to walk, and directories whose own files are listed only."""
-
-    def __init__(self, walk, shallow):
-        self.walk = walk
-        self.shallow = shallow
-
-
-class _ListingReader(DataSourceReader):
-    def __init__(self, options):
-        self.roots = [tuple(x.split("\t", 1)) for x in options["roots"].split("\n") if x]
-        self.skip_dirs = set(filter(None, options.get("skip_dirs", "").split("\n")))
-        self.hidden = options.get("enter_hidden", "false") == "true"
-        self.wanted = int(options.get("partitions", "64"))
-
-    def _enter(self, name):
-        return name not in self.skip_dirs and (self.hidden or not name.startswith("."))
-
-    def _children(self, folder):
-        try:
-            with os.scandir(folder) as found:
-                return list(found)
-        except OSError:
-            return []
-
-    def partitions(self):
-        """Open directories level by level until there are enough parts to share out."""
-        for _, root in self.roots:
-            if not os.path.exists(root):
-                raise FileNotFoundError(root)
-            if not os.path.isdir(root):
-                raise NotADirectoryError(root)
-        frontier = [(repo, root, root) for repo, root in self.roots]
-        opened = []
-        # The walk of the driver ends after a bounded number of directories.
-        while frontier and len(frontier) < self.wanted and len(opened) < self.wanted * 8:
-            below = []
-            for repo, root, folder in frontier:
-                opened.append((repo, root, folder))
-                below += [
-                    (repo, root, e.path) for e in self._children(folder)
-                    if e.is_dir(follow_symlinks=False) and self._enter(e.name)
-                ]
-            frontier = below
-        size = max(1, -(-len(opened) // self.wanted))
-        deep = max(1, -(-len(frontier) // self.wanted))
-        parts = [_Subtree(frontier[i:i + deep], []) for i in range(0, len(frontier), deep)]
-        parts += [_Subtree([], opened[i:i + size]) for i in range(0, len(opened), size)]
-        return parts or [_Subtree([], [])]
-
-    def _list(self, repo, root, folder, deep):
-        for entry in self._children(folder):
-            rel = os.path.relpath(entry.path, root).replace(os.sep, "/")
-            if entry.is_dir(follow_symlinks=False):
-                if not self._enter(entry.name):
+# Directories that a task opens in the first round, and by how much that grows: small shares
+# first, so that a tree that hangs on few directories is soon known to all tasks.
+FIRST_SHARE, GROWTH, MOST_SHARE = 64, 8, 32_768
+# Rows of a listing that a task hands on together.
+LISTED_ROWS = 1_024
+# Systems take paths up to some 4,096 bytes; longer ones are opened step by step.
+PATH_STEP = 2_048
+
+# A frontier row: a directory that is known and not yet opened; the root has the path "".
+_WALKED = T.StructType([*RAW_FILES.fields, T.StructField("root", T.StringType()), T.StructField("unopened", T.BooleanType())])
+
+
+def _open(location: str, flags: int) -> int:
+    """A descriptor of ``location``, whatever the length of the path."""
+    if len(os.fsencode(location)) <= PATH_STEP:
+        return os.open(location, flags)
+    at, step = None, "/" if location.startswith("/") else "."
+    names = deque(n for n in location.split("/") if n)
+    try:
+        while True:
+            while names and len(os.fsencode(step)) + len(os.fsencode(names[0])) < PATH_STEP:
+                step = os.path.join(step, names.popleft())
+            found = os.open(step, (os.O_RDONLY | os.O_DIRECTORY) if names else flags, dir_fd=at)
+            if at is not None:
+                os.close(at)
+            at = found
+            if not names:
+                at = None
+                return found
+            step = names.popleft()
+    finally:
+        if at is not None:
+            os.close(at)
+
+
+def _entries(location: str, is_root: bool) -> Iterator[tuple[str, int, bool, bool]]:
+    """(name, size, is a link, is a directory) of a directory; nothing where it can't be read."""
+    if is_root:
+        if not os.path.exists(location):
+            raise FileNotFoundError(location)
+        if not os.path.isdir(location):
+            raise NotADirectoryError(location)
+    try:
+        opened = _open(location, os.O_RDONLY | os.O_DIRECTORY)
+    except OSError:
+        return
+    try:
+        with os.scandir(opened) as found:
+            for entry in found:
+                try:
+                    entry.name.encode()
+                    if entry.is_dir(follow_symlinks=False):
+                        yield entry.name, 0, False, True
+                    elif entry.is_symlink() or entry.is_file(follow_symlinks=False):
+                        yield entry.name, entry.stat(follow_symlinks=False).st_size, entry.is_symlink(), False
+                except (OSError, UnicodeEncodeError):
                     continue
-                yield (repo, rel, 0, False, True, entry.path)
-                if deep:
-                    yield from self._list(repo, root, entry.path, True)
-                continue
-            link = entry.is_symlink()
-            try:
-                size = entry.stat(follow_symlinks=False).st_size
-            except OSError:
-                continue
-            if link or entry.is_file(follow_symlinks=False):
-                yield (repo, rel, size, link, False, entry.path)
-
-    def read(self, partition):
-        for item in partition.walk:
-            yield from self._list(*item, deep=True)
-        for item in partition.shallow:
-            yield from self._list(*item, deep=False)
-
-
-class FileListing(DataSource):
-    """One row per file, link and directory below the roots."""
-
-    @classmethod
-    def name(cls):
-        return FORMAT
-
-    def schema(self):
-        return RAW_FILES
+    except OSError:
+        return
+    finally:
+        os.close(opened)
+
+
+def _walk(share: int, skip_dirs: frozenset[str], hidden: bool):
+    """The function of one round: rows of what is listed, and of directories left unopened."""
+    def opened(repo, root, first):
+        """Breadth first, at most ``share`` directories by all calls of a task."""
+        nonlocal left
+        waiting = deque([first])
+        while waiting and left > 0:
+            left -= 1
+            folder = waiting.popleft()
+            for name, size, link, is_dir in _entries(f"{root}/{folder}" if folder else root, not folder):
+                if is_dir and (name in skip_dirs or not hidden and name.startswith(".")):
+                    continue
+                path = f"{folder}/{name}" if folder else name
+                yield repo, path, size, link, is_dir, f"{root}/{path}", root, False
+                if is_dir:
+                    waiting.append(path)
+        for path in waiting:
+            yield repo, path, 0, False, True, f"{root}/{path}", root, True
+
+    left = share
+
+    def run(batches):
+        nonlocal left
+        left = share
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(_WALKED)
+        rows = []
+        for batch in batches:
+            for repo, root, path in zip(*[batch.column(c).to_pylist() for c in ("repo", "root", "path")]):
+                for row in opened(repo, root, path):
+                    rows.append(dict(zip(schema.names, row)))
+                    if len(rows) >= LISTED_ROWS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    def reader(self, schema):
-        return _ListingReader(self.options)
+    return run
 
 
 def list_repos(
     spark: SparkSession,
-    roots: Sequence[str] | Mapping[str, str],
+    roots: Sequence[str] | Mapping[str, str] | DataFrame,
     enter_hidden: bool = True,
     skip_dirs: Sequence[str] = DEFAULT_IGNORED_DIRS,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Listing of ``roots`` (paths, or repository name to path); no file is opened.
+    """Listing of ``roots`` (paths, repository name to path, or a table (repo, root)); no file is opened.
 
     ``enter_hidden`` is about directories; hidden files are always listed, as rule files
-    are among them. A missing root is an error, as is a root that is no directory.
-    Roots must be visible to all executors (a shared mount).
+    are among them. A missing root is an error, as is a root that is no directory; both are
+    found in tasks. Directories and files that can't be read, and names that are no UTF-8, are
+    left out. Roots must be visible to all executors (a shared mount).
+
+    The walk takes place here, in rounds of growing shares (up to ``MOST_SHARE`` directories a
+    task), so there are few of them for a deep chain as for a wide tree. Every round is stored.
+    One directory is listed by one task, row after row.
     """
-    pairs = roots.items() if isinstance(roots, Mapping) else (
-        (os.path.basename(os.path.abspath(r)), r) for r in roots
-    )
-    pairs = list(pairs)
-    names = [repo for repo, _ in pairs]
-    if len(set(names)) < len(names):
-        raise ValueError("two roots have the same name; give the names as a mapping")
-    named = [f"{repo}\t{os.path.abspath(root)}" for repo, root in pairs]
-    spark.dataSource.register(FileListing)
-    return (
-        spark.read.format(FORMAT)
-        .option("roots", "\n".join(named))
-        .option("skip_dirs", "\n".join(skip_dirs))
-        .option("enter_hidden", str(enter_hidden).lower())
-        .option("partitions", str(partitions or spark.sparkContext.defaultParallelism * 4))
-        .load()
-    )
+    if isinstance(roots, DataFrame):
+        known = roots.select(F.col("repo").cast("string"), F.col("root").cast("string"))
+        if not known.groupBy("repo").count().where("count > 1").isEmpty():
+            raise ValueError("two roots have the same name")
+    else:
+        pairs = list(roots.items()) if isinstance(roots, Mapping) else [
+            (os.path.basename(os.path.abspath(r)), r) for r in roots]
+        if len({repo for repo, _ in pairs}) < len(pairs):
+            raise ValueError("two roots have the same name; give the names as a mapping")
+        known = spark.createDataFrame([(repo, os.path.abspath(root)) for repo, root in pairs], "repo string, root string")
+    count = partitions or spark.sparkContext.defaultParallelism * 4
+    frontier, share = known.withColumn("path", F.lit("")), FIRST_SHARE
+    listed = spark.createDataFrame([], RAW_FILES)
+    while True:
+        work = _walk(share, frozenset(skip_dirs), enter_hidden)
+        # an even spread, also of a frontier that hangs below one directory
+        found = materialize(frontier.select("repo", "root", "path").repartition(count).mapInArrow(work, _WALKED))
+        listed = listed.unionByName(found.where(~F.col("unopened")).select(*RAW_FILES.names))
+        frontier, share = found.where("unopened"), min(share * GROWTH, MOST_SHARE)
+        if frontier.isEmpty():
+            return listed
 
 
 # A batch of files is handed on once it holds this many bytes.
@@ -157,7 +181,7 @@ def _read_batches(batches):
         first, held, rows = 0, 0, []
         for location in batch.column("location").to_pylist():
             try:
-                with open(location, "rb") as handle:
+                with os.fdopen(_open(location, os.O_RDONLY), "rb") as handle:
                     rows.append(handle.read())
                 held += len(rows[-1])
             except (OSError, TypeError):
@@ -169,16 +193,20 @@ def _read_batches(batches):
             yield made(batch, first, rows)
 
 
-def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The files of a listing with their texts; links and unreadable files are left out."""
+def read_bytes(listing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The files of a listing with their ``bytes``; links and unreadable files are left out."""
     spark = listing.sparkSession
     wanted = listing.where(~F.col("is_symlink") & ~F.col("is_dir"))
     count = partitions or spark.sparkContext.defaultParallelism * 4
     spread = wanted.repartition(count, F.xxhash64("repo", "path"))
     schema = T.StructType([*spread.schema.fields, T.StructField("bytes", T.BinaryType())])
-    read = spread.mapInArrow(_read_batches, schema).where(F.col("bytes").isNotNull())
+    return spread.mapInArrow(_read_batches, schema).where(F.col("bytes").isNotNull())
+
+
+def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The files of a listing with their texts; links and unreadable files are left out."""
     return files_from_table(
-        read, content=decode_text(F.col("bytes")), disk_size="disk_size", is_symlink="is_symlink"
+        read_bytes(listing, partitions), content=decode_text(F.col("bytes")), disk_size="disk_size", is_symlink="is_symlink"
     )
 
 

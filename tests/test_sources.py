@@ -2,6 +2,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from srcframe.operators import report
 from srcframe.plans import jobs
@@ -49,6 +50,38 @@ def test_bad_roots(spark, root):
         filesystem.list_repos(spark, [root + "/bad.txt"]).collect()
 
 
+def test_a_deep_chain_is_walked_in_few_rounds(spark, tmp_path, monkeypatch):
+    depth, at = 3_000, os.open(tmp_path, os.O_RDONLY)  # paths of 6,000 bytes, more than a system call takes
+    for _ in range(depth):
+        os.mkdir("d", dir_fd=at)
+        below = os.open("d", os.O_RDONLY, dir_fd=at)
+        os.close(at)
+        at = below
+    with os.fdopen(os.open("last.py", os.O_WRONLY | os.O_CREAT, dir_fd=at), "w") as handle:
+        handle.write("x = 1\n")
+    os.close(at)
+    rounds, stored = [], filesystem.materialize
+    monkeypatch.setattr(filesystem, "materialize", lambda df: rounds.append(1) or stored(df))
+    listing = filesystem.list_repos(spark, {"deep": str(tmp_path)}, partitions=2)
+    assert listing.where("is_dir").count() == depth and len(rounds) == 3
+    (read,) = filesystem.read_contents(listing, 2).select("content", F.length("path").alias("n")).collect()
+    assert read.content == "x = 1\n" and read.n == 2 * depth + len("last.py")
+
+
+def test_many_roots_in_a_table(spark, tmp_path, monkeypatch):
+    for i in range(600):
+        (tmp_path / f"r{i}" / "a" / "b").mkdir(parents=True)
+        (tmp_path / f"r{i}" / "a" / "b" / "x.py").write_text("")
+    roots = spark.range(600).select(
+        F.format_string("n%d", "id").alias("repo"), F.format_string(f"{tmp_path}/r%d", "id").alias("root"))
+    monkeypatch.setattr(filesystem, "FIRST_SHARE", 7)  # less than a task's share of the roots
+    listing = filesystem.list_repos(spark, roots, partitions=4)
+    assert listing.where("path = 'a/b/x.py' and not is_dir").select("repo").distinct().count() == 600
+    assert listing.count() == 1800
+    with pytest.raises(ValueError):
+        filesystem.list_repos(spark, roots.union(roots.limit(1)))
+
+
 def test_scan_job(spark, root, tmp_path):
     files = filesystem.scan_repos(spark, [root])
     dirs = filesystem.list_repos(spark, [root], enter_hidden=False).where("is_dir").select("repo", "path")
