@@ -452,10 +452,9 @@ class Tree:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, frequent, key: str, text: str, settings: Settings) -> DataFrame:
     """The links among ``pairs (u, v)``, tested on the sets with a prefix tree.
 
-    The pairs of a ``u`` are dealt into blocks, and each block gets the set of ``u``. Sets
+    The pairs, a stored table, are dealt into blocks of a ``u``, and each block gets the set of ``u``. Sets
     are made again from the texts of the nodes in question, one text for each node.
     """
-    pairs = stored(pairs)
     blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / settings.block).alias("blocks"))
     dealt = pairs.join(blocks, "u").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
     places = stored(
@@ -503,13 +502,20 @@ def classes(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     entries = made.where("not is_doc").select("token", "node", "at", "n", "size")
 
     def links(pairs: DataFrame) -> DataFrame:
-        return verified(able(pairs, entries, nodes, settings.percent), nodes, docs, frequent, key, text, settings)
+        # each step leaves its plans and lists of tasks in the driver
+        trim_driver(docs.sparkSession)
+        pairs = stored(able(pairs, entries, nodes, settings.percent))
+        trim_driver(docs.sparkSession)
+        found = stored(verified(pairs, nodes, docs, frequent, key, text, settings))
+        trim_driver(docs.sparkSession)
+        return found
 
-    first = stored(links(star_pairs(entries, settings.percent)))
+    first = links(star_pairs(entries, settings.percent))
     labels = stored(components(first))
-    trim_driver(docs.sparkSession)  # plans of the first round
     second = links(cross_pairs(entries, labels, settings.percent))
+    frequent.unpersist()
     labels = components(first.union(second))
+    trim_driver(docs.sparkSession)
     named = known.select("key", "n", "node", "hash").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named)
     full = named.where((F.col("n") > 0) & F.col("key").isNotNull())
