@@ -519,11 +519,13 @@ def classes(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id
     named = known.select("key", "n", "node", "hash").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named)
     full = named.where((F.col("n") > 0) & F.col("key").isNotNull())
-    least = full.groupBy("label").agg(F.min("key").alias("component_id"))
-    joined = named.join(stored(least), "label", "left")
+    # a component of a single row has that row's key, so few rows are stored and met
+    least = stored(full.groupBy("label").agg(F.min("key").alias("component_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    joined = named.join(broadcast_if_small(least), "label", "left")
+    grouped = (F.col("n") > 0) & F.col("key").isNotNull() & F.col("component_id").isNotNull()
     return joined.select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
-        F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
+        F.when(grouped, F.col("component_id")).otherwise(F.col("key")).alias("component_id"),
         F.col("node").alias("copies_of"), F.col("hash").alias("text_hash"))
 
 
@@ -536,10 +538,11 @@ def one_of_each(docs: DataFrame, settings: Settings = Settings(), key: str = "do
     grouped = found.where(F.col(f"`{key}`").isNotNull() & (F.col("n_shingles") > 0)).select(
         F.col(f"`{key}`").alias("_key"), F.col("text_hash").alias("_hash"), "component_id")
     grouped = stored(grouped)
-    first = stored(grouped.groupBy("component_id").agg(F.min(F.struct("_key", "_hash")).alias("_first")))
-    row = F.struct("_key", "_hash")
+    first = grouped.groupBy("component_id").agg(F.min(F.struct("_key", "_hash")).alias("_first"), F.count("*").alias("_n"))
     # a component of a single row has nothing to drop, so narrow rows meet few
-    gone = stored(grouped.join(first, "component_id").where(row != F.col("_first")).select("_key", "_hash").distinct())
+    first = stored(first.where("_n > 1").drop("_n"))
+    row = F.struct("_key", "_hash")
+    gone = stored(grouped.join(broadcast_if_small(first), "component_id").where(row != F.col("_first")).select("_key", "_hash").distinct())
     # names of the lists that the table has not
     names = own_name(docs, "_key"), own_name(docs, "_hash")
     is_row = (F.col(f"`{key}`").cast("bigint") == F.col(names[0])) & (text_hash(f"`{text}`") == F.col(names[1]))
