@@ -213,6 +213,40 @@ def format_pack(
     raise ValueError(f"unknown format: {fmt}")
 
 
+def document_digests(texts: DataFrame, marker: str = GENERATED_MARKER) -> DataFrame:
+    """(repo, digest, chars): MD5 and length of each repository's whole raw document.
+
+    A digest runs over the bytes in their order, so the blocks of a repository are sorted and
+    stream through one task; neither a row nor the task's memory holds a document.
+    """
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        def ended():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([repo], pa.string()), pa.array([digest.hexdigest()], pa.string()), pa.array([chars], pa.int64())],
+                names=["repo", "digest", "chars"])
+
+        repo = digest = chars = None
+        for batch in batches:
+            for name, block in zip(batch.column("repo"), batch.column("block")):
+                name, text = name.as_py(), block.as_py()
+                if digest is None or name != repo:
+                    if digest is not None:
+                        yield ended()
+                    repo, digest, chars = name, hashlib.md5(f"{marker}\n".encode()), len(marker) + 1
+                digest.update(b"\n")
+                digest.update(text.encode("utf-8", "surrogatepass"))
+                chars += 1 + len(text)
+        if digest is not None:
+            yield ended()
+
+    ordered = pack_blocks(texts).repartition("repo").sortWithinPartitions("repo", "pick_order")
+    return ordered.select("repo", "block").mapInArrow(run, "repo string, digest string, chars bigint")
+
+
 def pack_stats(
     texts: DataFrame, method="pieces", marker: str = GENERATED_MARKER, repos: DataFrame | None = None
 ) -> DataFrame:

@@ -127,3 +127,18 @@ def test_documents(make_files):
     stats = pack.pack_stats(texts).first()
     assert stats.files_selected == 2
     assert pack.pack_stats(texts, "chars4").first().final_token_count == -(-len(want) // 4)
+
+
+def test_whole_documents_are_digested(spark, make_files):
+    import hashlib
+
+    rows = [(repo, f"{i}.txt", f"text {i} of {repo}\n\u00e9\U0001f600" * (i + 1)) for repo in ("a", "b", "c") for i in range(7)]
+    files = make_files(rows)
+    texts = pack.selected_texts(pack.select_under_budget(pack.pack_candidates(pack.pack_inputs(files))), files)
+    documents = {}
+    for r in pack.format_pack(texts).orderBy("repo", "key").collect():
+        documents[r.repo] = f"{documents[r.repo]}\n{r.text}" if r.repo in documents else r.text
+    want = {repo: (hashlib.md5(d.encode()).hexdigest(), len(d)) for repo, d in documents.items()}
+    found = pack.document_digests(texts.repartition(5))
+    assert {r.repo: (r.digest, r.chars) for r in found.collect()} == want and len(want) == 3
+    assert pack.document_digests(texts.where("repo = 'none'")).count() == 0

@@ -286,13 +286,16 @@ def _digested(pieces):
         "repo", "key", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.length("text").cast("bigint").alias("chars"))
 
 
-@query("pack_documents", SELECTED + " " + _PIECES.format(pieces=f"""
+@query("pack_documents", PACKED + " " + _PIECES.format(pieces=f"""
   select p.repo, '1' || lpad(cast(pick_order as varchar), 12, '0') as key,
     '{_RULE}' || chr(10) || 'FILE: ' || p.path || chr(10) || '{_RULE}' || chr(10) || f.content || chr(10) as text
   from picked p join files f on f.repo = p.repo and f.path = p.path
-  union all select distinct repo, '0', '{GENERATED_MARKER}' || chr(10) from picked"""))
+  union all select distinct repo, '0', '{GENERATED_MARKER}' || chr(10) from picked
+  union all select repo, 'whole', document from documents_raw"""))
 def _(c):
-    return _digested(pack.format_pack(_selected(c), "raw"))
+    texts = _selected(c)
+    whole = pack.document_digests(texts).select("repo", F.lit("whole").alias("key"), "digest", "chars")
+    return _digested(pack.format_pack(texts, "raw")).unionByName(whole)
 
 
 @query("pack_json", SELECTED + """ select repo, key, path, md5(content) as digest, length(content) as chars from (
