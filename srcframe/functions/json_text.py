@@ -15,9 +15,13 @@ def one_object(text: Column, schema: T.StructType) -> Column:
     """
     marked = T.StructType([*schema.fields, T.StructField(_END, T.BooleanType())])
     held = F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{_END}":true}}]')), T.ArrayType(marked), {"allowSingleQuotes": "false"})
-    first, last = F.get(held, F.lit(0)), F.get(held, F.lit(1))
-    whole = (F.size(held) == 2) & first.isNotNull() & F.coalesce(last[_END], F.lit(False))
-    return F.when(whole, first)
+
+    def whole(both):
+        first, last = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+        return F.when((F.size(both) == 2) & first.isNotNull() & F.coalesce(last[_END], F.lit(False)), first)
+
+    # Bound by a lambda: a generator, unlike a projection, would parse again at every mention.
+    return F.get(F.transform(F.array(held), whole), F.lit(0))
 
 
 def is_one_object(text: Column) -> Column:
