@@ -203,6 +203,69 @@ def read_bytes(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     return spread.mapInArrow(_read_batches, schema).where(F.col("bytes").isNotNull())
 
 
+# Rows of a Parquet file that are decoded together hold about this many bytes, and are no more than this.
+DECODED_BYTES, DECODED_ROWS = 8 << 20, 65_536
+
+
+def _opened(location):
+    """The file, or nothing where it can't be read."""
+    try:
+        return os.fdopen(_open(location, os.O_RDONLY), "rb")
+    except (OSError, TypeError):
+        return None
+
+
+def _row_groups(batches):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        for repo, path, location in zip(*[batch.column(c).to_pylist() for c in ("repo", "path", "location")]):
+            handle = _opened(location)
+            if handle is None:
+                continue
+            with handle:
+                # a file without any has a row, too
+                groups = max(1, pq.ParquetFile(handle).metadata.num_row_groups)
+            yield pa.RecordBatch.from_pydict({
+                "repo": [repo] * groups, "path": [path] * groups, "location": [location] * groups, "group": pa.array(range(groups), pa.int32())})
+
+
+def _read_rows(batches):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def rows(handle, group):
+        file = pq.ParquetFile(handle, buffer_size=1 << 20, pre_buffer=False)
+        if group >= file.metadata.num_row_groups:
+            return 0
+        held = file.metadata.row_group(group)
+        size = DECODED_BYTES * held.num_rows // max(1, held.total_byte_size)
+        return sum(b.num_rows for b in file.iter_batches(min(max(1, size), DECODED_ROWS), row_groups=[group], use_threads=False))
+
+    for batch in batches:
+        for repo, path, location, group in zip(*[c.to_pylist() for c in batch.columns]):
+            handle = _opened(location)
+            if handle is None:
+                continue
+            with handle:
+                yield pa.RecordBatch.from_pydict({"repo": [repo], "path": [path], "n_rows": pa.array([rows(handle, group)], pa.int64())})
+
+
+def parquet_rows(listing: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(repo, path, n_rows) of the Parquet files of a listing; links and unreadable files are left out.
+
+    All columns are read and their rows counted, a row group in a task and some rows of it at a
+    time; so no task holds a file, whatever its size.
+    """
+    count = partitions or listing.sparkSession.sparkContext.defaultParallelism * 4
+    wanted = listing.where(~F.col("is_symlink") & ~F.col("is_dir")).select("repo", "path", "location")
+    groups = wanted.repartition(count, F.xxhash64("repo", "path")).mapInArrow(
+        _row_groups, "repo string, path string, location string, group int")
+    read = groups.repartition(count, F.xxhash64("location", "group")).mapInArrow(_read_rows, "repo string, path string, n_rows bigint")
+    return read.groupBy("repo", "path").agg(F.sum("n_rows").alias("n_rows"))
+
+
 def read_contents(listing: DataFrame, partitions: int | None = None) -> DataFrame:
     """The files of a listing with their texts; links and unreadable files are left out."""
     return files_from_table(

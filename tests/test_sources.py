@@ -268,3 +268,19 @@ def test_a_large_text_is_written_by_many_tasks_in_order(spark, make_files, tmp_p
     lines = written.split("\n")
     for _, path, text in rows[:400]:
         assert lines[ranges[path].output_first_line - 1] == text
+
+
+def test_rows_of_parquet_files_without_whole_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    made = pa.table({"n": range(700), "text": ["t" * (i % 90) for i in range(700)]})
+    (tmp_path / "many").mkdir()
+    pq.write_table(made, tmp_path / "many" / "a.parquet", row_group_size=100)
+    pq.write_table(made.slice(0, 0), tmp_path / "none.parquet")
+    pq.write_table(made, tmp_path / "one.parquet")
+    (tmp_path / "link.parquet").symlink_to(tmp_path / "one.parquet")
+    listing = filesystem.list_repos(spark, {"r": str(tmp_path)})
+    found = filesystem.parquet_rows(listing)
+    assert {r.path: r.n_rows for r in found.collect()} == {"many/a.parquet": 700, "none.parquet": 0, "one.parquet": 700}
+    assert "bytes" not in found._jdf.queryExecution().optimizedPlan().toString()
