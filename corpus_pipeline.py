@@ -2,7 +2,8 @@
 
 Each stage takes what its predecessor kept and returns the columns of ``documents``, the
 last one the digests of the encoded texts. Between stages the rows are written as Parquet
-and read again, so a lost executor repeats one stage at most.
+and read again, so a lost executor repeats one stage at most. Texts go to Python in small
+Arrow batches, as an executor's heap has grown to its bound in earlier stages.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from srcframe.llm import decontaminate, jaccard_join, labelled, line_dedup, quality, queries
-from srcframe.llm.common import load, trim_driver, written
+from srcframe.llm.common import batches_within, load, trim_driver, written
 
 
 def _plain(docs: DataFrame) -> list[str]:
@@ -20,6 +21,7 @@ def _plain(docs: DataFrame) -> list[str]:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     trim_driver(spark)
+    batches_within(spark)
     labels = load(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, labelled.held_out("doc_id", 5, 0))
     scored = quality.score(docs, model, keep=tuple(docs.columns))
@@ -51,6 +53,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the text decoded from them."""
     trim_driver(spark)
+    batches_within(spark)
     return queries.bpe_digest(docs)
 
 

@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from srcframe.llm.common import map_texts, per_worker
 from srcframe.llm.words import WordTable
 
-# Words, and states of the transducer, that a task remembers; a full table starts anew.
+# Words, pairs of tokens, and states of the transducer that a task remembers; a full table starts anew.
 REMEMBERED = 400_000
+REMEMBERED_PAIRS = 100_000
 REMEMBERED_STATES = 80_000
 LOOK_BACK = 4096
 CHUNK_CHARS = 1 << 20
@@ -38,14 +39,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def token_table(path: str) -> list[bytes]:
-    ranks = read_ranks(path)
+def tokens_of(ranks: dict[bytes, int]) -> list[bytes]:
     table = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         table[rank] = token
     return table
 
 
+def token_table(path: str) -> list[bytes]:
+    return tokens_of(read_ranks(path))
+
+
 def merge_plainly(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The merges by their definition, but for the one that joins the last two parts."""
     parts = [word[i:i + 1] for i in range(len(word))]
@@ -63,12 +67,18 @@ class Transducer:
     A state is the list of growing tokens, each as (node of the vocabulary's tree, token
     before it). Reading a byte tells which token ends there if the text stops there. Going
     back over these from the growing tokens gives the tokens that are settled.
+
+    There may be a hundred thousand states and steps in each worker, so both are packed: a
+    growing token is ``node << 24 | token before it + 1``, a state the bytes of these, and
+    a step ``state << 24 | token that ends``.
     """
 
+    NONE = (1 << 24) - 1
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {rank: token for token, rank in ranks.items()}
-        self.length = {rank: len(token) for token, rank in ranks.items()}
+        self.token = tokens_of(ranks)
+        self.longest = max(map(len, self.token))
         self.child: dict[int, int] = {}  # node * 256 + byte: node
         self.end: list[int] = [-1]
         for token, rank in ranks.items():
@@ -80,16 +90,20 @@ class Transducer:
                     self.child[step] = node = len(self.end)
                     self.end.append(-1)
             self.end[node] = rank
-        self.inner = {step >> 8 for step in self.child}
+        self.inner = bytearray(len(self.end))  # whether a token may go on from a node
+        for step in self.child:
+            self.inner[step >> 8] = 1
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.neighbours: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        first = ((0, -1),)
+        import struct
+
+        first = struct.pack("<q", 0)
         self.numbers = {first: 0}
         self.states = [first]
-        self.steps: dict[int, tuple[int, int]] = {}  # state * 256 + byte: (state, token that ends)
+        self.steps: dict[int, int] = {}  # state * 256 + byte: state and token that ends
 
     def _split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge made this one; none for a single byte."""
@@ -122,38 +136,40 @@ class Transducer:
                 until, right = right + 1, of_right[0]
             else:
                 break
-        if len(self.neighbours) > REMEMBERED:
+        if len(self.neighbours) >= REMEMBERED_PAIRS:
             self.neighbours.clear()
         self.neighbours[key] = known
         return known
 
-    def _step(self, step: int) -> tuple[int, int]:
-        entries, ends, byte = [], -1, step & 255
-        for node, last in self.states[step >> 8]:
-            node = self.child.get(node << 8 | byte)
+    def _step(self, step: int) -> int:
+        import struct
+
+        entries, ends, byte, state = [], -1, step & 255, self.states[step >> 8]
+        for entry in struct.unpack(f"<{len(state) // 8}q", state):
+            node, last = self.child.get(entry >> 24 << 8 | byte), (entry & self.NONE) - 1
             if node is None:
                 continue
             token = self.end[node]
             if ends < 0 <= token and (last < 0 or self._allowed(last, token)):
                 ends = token
-            if node in self.inner:
-                entries.append((node, last))
+            if self.inner[node]:
+                entries.append(node << 24 | last + 1)
         if ends < 0:
             raise ValueError("the vocabulary has no token for a byte")
-        entries.append((0, ends))
-        key = tuple(entries)
+        entries.append(ends + 1)
+        key = struct.pack(f"<{len(entries)}q", *entries)
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-        found = self.steps[step] = number, ends
+        found = self.steps[step] = number << 24 | ends
         return found
 
     def _back(self, ends: list[int], at: int, start: int) -> list[int]:
         tokens = []
         while at > start:
             tokens.append(ends[at - 1])
-            at -= self.length[tokens[-1]]
+            at -= len(self.token[tokens[-1]])
         tokens.reverse()
         return tokens
 
@@ -161,27 +177,28 @@ class Transducer:
         """Ids of a word; of a very long one the settled tokens leave every few thousand bytes."""
         if len(self.states) > REMEMBERED_STATES:
             self._forget()
-        state, ends, steps, out = 0, [], self.steps, []
+        state, ends, steps, out, none = 0, [], self.steps, [], self.NONE
         for byte in word:
             step = state << 8 | byte
             found = steps.get(step)
-            state, token = found if found is not None else self._step(step)
-            ends.append(token)
+            if found is None:
+                found = self._step(step)
+            state = found >> 24
+            ends.append(found & none)
             if len(ends) >= LOOK_BACK:
                 ends = self._emit(ends, out)
         return out + self._back(ends, len(ends), 0)
 
     def _emit(self, ends: list[int], out: list[int]) -> list[int]:
         """Emit what every continuation shares: no token can begin before the last ``longest`` bytes."""
-        longest = max(self.length.values())
-        ways = {tuple(self._back(ends, at, 0)) for at in range(len(ends) - longest, len(ends) + 1)}
+        ways = {tuple(self._back(ends, at, 0)) for at in range(len(ends) - self.longest, len(ends) + 1)}
         settled = 0
         shortest = min(map(len, ways))
         while settled < shortest and len({w[settled] for w in ways}) == 1:
             settled += 1
         sure = next(iter(ways))[:settled]
         out.extend(sure)
-        return ends[sum(self.length[t] for t in sure):]
+        return ends[sum(len(self.token[t]) for t in sure):]
 
 
 def chunks(text: str, cut) -> Iterator[str]:
@@ -313,7 +330,8 @@ def round_trip(
     def make():
         import numpy as np
 
-        encoder, tokens = per_worker(("bpe", path, pattern), lambda: (Encoder(read_ranks(path), pattern), token_table(path)))
+        encoder = per_worker(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
+        tokens = encoder.transducer.token
 
         def work(texts):
             ids = [encoder.packed(t) for t in texts]

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Texts are handed to a Python function in pieces of about this many bytes.
 PIECE_BYTES = 8 << 20
+# Those of map_texts: a piece is there as texts, as results and as Arrow values at once.
+MAPPED_BYTES = 1 << 20
+# Most bytes of an Arrow batch that batches_within lets Spark make.
+BATCH_BYTES = 8 << 20
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,7 +41,9 @@ def per_worker(key: tuple, make: Callable):
     held = vars(sys.modules.setdefault("_srcframe_worker", types.ModuleType("_srcframe_worker")))
     found = held.get("last", (None, None))
     if found[0] != key:
-        held.pop("last", None)
+        if held.pop("last", None):
+            found = None
+            trim_memory()
         found = held["last"] = key, make()
     return found[1]
 
@@ -68,6 +74,18 @@ def trim_driver(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def batches_within(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
+    """Let the session cut Arrow batches at ``limit`` bytes, where it has no smaller bound.
+
+    Spark's own is 64 MB and 10,000 rows: a task holds such a batch in the JVM, outside its
+    heap, and again in its Python worker. Rows and results stay the same.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    current = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "-1b"))
+    if not 0 < current <= limit:
+        spark.conf.set(name, f"{limit}b")
+
+
 def own_name(df, name: str) -> str:
     """A column name that ``df`` (or a list of names) does not have, whatever the case."""
     taken = {c.lower() for c in getattr(df, "columns", df)}
@@ -106,18 +124,23 @@ def map_texts(df: DataFrame, column: str, make: Callable[[], Callable], schema:
     narrow = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{column}`").alias("text"))
 
     def run(batches):
+        import itertools
+
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         shape = to_arrow_schema(out)
         work = make()
-        for whole in batches:
-            for batch in pieces(whole, "text"):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                columns = [batch.column(i).cast(shape.field(i).type) for i in range(len(keep))]
-                for values, field in zip(work(texts), list(shape)[len(keep):], strict=True):
-                    columns.append(pa.array(values, type=field.type))
-                yield pa.RecordBatch.from_arrays(columns, schema=shape)
+        def mapped(batch):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            columns = [batch.column(i).cast(shape.field(i).type) for i in range(len(keep))]
+            for values, field in zip(work(texts), list(shape)[len(keep):], strict=True):
+                columns.append(pa.array(values, type=field.type))
+            return pa.RecordBatch.from_arrays(columns, schema=shape)
+
+        # no name holds a batch while the next one is read
+        cut = map(lambda whole: pieces(whole, "text", MAPPED_BYTES), batches)
+        yield from map(mapped, itertools.chain.from_iterable(cut))
 
     return narrow.mapInArrow(run, out).toDF(*keep, *[f.name for f in added.fields])
 

@@ -7,7 +7,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from srcframe.llm import quality
+from srcframe.llm import common, quality
 from srcframe.llm.bpe_transducer import read_ranks
 from srcframe.llm.common import load
 from srcframe.llm.decontaminate import leaks
@@ -66,3 +66,40 @@ def test_stages_take_rows_with_odd_columns(spark):
         held = out.select(*[f"`{n}`" for n in names]).distinct().collect()
         assert [tuple(r) for r in held] == [tuple(f"own {n}" for n in names)]
     assert corpus_pipeline.STAGES[-1][1](spark, odd, FOLDER).count() == odd.count()
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """The stages with Python work bound an Arrow batch by its bytes, but keep a smaller bound of the user's."""
+    name, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = load(spark, FOLDER, "documents"), {k: spark.conf.get(k) for k in (name, rows)}
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]}, pa.schema([("n", pa.int64())]))
+
+    try:
+        spark.conf.set(rows, "10000")
+        for stage in (corpus_pipeline.keep_good, corpus_pipeline.encode):
+            spark.conf.set(name, f"{64 << 20}b")
+            stage(spark, docs, FOLDER)
+            texts = spark.range(0, 2400, 1, 1).select(F.expr("repeat(cast(id as string), 5000)").alias("text"))
+            found = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
+            assert max(found) < 2 * common.BATCH_BYTES and sum(found) > 4 * common.BATCH_BYTES
+            spark.conf.set(name, "1m")
+            stage(spark, docs, FOLDER)
+            assert spark.conf.get(name) == "1m"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_texts_are_mapped_in_small_pieces(spark):
+    texts = spark.range(0, 300, 1, 1).select("id", F.expr("repeat('0123456789', 2000)").alias("text"))
+
+    def make():
+        return lambda some: [[sum(map(len, some))] * len(some)]
+
+    rows = common.map_texts(texts, "text", make, "n bigint", ("id",)).collect()
+    assert [r.id for r in rows] == list(range(300)) and max(r.n for r in rows) < 2 << 20

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -40,6 +41,33 @@ def test_long_words_leave_the_transducer_early(library):
         assert transducer.encode(word.encode()) == library.encode_ordinary(word)
 
 
+def test_tables_of_a_worker_are_packed(library):
+    """Words that are all new fill the tables; what a word, its states and steps take is bounded."""
+    ranks, rng = bpe.read_ranks(RANKS), random.Random(7)
+    words = ["".join(rng.choices("aeioulnrstéèç", k=rng.randint(4, 12))) for _ in range(12_000)]
+    encoder = bpe.Encoder(ranks, P.PATTERN)
+    tracemalloc.start()
+    try:
+        for word in words:
+            assert np.frombuffer(encoder.known[word], "<u4").tolist() == library.encode_ordinary(word)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    transducer = encoder.transducer
+    assert len(transducer.states) > 2000 and len(transducer.neighbours) <= bpe.REMEMBERED_PAIRS
+    tables = len(words) * 250 + len(transducer.states) * 250 + len(transducer.steps) * 160 + len(transducer.neighbours) * 130
+    assert held < tables
+
+
+def test_pairs_start_anew_when_the_table_is_full(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_PAIRS", 50)
+    transducer, rng = bpe.Transducer(bpe.read_ranks(RANKS)), random.Random(8)
+    for _ in range(300):
+        word = "".join(rng.choices("aeinst", k=9))
+        assert transducer.encode(word.encode()) == library.encode_ordinary(word)
+        assert len(transducer.neighbours) <= 50
+
+
 def test_parts_of_a_long_text_give_the_same_words():
     words, text = bpe.Words(P.PATTERN), "one two  three\n\nfour's 5 " * 90_000
     assert sum(words.of(text), []) == words.all.findall(text)
