@@ -81,8 +81,8 @@ def batches_within(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
     heap, and again in its Python worker. Rows and results stay the same.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    current = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "-1b"))
-    if not 0 < current <= limit:
+    current = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if current > limit:
         spark.conf.set(name, f"{limit}b")
 
 

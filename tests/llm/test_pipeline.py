@@ -82,7 +82,7 @@ def test_texts_reach_python_in_small_batches(spark):
     try:
         spark.conf.set(rows, "10000")
         for stage in (corpus_pipeline.keep_good, corpus_pipeline.encode):
-            spark.conf.set(name, f"{64 << 20}b")
+            spark.conf.unset(name)
             stage(spark, docs, FOLDER)
             texts = spark.range(0, 2400, 1, 1).select(F.expr("repeat(cast(id as string), 5000)").alias("text"))
             found = [r.n for r in texts.mapInArrow(sizes, "n bigint").collect()]
