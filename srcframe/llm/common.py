@@ -12,10 +12,13 @@ PIECE_BYTES = 8 << 20
 MAPPED_BYTES = 1 << 20
 # Most bytes of an Arrow batch that batches_within lets Spark make.
 BATCH_BYTES = 8 << 20
+# A vectored read puts a whole row group into a buffer outside the heap, which stays with its thread, and from there
+# into the heap. Read as a stream it is in the heap only.
+STREAMED = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 
-def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+def load(spark: SparkSession, folder: str, table: str, **options: str) -> DataFrame:
+    return spark.read.options(**options).parquet(f"{folder}/{table}.parquet")
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from srcframe.llm import (
     blob_ledger, bpe_transducer, decontaminate, filter_audit, html_text, jaccard_join, line_dedup, maxscore, merkle_manifest,
     quality, suffix_dedup, token_counts, toxicity,
 )
-from srcframe.llm.common import load, shared_folder
+from srcframe.llm.common import STREAMED, load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -84,7 +84,7 @@ select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank
 
 @query
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    return decontaminate.leaks(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return decontaminate.leaks(load(spark, folder, "documents", **STREAMED), load(spark, folder, "benchmark"))
 
 
 @query

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from srcframe.llm import decontaminate as dec
+from srcframe.llm import decontaminate as dec, queries
 
 ITEM = "A farmer sells 12 apples to Alice for 30 cents each and then Alice buys 4 kg of ripe pears from the same farmer"
 SWAPPED = ITEM.replace("12", "57").replace("Alice", "Robert").replace("4 kg", "9 lb").replace("30", "1,250.5")
@@ -183,3 +185,22 @@ def test_odd_rows(odd, empty, benchmark):
 def test_main_path_is_native(docs_of, benchmark):
     plan = dec.leaks(docs_of([(1, ITEM)]), benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_row_groups_are_not_held_outside_the_heap(spark, tmp_path):
+    def held():
+        jvm = spark._jvm
+        pools = jvm.java.lang.management.ManagementFactory.getPlatformMXBeans(jvm.java.lang.Class.forName("java.lang.management.BufferPoolMXBean"))
+        return next(p.getMemoryUsed() for p in pools if p.getName() == "direct")
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("!#$%&()*+-/:;<=>?@", k=12_000)) for _ in range(2_500)] + [ITEM]
+    docs = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    pq.write_table(docs, tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    pq.write_table(pa.table({"item_id": pa.array([7], pa.int64()), "text": [ITEM]}), tmp_path / "benchmark.parquet")
+    assert pq.ParquetFile(tmp_path / "documents.parquet").num_row_groups == 1
+    before = held()
+    got = queries.QUERIES["op1_decontaminate"](spark, str(tmp_path)).collect()
+    # a row group of 30 MB
+    assert held() - before < 8 << 20
+    assert [(r.doc_id, r.item_id, r.coverage) for r in got] == [(2_500, 7, 1.0)]
